@@ -1,11 +1,595 @@
-"""Queries of the engine's own operators with their SQL."""
+"""Queries of the engine's own operators over the test tables, with the SQL that must give the same."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark import schema
+from tidemark.functions import dates, text
+from tidemark.functions import vectors as V
+from tidemark.operators import filters, fulltext, inventory, lifecycle, relations, semantic
+from tidemark.session import read
+
+Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        Q[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+MS = r"""case when regexp_full_match(ts, '\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,3})?)?(Z|[+-]\d{2}:\d{2})') then epoch_ms(try_cast(ts as timestamptz)) end"""
+SPEAKER = "case when kind = 'turn' and role = 'user' then 'owner' when kind = 'turn' and role = 'assistant' then source_client else who end"
+LIVE = "status = 'active' and superseded_by is null"
+NOT_TOOL = "coalesce(origin, '') <> 'tool' and not starts_with(lower(body), '(tool-only turn:')"
+SPOKEN = f"kind = 'turn' and {LIVE} and {NOT_TOOL}"
+ELIGIBLE = f"{LIVE} and coalesce(origin, '') not in ('tool', 'reference') and not coalesce(starts_with(lower(body), '(tool-only turn:'), false)"
+TOKENS = r"regexp_extract_all(lower(strip_accents({})), '[\p{{L}}\p{{N}}]+')"
+LAST_EVIDENCE = "list_max(cast(json(evidence_ids) as bigint[]))"
+
+
+# Scans, filters, projections
+
+
+@query(f"select id, project, kind, {SPEAKER} as speaker, {MS} as event_ms, length(body) as chars from docs")
+def docs_view(s, d):
+    return read(s, d, "docs").select("id", "project", "kind", filters.speaker().alias("speaker"), dates.event_ms(F.col("ts")).alias("event_ms"), F.length("body").cast("bigint").alias("chars"))
+
+
+@query(f"select id, ts from docs where {LIVE} and {NOT_TOOL} and kind in ('turn', 'statement') and source_client = 'codex'")
+def filter_live_kind_client(s, d):
+    return filters.Scope(kinds=["turn", "statement"], client="codex").where(read(s, d, "docs")).select("id", "ts")
+
+
+@query(f"select id, {SPEAKER} as speaker from docs where {LIVE} and {NOT_TOOL} and {SPEAKER} in ('claude', 'codex')")
+def filter_speaker(s, d):
+    return filters.Scope(who="assistant").where(read(s, d, "docs")).select("id", filters.speaker().alias("speaker"))
+
+
+@query(f"select id, ts from docs where {LIVE} and {NOT_TOOL} and ({MS}) >= 1764547200000 and ({MS}) < 1767225600000")
+def filter_date_range(s, d):
+    lo, hi = dates.period("2025-12", "UTC")
+    return filters.Scope(lo=lo, hi=hi).where(read(s, d, "docs")).select("id", "ts")
+
+
+@query(f"select id from docs where {LIVE} and kind = 'turn' and origin = 'direct' and role in ('user', 'assistant')")
+def filter_direct(s, d):
+    return filters.Scope(direct=True).where(read(s, d, "docs")).select("id")
+
+
+@query(f"select id, outcome from docs where {LIVE} and {NOT_TOOL} and kind = 'statement' and outcome in ('standing', 'approved') and not (outcome = 'standing' and coalesce(origin, '') = 'decision-unclear')")
+def filter_outcome_clear(s, d):
+    return filters.Scope(outcomes=["standing", "approved"]).where(read(s, d, "docs")).select("id", "outcome")
+
+
+@query(
+    r"""select id from docs where coalesce(regexp_matches(replace(path, '\', '/'), '(?is)agents/.*halcyon'), false)
+or len(list_filter(coalesce(try_cast(json(files_json) as varchar[]), []), lambda f: regexp_matches(replace(f, '\', '/'), '(?is)agents/.*halcyon'))) > 0"""
+)
+def filter_path_glob(s, d):
+    return read(s, d, "docs").filter(filters.files_glob("agents/*halcyon")).select("id")
+
+
+@query(f"select id, title, body from docs join (select id as k from docs where {LIVE} and ({MS}) is not null order by ({MS}) desc, id desc limit 50) on id = k")
+def late_materialize_topk(s, d):
+    docs = read(s, d, "docs")
+    top = docs.filter(filters.live()).select("id", dates.event_ms(F.col("ts")).alias("ms")).filter("ms is not null").orderBy(F.desc("ms"), F.desc("id")).limit(50)
+    return docs.select("id", "title", "body").join(F.broadcast(top.select("id")), "id")  # 50 rows
+
+
+@query("select id, substring(body, 101, 200) as part, length(body) as total from docs where length(body) > 100")
+def read_slice(s, d):
+    return read(s, d, "docs").filter(F.length("body") > 100).select("id", F.substring("body", 101, 200).alias("part"), F.length("body").cast("bigint").alias("total"))
+
+
+@query(f"select {SPEAKER} as speaker, count(*) as n from docs group by 1")
+def project_speaker(s, d):
+    return read(s, d, "docs").groupBy(filters.speaker().alias("speaker")).agg(F.count("*").alias("n"))
+
+
+@query("select id, case when starts_with(coalesce(body, ''), coalesce(title, '')) then coalesce(body, '') else coalesce(title, '') || chr(10) || coalesce(body, '') end as t from docs")
+def record_text(s, d):
+    return read(s, d, "docs").select("id", semantic.record_text(F.col("title"), F.col("body")).alias("t"))
+
+
+@query(
+    f"""select s.id, {SPEAKER} as speaker, coalesce(s.origin, '') in ('reference', 'summary') as reported_only, count(e.id) as evidence, max(r.id) as replacement
+from (select *, unnest(case when len(coalesce(try_cast(json(evidence_ids) as bigint[]), [])) = 0 then [null] else cast(json(evidence_ids) as bigint[]) end) as ev from docs where kind = 'statement') s
+left join docs e on e.id = s.ev and e.project = s.project left join docs r on r.id = s.superseded_by and r.project = s.project
+group by s.id, 2, 3""".replace("case when kind", "case when s.kind").replace("and role", "and s.role").replace("when kind", "when s.kind").replace("then source_client else who", "then s.source_client else s.who")
+)
+def decorate(s, d):
+    docs = read(s, d, "docs")
+    st = docs.filter("kind = 'statement'")
+    ev = relations.evidence(docs, st).groupBy("statement_id").agg(F.count("*").alias("evidence"))
+    rep = docs.select(F.col("id").alias("replacement"), F.col("project").alias("_p"))
+    out = st.join(ev, st["id"] == F.col("statement_id"), "left").join(rep, (F.col("superseded_by") == F.col("replacement")) & (F.col("project") == F.col("_p")), "left")
+    return out.select("id", filters.speaker().alias("speaker"), F.coalesce("origin", F.lit("")).isin("reference", "summary").alias("reported_only"), F.coalesce("evidence", F.lit(0)).alias("evidence"), "replacement")
+
+
+@query(
+    """select id, case when kind in ('turn', 'compact_summary', 'statement') then coalesce(source_client, 'claude') else source_client end as source_client,
+case when kind = 'compact_summary' then 'summary' when kind = 'statement' then null when kind <> 'turn' then 'file' when starts_with(lower(body), '(tool-only turn:') then 'tool' else 'direct' end as origin from docs"""
+)
+def migration_backfill(s, d):
+    old = read(s, d, "docs").drop("native_session", "item_key", "turn_key", "ordinal", "segment", "src_offset", "origin", "adapter")
+    return schema.migrate(old).select("id", "source_client", "origin")
+
+
+# Aggregates
+
+
+@query("select count(*) as records, count(*) filter (kind = 'turn') as messages, count(distinct case when session_id is not null then coalesce(source_client, '') || ':' || session_id end) as sessions, count(*) filter (kind = 'statement') as decisions from docs")
+def count_units(s, d):
+    return inventory.units(read(s, d, "docs"))
+
+
+@query(f"select source_client, session_id, count(*) as records, min({MS}) as first_ms, max({MS}) as last_ms from docs where session_id is not null group by 1, 2")
+def session_inventory(s, d):
+    return inventory.sessions(read(s, d, "docs"))
+
+
+@query(f"select source_client, kind, count(*) as records, min({MS}) as first_ms, max({MS}) as last_ms, count(*) filter (({MS}) is null) as undated from docs group by 1, 2")
+def coverage_by_client_kind(s, d):
+    return inventory.coverage(read(s, d, "docs"))
+
+
+@query(f"select session_id, max(ts) as last_ts, count(*) as turns from docs where kind = 'turn' and {LIVE} and session_id is not null group by 1 order by 2 desc, 1 limit 20")
+def recent_sessions(s, d):
+    return inventory.recent_sessions(read(s, d, "docs"), 20)
+
+
+@query("select distinct source_client from docs where kind = 'turn'")
+def distinct_clients(s, d):
+    return read(s, d, "docs").filter("kind = 'turn'").select("source_client").distinct()
+
+
+@query(f"select id, {LAST_EVIDENCE} as last_evidence from docs where kind = 'statement'")
+def max_evidence(s, d):
+    return read(s, d, "docs").filter("kind = 'statement'").select("id", lifecycle.last_evidence().alias("last_evidence"))
+
+
+@query(f"select count(*) as records, sum(length(body))::bigint as chars, sum(strlen(body))::bigint as bytes from docs where {ELIGIBLE}")
+def dryrun_chunk_sizing(s, d):
+    return inventory.sizing(read(s, d, "docs"))
+
+
+@query(f"select project, count(*) as undated from docs where ({MS}) is null group by 1")
+def invalid_timestamp_count(s, d):
+    return read(s, d, "docs").filter(dates.event_ms(F.col("ts")).isNull()).groupBy("project").agg(F.count("*").alias("undated"))
+
+
+@query("select event_type, count(*) as n, sum(value) as total, count(*) filter (cast(props::json->>'k' as bigint) >= 50) as high from events group by 1")
+def json_props(s, d):
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    return read(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.count_if(k >= 50).alias("high"))
+
+
+@query()
+def corpus_revision(s, d):
+    return inventory.revision(read(s, d, "docs"))
+
+
+@query(
+    f"""with last as (select session_id from docs where kind = 'turn' and {LIVE} and session_id is not null group by 1 order by max(ts) desc, 1 limit 3),
+r as (select id, ts, who, outcome, title, ({MS}) as ms from docs where kind = 'statement' and {LIVE} and coalesce(outcome, '') <> 'standing' and session_id in (from last)
+ union all select id, ts, 'handoff', 'note', title, ({MS}) from docs where kind = 'handoff' and {LIVE}),
+o as (select min({MS}) as t0 from docs where kind = 'turn' and {LIVE} and session_id in (from last))
+select id, ts, who, outcome, title, round(case outcome when 'open' then 2 when 'rejected' then 1 else 0 end + coalesce(greatest(0.0, (coalesce(ms, t0) - coalesce(t0, ms)) / 86400000.0), 0), 6) as score
+from r, o order by score desc, coalesce(outcome = 'open', false) desc, id limit 20"""
+)
+def brief_scoring(s, d):
+    return inventory.brief(read(s, d, "docs"))
+
+
+# Full text
+
+_LEAF = "len(list_filter({t}, lambda x: x = '{w}'))"
+
+
+def _bm25_sql(words: list[str], cond: str, weight: str = "1.0", extra: str = "") -> str:
+    """BM25 in SQL for single words."""
+    cols = ", ".join(f"{_LEAF.format(t='tt', w=w)} as t{k}, {_LEAF.format(t='bt', w=w)} as b{k}" for k, w in enumerate(words))
+    dfs = ", ".join(f"count(*) filter (t{k} + b{k} > 0) as df{k}" for k in range(len(words)))
+    rank = " - ".join(
+        f"case when t{k} + b{k} > 0 then (case when ln((n - df{k} + 0.5) / (df{k} + 0.5)) <= 0 then 1e-6 else ln((n - df{k} + 0.5) / (df{k} + 0.5)) end) * (t{k} * {weight} + b{k}) * 2.2 / (t{k} * {weight} + b{k} + 1.2 * (0.25 + 0.75 * len / avgdl)) else 0 end"
+        for k in range(len(words))
+    )
+    return f"""with w as (select id, status, superseded_by, kind, {TOKENS.format("coalesce(title, '')")} as tt, {TOKENS.format("coalesce(body, '')")} as bt from docs),
+h as (select *, len(tt) + len(bt) as len, {cols} from w), s as (select count(*) as n, avg(len) as avgdl, {dfs} from h)
+select id, round(0 - {rank}, 6) as rank from h, s where ({cond}) {extra} order by 2, 1"""
+
+
+def _search(s, d, q, mode, weight=1.0):
+    return fulltext.bm25(read(s, d, "docs"), fulltext.parse(q, mode), weight)
+
+
+def _ranked(df: DataFrame) -> DataFrame:
+    return df.select("id", F.round("rank", 6).alias("rank"))
+
+
+@query(_bm25_sql(["ledger", "parser"], "t0 + b0 > 0 or t1 + b1 > 0", extra=f"and {LIVE}") + " limit 20")
+def fts_any_bm25(s, d):
+    return _ranked(filters.Scope(tools=True).where(_search(s, d, "ledger parser", "any"))).orderBy("rank", "id").limit(20)
+
+
+@query(_bm25_sql(["ledger", "schema"], "t0 + b0 > 0 and t1 + b1 > 0"))
+def fts_all_bm25(s, d):
+    return _ranked(_search(s, d, "ledger schema", "all"))
+
+
+@query(_bm25_sql(["handoff", "review"], "t0 + b0 > 0 or t1 + b1 > 0", "3.0"))
+def fts_weighted_bm25(s, d):
+    return _ranked(_search(s, d, "handoff review", "any", 3.0))
+
+
+_PAD = "' ' || array_to_string({}, ' ') || ' '"
+_T, _B = TOKENS.format("coalesce(title, '')"), TOKENS.format("coalesce(body, '')")
+
+
+@query(f"select id from docs where contains({_PAD.format(_B)}, ' no answer ') or contains({_PAD.format(_T)}, ' no answer ')")
+def fts_phrase(s, d):
+    return _search(s, d, '"no answer"', "any").select("id")
+
+
+@query(f"select id from docs where len(list_filter(list_concat({_T}, {_B}), lambda x: starts_with(x, 'migr'))) > 0 and not list_contains(list_concat({_T}, {_B}), 'ledger')")
+def fts_prefix_not(s, d):
+    return _search(s, d, "migr* NOT ledger", "advanced").select("id")
+
+
+@query(
+    f"""with w as (select id, unnest([{_T}, {_B}]) as toks from docs), p as (select id, toks, generate_series(1, len(toks)) as g from w),
+a as (select id, list_filter(g, lambda i: toks[i] = 'ledger') as x, list_filter(g, lambda i: toks[i] = 'closed') as y from p)
+select distinct id from a where len(list_filter(x, lambda i: len(list_filter(y, lambda j: abs(i - j) - 1 <= 4)) > 0)) > 0"""
+)
+def fts_near(s, d):
+    return _search(s, d, "NEAR(ledger closed, 4)", "advanced").select("id")
+
+
+@query(f"select id from docs where list_contains({_T}, 'review') and (list_contains({_B}, 'open') or list_contains({_B}, 'ledger'))")
+def fts_column_boolean(s, d):
+    return _search(s, d, "title: review AND body: (open OR ledger)".replace("body: (open OR ledger)", "(body: open OR body: ledger)"), "advanced").select("id")
+
+
+@query("select id from docs where regexp_matches(coalesce(title, ''), '(?is)ledger.*cold') or regexp_matches(coalesce(body, ''), '(?is)ledger.*cold')")
+def substring_glob(s, d):
+    return fulltext.substring(read(s, d, "docs"), "ledger*cold").select("id")
+
+
+@query(f"with t as (select id, unnest(list_concat({_T}, {_B})) as term from docs) select term, count(distinct id) as df, count(*)::bigint as cf from t group by 1")
+def token_df_stats(s, d):
+    return fulltext.term_statistics(read(s, d, "docs"))
+
+
+@query(f"with t as (select id, unnest({_B}) as term from docs) select term, id, count(*) as tf from t where term in ('ledger', 'parser', 'schema') group by 1, 2")
+def postings_lookup(s, d):
+    return fulltext.postings(read(s, d, "docs")).filter(F.col("term").isin("ledger", "parser", "schema") & (F.col("col") == "body")).select("term", "id", "tf")
+
+
+# Vectors
+
+
+def _query_vector(s, d, width: int = 64) -> list[float]:
+    return [((k * 37) % 17 - 8) / 8.0 for k in range(width)]
+
+
+_QV = "[" + ", ".join(repr(((k * 37) % 17 - 8) / 8.0) for k in range(64)) + "]::double[]"
+
+
+@query(f"select vec_id, round(list_cosine_similarity(embedding::double[], {_QV}), 6) as sim from embeddings order by list_cosine_similarity(embedding::double[], {_QV}) desc, vec_id limit 20")
+def vector_topk_cosine(s, d):
+    return semantic.top_k(read(s, d, "embeddings"), _query_vector(s, d), 20, "embedding", "vec_id").withColumn("sim", F.round("sim", 6))
+
+
+@query(f"select vec_id, label from embeddings where list_cosine_similarity(embedding::double[], {_QV}) >= 0.1")
+def vector_floor_filter(s, d):
+    return read(s, d, "embeddings").filter(V.cosine(F.col("embedding"), V.literal(_query_vector(s, d))) >= 0.1).select("vec_id", "label")
+
+
+_CSIM = f"case when vec is not null and len(vec) = 64 and list_dot_product(vec::double[], vec::double[]) > 0 then list_cosine_similarity(vec::double[], {_QV}) end"
+
+
+@query(f"select project, doc_id, round(sim, 6) as sim, start_offset from (select *, {_CSIM} as sim from chunks) where sim is not null qualify row_number() over (partition by project, doc_id order by sim desc, ordinal) = 1")
+def best_chunk_per_doc(s, d):
+    return semantic.best_chunk(read(s, d, "chunks"), _query_vector(s, d)).select("project", "doc_id", F.round("sim", 6).alias("sim"), "start_offset")
+
+
+@query(
+    f"""with h as (select doc_id, count(*) as n, count(vec) as good from chunks group by 1)
+select project, count(*) as eligible, count(n) as indexed, count(*) filter (n = good) as complete, count(*) filter (n is null) as missing
+from (select id, project from docs where {ELIGIBLE}) left join h on doc_id = id group by 1"""
+)
+def vector_coverage(s, d):
+    return semantic.coverage(read(s, d, "docs"), read(s, d, "chunks"))
+
+
+@query(f"select id from docs where {ELIGIBLE} and id not in (select doc_id from vectors where model = 'tern-64' and vec is not null)")
+def anti_missing_vectors(s, d):
+    return semantic.missing_vectors(read(s, d, "docs"), read(s, d, "vectors"), "tern-64").select("id")
+
+
+def _lanes(s, d):
+    words = fulltext.bm25(read(s, d, "docs"), fulltext.parse("ledger", "any")).select("id", "rank").orderBy("rank", "id").limit(40)
+    sims = semantic.best_chunk(read(s, d, "chunks"), _query_vector(s, d)).select(F.col("doc_id").alias("id"), "sim").orderBy(F.desc("sim"), "id").limit(40)
+    return {"words": semantic.placed(words, "rank", "id").select("id", "place"), "meaning": semantic.placed(sims, F.desc("sim"), "id").select("id", "place")}
+
+
+@query(
+    f"""with k as ({_bm25_sql(["ledger"], "t0 + b0 > 0").replace("round(0 - ", "(0 - ").replace(", 6) as rank", ") as rank")} limit 40), a as (select id, row_number() over (order by rank, id) - 1 as place from k),
+v as (select doc_id as id, max({_CSIM}) as sim from chunks group by 1 having max({_CSIM}) is not null order by 2 desc, 1 limit 40), b as (select id, row_number() over (order by sim desc, id) - 1 as place from v)
+select id, round(sum(1.0 / (5 + place)), 6) as score, string_agg(lane, ',' order by lane) as lanes from (select *, 'words' as lane from a union all select *, 'meaning' from b) group by 1"""
+)
+def rrf_fusion(s, d):
+    return semantic.fuse(_lanes(s, d)).withColumn("score", F.round("score", 6))
+
+
+@query(f"select distinct doc_id as id from chunks where vec is not null and ({_CSIM}) >= 0.0 and doc_id in (select id from docs where list_contains({_T}, 'ledger') or list_contains({_B}, 'ledger'))")
+def hard_match_semijoin(s, d):
+    hits = fulltext.bm25(read(s, d, "docs"), fulltext.parse("ledger", "all")).select("id")
+    near = semantic.best_chunk(read(s, d, "chunks"), _query_vector(s, d)).filter("sim >= 0").select(F.col("doc_id").alias("id"))
+    return near.join(hits, "id", "left_semi").distinct()
+
+
+@query()
+def chunk_text(s, d):
+    return semantic.chunked(read(s, d, "docs")).select("id", "ordinal", "start_offset", "end_offset")
+
+
+# Joins and windows
+
+
+@query("select path from sources where path in (select path from docs)")
+def semi_sources(s, d):
+    return read(s, d, "sources").select("path").join(read(s, d, "docs").select("path"), "path", "left_semi")
+
+
+@query(f"select id, lag(id) over w as previous, lead(id) over w as next from docs where {SPOKEN} window w as (partition by session_id order by ts nulls first, id)")
+def neighbours_lag_lead(s, d):
+    return relations.neighbours(read(s, d, "docs"))
+
+
+@query(
+    f"""with t as (select session_id, ts, id from docs where {SPOKEN}), a as (select session_id, ts, id from docs where kind = 'statement' and session_id is not null)
+select a.id, (select t.id from t where t.session_id = a.session_id and (t.ts, t.id) < (a.ts, a.id) order by t.ts desc, t.id desc limit 1) as previous,
+(select t.id from t where t.session_id = a.session_id and (t.ts, t.id) > (a.ts, a.id) order by t.ts, t.id limit 1) as next from a"""
+)
+def asof_neighbours(s, d):
+    docs = read(s, d, "docs")
+    return relations.neighbours_of(docs.filter("kind = 'statement' and session_id is not null"), docs)
+
+
+@query(f"select id, list(id) over (partition by session_id order by ts nulls first, id rows between 3 preceding and 1 preceding) as before from docs where {SPOKEN}".replace("list(id) over", "coalesce(list(id) over").replace("1 preceding) as", "1 preceding), []) as"))
+def asof_previous_turns(s, d):
+    return relations.turns_before(read(s, d, "docs"), 3)
+
+
+@query(
+    f"""with a as (select id as anchor, project, ({MS}) as ms from docs where kind = 'statement'), t as (select id, project, ({MS}) as ms from docs where {SPOKEN} and role = 'user')
+select a.anchor, t.id from a join t on a.project = t.project and t.ms between a.ms - 86400000 and a.ms + 120000 qualify row_number() over (partition by anchor order by t.ms desc, t.id desc) <= 400"""
+)
+def range_join_recent_turns(s, d):
+    docs = read(s, d, "docs").withColumn("ms", dates.event_ms(F.col("ts"))).filter("ms is not null")
+    anchors = docs.filter("kind = 'statement'").select(F.col("id").alias("anchor"), "project", "ms")
+    turns = docs.filter(filters.spoken() & (F.col("role") == "user")).select("id", "project", "ms")
+    return relations.turns_around(anchors, turns, 86_400_000, 120_000, 400)
+
+
+@query("select distinct s.id as statement_id, e.id, e.ts from (select id, project, unnest(cast(json(evidence_ids) as bigint[])) as ev from docs where kind = 'statement') s join docs e on e.id = s.ev and e.project = s.project")
+def evidence_unnest_join(s, d):
+    return relations.evidence(read(s, d, "docs"))
+
+
+@query("select a.id as old_id, b.id as new_id, a.project from docs a join docs b on a.superseded_by = b.id and a.project = b.project")
+def relations_self_join(s, d):
+    docs = read(s, d, "docs")
+    b = docs.select(F.col("id").alias("new_id"), F.col("project").alias("_p"))
+    return docs.filter("superseded_by is not null").select(F.col("id").alias("old_id"), "superseded_by", "project").join(b, (F.col("superseded_by") == F.col("new_id")) & (F.col("project") == F.col("_p"))).select("old_id", "new_id", "project")
+
+
+_META = """select path, json_extract_string(payload, '$.id') as thread, coalesce(json_extract_string(payload, '$.history_base.thread_id'), json_extract_string(payload, '$.forked_from_id')) as base_thread, min(ordinal) as first_ordinal,
+max(coalesce(try_cast(json_extract_string(payload, '$.history_base.end_ordinal_exclusive') as bigint), 1000000)) as cut from codex_rollout where type = 'session_meta' and json_valid(payload) group by 1, 2, 3"""
+
+
+@query(
+    f"""with f as ({_META}) select f.path, arg_max(b.path, (b.first_ordinal, b.path)) filter (b.path is not null) as base_path
+from f left join f b on f.base_thread = b.thread and b.first_ordinal < f.cut and b.path <> f.path where f.base_thread is not null group by 1"""
+)
+def lineage_latest_earlier(s, d):
+    j = lambda p: F.get_json_object("payload", p)
+    meta = read(s, d, "codex_rollout").filter((F.col("type") == "session_meta") & F.try_parse_json("payload").isNotNull())
+    base = F.coalesce(j("$.history_base.thread_id"), j("$.forked_from_id"))
+    cut = F.coalesce(j("$.history_base.end_ordinal_exclusive").try_cast("bigint"), F.lit(1_000_000))
+    files = meta.groupBy("path", j("$.id").alias("thread"), base.alias("base_thread")).agg(F.min("ordinal").alias("first_ordinal"), F.max(cut).alias("cut"))
+    return relations.lineage_base(files)
+
+
+_TOPIC = "list_filter(list_distinct(regexp_extract_all(lower(coalesce(title, '')), '[\\p{L}\\p{N}]{3,}')), lambda x: not list_contains([" + ", ".join(f"'{w}'" for w in text.OVERLAP_STOP) + "], x))"
+
+
+@query(
+    f"""with s as (select id, session_id, ts, who, outcome, {_TOPIC} as w from docs where kind = 'statement' and status = 'active'),
+p as (select o.id as old_id, n.id as new_id, len(list_intersect(o.w, n.w)) / least(len(o.w), len(n.w)) as score,
+ o.outcome = 'superseded' and o.session_id is not distinct from n.session_id as labelled, n.outcome as no, o.session_id is not distinct from n.session_id as same,
+ coalesce(n.who = 'owner' and ((n.outcome = 'rejected' and o.outcome in ('approved', 'proposed', 'completed')) or (n.outcome = 'approved' and o.outcome = 'rejected') or (n.outcome = 'standing' and o.outcome = 'standing')), false) as overturn
+ from s n join s o on o.ts < n.ts and o.id <> n.id where len(o.w) > 0 and len(n.w) > 0)
+select old_id, new_id, round(score, 6) as score from p where no <> 'superseded' and (labelled or overturn) and score >= 0.3 and (labelled or no <> 'approved' or not same)
+qualify row_number() over (partition by new_id order by score desc, old_id) <= 3"""
+)
+def nominate_theta_topk(s, d):
+    return relations.nominate(read(s, d, "docs")).withColumn("score", F.round("score", 6))
+
+
+@query(
+    f"""with i as (select id, session_id, outcome, {LAST_EVIDENCE} as turn, lower(trim(regexp_replace(quote, '\\s+', ' ', 'g'))) as q from docs where kind = 'statement' and status not in ('active', 'struck') and quote is not null)
+select id from i where not exists (select 1 from docs k where k.kind = 'statement' and k.status in ('active', 'struck') and k.session_id = i.session_id and k.outcome = i.outcome
+and list_max(cast(json(k.evidence_ids) as bigint[])) = i.turn and lower(trim(regexp_replace(k.quote, '\\s+', ' ', 'g'))) = i.q and i.q <> '')"""
+)
+def twin_anti_join(s, d):
+    docs = read(s, d, "docs")
+    items = docs.filter("kind = 'statement' and status not in ('active', 'struck') and quote is not null").select("id", "session_id", "outcome", lifecycle.last_evidence().alias("turn"), "quote")
+    return relations.twins(items, docs).select("id")
+
+
+@query(
+    """with l as (select session_id, max((ts, source_client)) as m from docs where kind = 'turn' and status = 'active' and session_id is not null and ts is not null group by 1)
+select distinct l.session_id from l join docs h on h.kind = 'handoff' and h.status = 'active' and substring(h.ts, 1, 10) = substring(m[1], 1, 10) and (h.source_client is null or h.source_client = m[2])""".replace("m[1]", "struct_extract_at(m, 1)").replace("m[2]", "struct_extract_at(m, 2)")
+)
+def covered_sessions(s, d):
+    return relations.covered_sessions(read(s, d, "docs").filter("ts is not null"))
+
+
+_LANE_SQL = " union all ".join(f"select * from (select id, {n} as lane, row_number() over (order by id) - 1 as place from docs where kind = '{k}' and {LIVE} order by id limit 20)" for n, k in enumerate(("statement", "handoff", "turn")))
+
+
+@query(f"with l as ({_LANE_SQL}) select id, lane, place from l order by place, lane limit 30")
+def lane_interleave(s, d):
+    docs = read(s, d, "docs").filter(filters.live())
+    lanes = [semantic.placed(docs.filter(F.col("kind") == k).select("id").orderBy("id").limit(20), "id") for k in ("statement", "handoff", "turn")]
+    return relations.interleave(lanes, 30).withColumn("place", F.col("place").cast("bigint"))
+
+
+@query(
+    """with t as (select id, row_number() over (order by ts nulls first, id) as n from docs where kind = 'turn' and (project, session_id, coalesce(source_client, '')) = (select (project, session_id, coalesce(source_client, '')) from docs where id = 100))
+select id, n - (select n from t where id = 100) as "offset" from t where n - (select n from t where id = 100) between -3 and 4"""
+)
+def context_window(s, d):
+    return relations.context_window(read(s, d, "docs"), 100, 3, 4)
+
+
+@query(f"select id, ({MS}) as ms from docs where {LIVE} and ({MS}) is not null and (({MS}), id) < (1764547200000, 1) order by 2 desc, 1 desc limit 25")
+def keyset_page(s, d):
+    rows = read(s, d, "docs").filter(filters.live()).select("id", dates.event_ms(F.col("ts")).alias("ms")).filter("ms is not null")
+    after = (F.col("ms") < 1764547200000) | ((F.col("ms") == 1764547200000) & (F.col("id") < 1))
+    return rows.filter(after).orderBy(F.desc("ms"), F.desc("id")).limit(25)
+
+
+@query("select p_partkey, l_suppkey, q from (select l_partkey as p_partkey, l_suppkey, sum(l_quantity) as q from lineitem group by 1, 2) qualify row_number() over (partition by p_partkey order by q desc, l_suppkey) <= 3")
+def top3_per_key(s, d):
+    q = read(s, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey"), "l_suppkey").agg(F.sum("l_quantity").alias("q"))
+    w = Window.partitionBy("p_partkey").orderBy(F.desc("q"), "l_suppkey")
+    return q.withColumn("r", F.row_number().over(w)).filter("r <= 3").drop("r")
+
+
+@query(
+    f"""with recursive t as (select session_id, id, length(body) + 24 as n, row_number() over (partition by session_id order by ts nulls first, id) as k from docs where {SPOKEN} and session_id is not null),
+r as (select session_id, k, id, n, 0 as chunk, n as size from t where k = 1 union all
+ select t.session_id, t.k, t.id, t.n, case when r.size + t.n > 4000 then r.chunk + 1 else r.chunk end, case when r.size + t.n > 4000 then t.n else r.size + t.n end from r join t on t.session_id = r.session_id and t.k = r.k + 1)
+select session_id, chunk::bigint as chunk, arg_min(id, k) as first_id, arg_max(id, k) as last_id, count(*) as turns, sum(n)::bigint as size from r group by 1, 2"""
+)
+def greedy_chunk_packing(s, d):
+    return relations.packed_chunks(read(s, d, "docs"), 4000)
+
+
+# Changes of state
+
+
+@query("select sha, min(id) as id, count(*) as n from docs where sha is not null group by 1")
+def dedup_by_sha(s, d):
+    docs = read(s, d, "docs").filter("sha is not null")
+    n = docs.groupBy("sha").agg(F.count("*").alias("n"))
+    return lifecycle.first_of_each(docs.select("sha", "id"), "sha").join(n, "sha")
+
+
+@query(
+    """with n as (select * from docs where id > 2000), e as (select * from docs where id <= 2000), h as (select sha, min(id) as k, arg_min(path, id) as p from docs where sha is not null group by 1)
+select distinct h.k as doc_id, n.path from n join h using (sha) where n.id <> h.k and n.path is distinct from h.p"""
+)
+def insert_once_occurrences(s, d):
+    docs = read(s, d, "docs")
+    return lifecycle.insert_once(docs.filter("id <= 2000"), docs.filter("id > 2000"))[1].select("doc_id", "path")
+
+
+@query("select path, max(listed_at) as listed_at, arg_max(size, (listed_at, size)) as size from source_files group by 1")
+def upsert_latest(s, d):
+    return lifecycle.latest(read(s, d, "source_files").select("path", "listed_at", "size"), ["path"], [F.col("listed_at"), F.col("size")]).select("path", "listed_at", "size")
+
+
+_QKEY = "lower(trim(regexp_replace(nfc_normalize(coalesce(quote, '')), '\\s+', ' ', 'g')))"
+
+
+@query(
+    f"""with r as (select id, max(id) over (partition by session_id, {LAST_EVIDENCE}, outcome, {_QKEY}) as keep from docs where kind = 'statement' and status = 'active' and {_QKEY} <> '' and {LAST_EVIDENCE} is not null)
+select d.id, case when r.keep <> d.id then 'superseded' else d.status end as status, case when r.keep <> d.id then r.keep else d.superseded_by end as superseded_by from docs d left join r on r.id = d.id where d.kind = 'statement'"""
+)
+def dedupe_statements(s, d):
+    return lifecycle.dedupe_statements(read(s, d, "docs")).filter("kind = 'statement'").select("id", "status", "superseded_by")
+
+
+@query(
+    """with l as (select path, kind, title, max(id) as k from docs where status = 'active' and kind <> 'turn' group by all)
+select d.id, coalesce(d.superseded_by, case when d.status = 'superseded' then l.k end) as superseded_by from docs d left join l on l.path = d.path and l.kind = d.kind and l.title = d.title where d.kind <> 'turn'"""
+)
+def supersede_and_link(s, d):
+    return lifecycle.link_sections(read(s, d, "docs")).filter("kind <> 'turn'").select("id", "superseded_by")
+
+
+@query(f"select id, case when kind = 'statement' and status = 'active' and session_id is not null and {LAST_EVIDENCE} between 1 and 2000 and session_id = (select session_id from docs where kind = 'statement' and status = 'active' and session_id is not null order by id limit 1) then 'superseded' else status end as status from docs where kind = 'statement'")
+def supersede_by_evidence(s, d):
+    docs = read(s, d, "docs")
+    row = docs.filter("kind = 'statement' and status = 'active' and session_id is not null").orderBy("id").select("session_id").first()
+    return lifecycle.supersede_by_evidence(docs, row[0] if row else "", 1, 2000).filter("kind = 'statement'").select("id", "status")
+
+
+@query("select superseded_by as new_id, min(id) as first_old, count(*) as n from docs where superseded_by is not null group by 1")
+def first_replacement(s, d):
+    return read(s, d, "docs").filter("superseded_by is not null").groupBy(F.col("superseded_by").alias("new_id")).agg(F.min("id").alias("first_old"), F.count("*").alias("n"))
+
+
+# Text functions
+
+
+@query(
+    r"""select id, regexp_replace(regexp_replace(body, '\bBearer\s+[A-Za-z0-9._~+/=-]{16,}', 'Bearer [scrubbed]', 'g'),
+'(?i)\b(token|key|secret|password)\b([^\n]{0,40}?)([A-Fa-f0-9]{32,}|[A-Za-z0-9+/=]{32,})', '\1\2[scrubbed]', 'g') as body from docs where regexp_matches(body, '(?i)token|key|secret|password|bearer')"""
+)
+def scrub_secrets(s, d):
+    return read(s, d, "docs").filter(F.col("body").rlike("(?i)token|key|secret|password|bearer")).select("id", text.scrub(F.col("body")).alias("body"))
+
+
+@query(f"select id, len({_TOPIC}) as words, round(case when len({_TOPIC}) > 0 then len(list_intersect({_TOPIC}, ['ledger', 'cache', 'schema'])) / least(len({_TOPIC}), 3) else 0 end, 6) as share from docs")
+def token_overlap(s, d):
+    w = text.topic_tokens(F.col("title"))
+    return read(s, d, "docs").select("id", F.size(w).cast("bigint").alias("words"), F.round(text.overlap(w, F.array(F.lit("ledger"), F.lit("cache"), F.lit("schema"))), 6).alias("share"))
+
+
+@query("select id, trim(regexp_replace(nfc_normalize(coalesce(quote, '')), '\\s+', ' ', 'g')) as q from docs where quote is not null")
+def quote_key(s, d):
+    return read(s, d, "docs").filter("quote is not null").select("id", text.quote_key(F.col("quote")).alias("q"))
+
+
+@query("select id from docs where regexp_matches(' ' || lower(regexp_replace(body, '\\s+', ' ', 'g')) || ' ', '[^\\p{L}\\p{N}]can you make[^\\p{L}\\p{N}]')")
+def phrase_match(s, d):
+    return read(s, d, "docs").filter(text.contains_phrase(F.col("body"), "Can you make")).select("id")
+
+
+@query(
+    r"""select id, case when regexp_matches(lower(body), '\b(continue|resume|pick up|where (we|i) left off)\b') then 'continue' when regexp_matches(lower(body), '\b(what do you remember about|catch me up|overview)\b') then 'overview'
+when regexp_matches(lower(body), '\bwhy (did|do|was|were)\b') then 'rationale' when regexp_matches(lower(body), '\b(decide|decided|decision|agreed|choose|chose)\b') then 'decision'
+when regexp_matches(lower(body), '\b(told you|my rules|standing orders|preference|always|never)\b') then 'instruction' when regexp_matches(lower(body), '\b(similar|before|remember|discussed)\b') then 'related-history' else 'recollection' end as intent
+from docs where kind = 'turn' and length(body) between 1 and 400"""
+)
+def intent_classify(s, d):
+    return read(s, d, "docs").filter("kind = 'turn' and length(body) between 1 and 400").select("id", text.intent(F.col("body")).alias("intent"))
+
+
+@query(f"select id, strftime(timezone('America/New_York', make_timestamp(({MS}) * 1000)::timestamptz), '%Y-%m-%d') as day from docs where ({MS}) is not null")
+def local_day_periods(s, d):
+    ms = dates.event_ms(F.col("ts"))
+    return read(s, d, "docs").filter(ms.isNotNull()).select("id", F.date_format(F.from_utc_timestamp(F.timestamp_millis(ms), "America/New_York"), "yyyy-MM-dd").alias("day"))
