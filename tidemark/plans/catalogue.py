@@ -593,3 +593,172 @@ def intent_classify(s, d):
 def local_day_periods(s, d):
     ms = dates.event_ms(F.col("ts"))
     return read(s, d, "docs").filter(ms.isNotNull()).select("id", F.date_format(F.from_utc_timestamp(F.timestamp_millis(ms), "America/New_York"), "yyyy-MM-dd").alias("day"))
+
+
+# Sources
+
+
+@query(
+    """select rec_id, json_extract_string(payload, '$.id') as item_key from codex_rollout where type = 'event_msg' and json_valid(payload) and json_extract_string(payload, '$.type') = 'item_completed' and json_extract_string(payload, '$.item.type') = 'FileChange' and len(json_keys(payload, '$.item.changes')) > 0"""
+)
+def rollout_file_changes(s, d):
+    j = lambda p: F.get_json_object("payload", p)
+    r = read(s, d, "codex_rollout").filter((F.col("type") == "event_msg") & F.try_parse_json("payload").isNotNull() & (j("$.type") == "item_completed") & (j("$.item.type") == "FileChange"))
+    return r.filter(F.size(F.map_keys(F.from_json(j("$.item.changes"), "map<string,string>"))) > 0).select("rec_id", j("$.id").alias("item_key"))
+
+
+@query()
+def transcript_second_dialect(s, d):
+    from tidemark.sources import transcripts
+
+    return transcripts.second_dialect(read(s, d, "codex_rollout"), "p").select("session_id", "ts", "role", "origin", "body", "sha")
+
+
+@query()
+def transcript_left_out(s, d):
+    from tidemark.sources import transcripts
+
+    return transcripts.left_out(read(s, d, "codex_rollout"))
+
+
+@query(r"select doc_id, len(list_filter(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), lambda l: regexp_matches(l, '^#{2,3} +[^ ]'))) as headings from documents where contains(text, '## ')")
+def section_headings(s, d):
+    lines = F.split(F.regexp_replace("text", "\r\n", "\n"), "\n")
+    return read(s, d, "documents").filter(F.col("text").contains("## ")).select("doc_id", F.size(F.filter(lines, lambda x: x.rlike(r"^#{2,3} +[^ ]"))).cast("bigint").alias("headings"))
+
+
+@query()
+def section_split(s, d):
+    from tidemark.sources import markdown
+
+    notes = read(s, d, "documents").select("doc_id", "path", F.col("text").alias("content"))
+    return markdown.sections(notes, "map_section").select("doc_id", "place", "title", "section")
+
+
+@query("select distinct sha from docs where sha is not null and kind = 'turn' order by sha limit 50")
+def sha_sample(s, d):
+    return read(s, d, "docs").filter("sha is not null and kind = 'turn'").select("sha").distinct().orderBy("sha").limit(50)
+
+
+# Streams, drained and held against the batch result
+
+
+def _events(s, d):
+    from tidemark.streaming import ingest
+
+    return ingest.files(s, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
+
+
+
+
+@query("select event_id, user_id, event_type from events")
+def stream_dedup_ingest(s, d):
+    from tidemark.streaming import ingest
+
+    ev = _events(s, d)
+    return ingest.drain(ingest.once_per_key(ev, "event_id", "at", "30 days").select("event_id", "user_id", "event_type"))
+
+
+@query()
+def stream_tumbling(s, d):
+    from tidemark.streaming import ingest
+
+    return ingest.drain(ingest.tumbling(_events(s, d), "at", "1 day", "1 hour", "event_type"))
+
+
+@query()
+def stream_session_window(s, d):
+    from tidemark.streaming import ingest
+
+    return ingest.drain(ingest.sessions(_events(s, d), "at", "30 minutes", "1 hour", "user_id"))
+
+
+@query("select time_bucket(interval 1 day, ts) as start, event_type, count(*) as n, sum(value) as total from events group by 1, 2")
+def batch_tumbling(s, d):
+    ev = read(s, d, "events").groupBy(F.window(F.col("ts").cast("timestamp"), "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return ev.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+# Extraction and decisions
+
+
+@query(
+    f"""with s as (select id, {LAST_EVIDENCE} as turn, outcome, title, quote, who from docs where kind = 'statement' and quote is not null),
+t as (select id, {SPEAKER} as sp, lower(trim(regexp_replace(body, '\\s+', ' ', 'g'))) as b from docs where {SPOKEN})
+select s.id as item, t.id is not null as there, coalesce(contains(t.b, lower(trim(regexp_replace(s.quote, '\\s+', ' ', 'g')))), false) as exact from s left join t on t.id = s.turn"""
+)
+def quote_in_turn(s, d):
+    docs = read(s, d, "docs")
+    st = docs.filter("kind = 'statement' and quote is not null").select(F.col("id").alias("item"), lifecycle.last_evidence().alias("turn"), "quote")
+    turns = docs.filter(filters.spoken()).select("id", text.collapse(F.col("body")).alias("b"))
+    met = st.join(turns, F.col("turn") == F.col("id"), "left")
+    return met.select("item", F.col("id").isNotNull().alias("there"), F.coalesce(F.contains("b", text.collapse(F.col("quote"))), F.lit(False)).alias("exact"))
+
+
+@query()
+def validate_statements(s, d):
+    from tidemark.operators import decisions
+
+    docs = read(s, d, "docs")
+    items = docs.filter("kind = 'statement'").select(F.col("id").alias("item"), F.concat(F.lit("T"), lifecycle.last_evidence().cast("string")).alias("turn"), "outcome", F.col("title").alias("statement"), "quote", "reason", "who")
+    return decisions.validate(items, docs).select("item", "doc_id", "who", "quote", "reject_reason")
+
+
+@query()
+def link_pending(s, d):
+    from tidemark.operators import decisions
+
+    docs = read(s, d, "docs").withColumn("ms", dates.event_ms(F.col("ts")))
+    pending = docs.filter("kind = 'statement' and status in ('pending', 'unverified') and ms is not null").select("id", "project", "ms", "quote")
+    turns = docs.filter(filters.spoken() & (F.col("role") == "user") & F.col("ms").isNotNull()).select("id", "project", "ms", "body")
+    return decisions.link_pending(pending, turns)
+
+
+# Orchestration
+
+
+@query()
+def find_page(s, d):
+    from tidemark.plans import search
+
+    got = search.find(search.Store(read(s, d, "docs")), "ledger parser", limit=10)
+    return s.createDataFrame([(r["id"], r["kind"], r["title"]) for r in got["rows"]], "id bigint, kind string, title string")
+
+
+@query()
+def recall_packet(s, d):
+    from tidemark.plans import search
+
+    got = search.recall(search.Store(read(s, d, "docs")), "What did we decide about the ledger schema?")
+    return s.createDataFrame([(r["id"], r["kind"], r["seed"], r["text"][:200]) for r in got["records"]], "id bigint, kind string, seed boolean, text string")
+
+
+# Star schema: the relational core at scale
+
+
+@query(
+    """select l_returnflag, l_linestatus, sum(l_quantity) as sum_qty, sum(l_extendedprice) as sum_base, sum(l_extendedprice * (1 - l_discount)) as sum_disc, avg(l_discount) as avg_disc, count(*) as n from lineitem
+where l_shipdate <= timestamp '1998-09-02' group by 1, 2"""
+)
+def star_pricing_summary(s, d):
+    li = read(s, d, "lineitem").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
+    return li.groupBy("l_returnflag", "l_linestatus").agg(
+        F.sum("l_quantity").alias("sum_qty"), F.sum("l_extendedprice").alias("sum_base"), F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("sum_disc"), F.avg("l_discount").alias("avg_disc"), F.count("*").alias("n")
+    )
+
+
+@query(
+    """select n_name, sum(l_extendedprice * (1 - l_discount)) as revenue from customer join orders on c_custkey = o_custkey join lineitem on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey and c_nationkey = s_nationkey
+join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by 1"""
+)
+def star_local_suppliers(s, d):
+    c, o, li, su, n, r = (read(s, d, t) for t in ("customer", "orders", "lineitem", "supplier", "nation", "region"))
+    geo = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    sup = su.join(geo, F.col("s_nationkey") == F.col("n_nationkey"))
+    j = li.join(sup, F.col("l_suppkey") == F.col("s_suppkey")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, (F.col("o_custkey") == F.col("c_custkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
+    return j.groupBy("n_name").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
+
+
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+def star_customers_without_orders(s, d):
+    return read(s, d, "customer").join(read(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
