@@ -8,7 +8,7 @@ its records depart from the agreement.
 
 Defined cases: null, cut-off or non-object payloads give null fields and ``_raw``; repeated records are
 kept; a null type counts as the empty kind; an empty table gives empty results; further columns pass
-through and may not be named like an agreed column (those get the prefix given).
+through, but for ones named like a column that `ingest` makes, which it replaces.
 """
 
 from __future__ import annotations
@@ -72,7 +72,8 @@ def ingest(df: DataFrame, schema: DataFrame, payload: str = "payload", type_: st
             value = F.when(json_bit(value) == BITS[t], value)
             got = F.to_json(value) if SPARK[t] == "variant" else F.try_variant_get(value, "$", SPARK[t])
             columns.append(got.alias(prefix + f + ("" if len(types[f]) == 1 else "_" + t)))
-    keep = [F.col(c) for c in df.columns if c != payload]
+    made = {"kind", "_rescued", "_raw", "_d_kind", "_d_map", payload} | {prefix + f for f in types} | {f"{prefix}{f}_{t}" for f in types for t in types[f]}
+    keep = [F.col(c) for c in df.columns if c not in made]
     rescued = F.when(F.size("_d_bad") > 0, F.to_json("_d_bad"))
     return rows.select(*keep, F.col("_d_kind").alias("kind"), *columns, rescued.alias("_rescued"), F.when(F.col("_d_map").isNull(), F.col(payload)).alias("_raw"))
 

@@ -4,7 +4,7 @@ A tree's leaf covers a range of the hashed key space and holds an order-free dig
 sum and exclusive-or of two row hashes); a node's digest is the hash of its children's. `changed_leaves`
 walks two trees from the root and descends only where digests differ; `extract` reads the rows of the
 leaves that remain. `IncrementalRun` writes a run's output, rows and tree into a version folder and makes
-them current by one rename of a pointer file: a run that dies before has no effect, one that dies after
+them current by one rename of a pointer file that names it: a run that dies before has no effect, one that dies after
 is not repeated.
 
 Defined cases: nulls hash like a value of their own; repeated rows change a digest; an empty side
@@ -113,7 +113,7 @@ class IncrementalRun:
     """Runs over a keyed table that hand only new or changed rows to `process`, exactly once.
 
     state_dir must be on storage all executors share. Layout: v<N>/rows, v<N>/tree, v<N>/output and
-    the pointer file CURRENT, which names the version in force.
+    a pointer file CURRENT.<N> for every published version; the highest is in force.
     """
 
     def __init__(self, spark: SparkSession, state_dir: str, key: str, values: list[str], bits: int = LEAF_BITS):
@@ -123,10 +123,10 @@ class IncrementalRun:
         self._fs = self._path(self.dir).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def version(self) -> int:
-        p = self._path(f"{self.dir}/CURRENT")
-        if not self._fs.exists(p):
-            return 0
-        return int(self.spark.read.text(f"{self.dir}/CURRENT").first()[0])
+        """The highest published version; pointer files are never overwritten, so there is no moment without one."""
+        at = self._path(self.dir)
+        names = [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return max((int(n[8:]) for n in names if n.startswith("CURRENT.")), default=0)
 
     def output(self) -> DataFrame | None:
         """All rows processed so far, over all published versions."""
@@ -152,12 +152,8 @@ class IncrementalRun:
         process(changed).write.mode("overwrite").parquet(f"{at}/output")
         digests.write.mode("overwrite").parquet(f"{at}/rows")
         before_publish()
-        tmp = self._path(f"{self.dir}/CURRENT.{new}")
-        out = self._fs.create(tmp, True)
-        out.write(bytearray(str(new).encode()))
-        out.close()
-        pointer = self._path(f"{self.dir}/CURRENT")
-        if self._fs.exists(pointer):
-            self._fs.delete(pointer, False)
-        self._fs.rename(tmp, pointer)
+        tmp = self._path(f"{self.dir}/_pointer.{new}")
+        self._fs.create(tmp, True).close()
+        if not self._fs.rename(tmp, self._path(f"{self.dir}/CURRENT.{new}")):
+            raise RuntimeError("another run published this version")
         return new

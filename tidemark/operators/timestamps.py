@@ -13,7 +13,7 @@ candidates that give different instants leaves the zone open.
 
 Defined cases: null, blank or unparsable text, impossible dates or times, dates alone, times alone:
 no instant (utc_ms null). Repeated rows are kept. An empty table gives an empty table. Columns other
-than those named are passed through; the operator's own are prefixed with ``_t_`` while it works.
+than those named are passed through, but for ones named utc_ms, zone_from or ``_t_...``, which the operator's own replace.
 """
 
 from __future__ import annotations
@@ -245,6 +245,7 @@ def normalise(
     unknown zone names no instant can leave them out.
     """
     zones = file_zones(sources)
+    df = df.drop("utc_ms", "zone_from", *[c for c in df.columns if c.startswith("_t_")])
     keep = df.columns
     zoneless = F.trim(F.col(ts)).rlike(_ZONELESS)
     own = parse(df.filter(~F.coalesce(zoneless, F.lit(False))), ts)

@@ -92,8 +92,8 @@ def find(store: Store, query: str = "", mode: str = "any", scope: Scope | None =
             newest = scope.order == "newest"
             if state["after"]:
                 ms, i = state["after"]
-                on = F.struct("ms", "id")
-                rows = rows.filter(on < F.struct(F.lit(ms), F.lit(i))) if newest else rows.filter(on > F.struct(F.lit(ms), F.lit(i)))
+                m, same = F.col("ms"), F.col("ms") == ms
+                rows = rows.filter((m < ms) | (same & (F.col("id") < i))) if newest else rows.filter((m > ms) | (same & (F.col("id") > i)))
             rows, place = rows.orderBy(*([F.desc("ms"), F.desc("id")] if newest else ["ms", "id"])).limit(limit + 1), 0
         got = [r.asDict() for r in rows.collect()][place:]  # at most a page and one row
         wanted = [r["id"] for r in got[:limit]]
