@@ -37,6 +37,7 @@ def is_spoken(body: Column) -> Column:
 
 def messages(docs: DataFrame, sources: DataFrame) -> DataFrame:
     """(session_id, id, ms, role u/a/x, spoken) of active turns, the smallest id of each sha."""
+    docs = docs.select("id", "kind", "status", "session_id", "sha", "ts", "path", "src_offset", "role", "body")
     turns = docs.filter((F.col("kind") == "turn") & (F.col("status") == "active") & F.col("session_id").isNotNull() & F.col("id").isNotNull())
     # Only shas delivered more than once matter, and only their hashes and least ids are shuffled for it.
     again = materialise(
