@@ -32,7 +32,7 @@ def test_pieces_hold_the_rules(seed):
 
 def test_whole_sections_are_preferred():
     t = "a" * 1600 + "\n\n# One\n" + "b" * 200 + "\n\n" + "c" * 3000
-    assert S.cut_after(t, 0) == 1602  # before the heading, though a later paragraph would fit
+    assert S.cut_after(S.Node(t, 0, len(t)), 0) == 1602  # before the heading, though a later paragraph would fit
 
 
 def test_own_cut_passes_the_audit(spark, sf):

@@ -1,9 +1,8 @@
 """Splitting oversized texts at natural boundaries (problem 3).
 
-A text is a tree: sections (blank line before a heading or list), paragraphs (blank line), lines,
-words, characters. Sibling subtrees are merged from the left as long as the piece stays within the
-limit, and a node is opened only where it does not fit as a whole: the cut is the last boundary of the
-highest level that has one in the piece's last part, and lower levels are looked at only there. The
+A text is a tree of sections (blank line before a heading, list item or markup), paragraphs (blank
+line), lines and words. Sibling subtrees are merged as long as the piece stays within the limit, and a
+node is opened only where it does not fit as a whole and what was merged before it is too short. The
 next piece begins `overlap` characters before the cut.
 
 `audit` holds stored pieces against the same levels.
@@ -15,6 +14,7 @@ the limit give one piece; text without any boundary is cut at the limit; positio
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,34 +22,61 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LIMIT, OVERLAP, EARLIEST = 2048, 256, 1500
-#: Boundary levels in order of preference; a boundary lies directly after the match. The first has a
-#: finer grain inside: of its boundaries, those that open a section or list are preferred.
-LEVELS = (r"\n\n", r"\n", r"[ \t\n]")
-_OPENS = re.compile(r"#{1,6} |[-*] |\d+[.)] |<\w|```")
-
-
-def cut_after(text: str, start: int, limit: int = LIMIT, earliest: int = EARLIEST) -> int:
-    """Where the piece that begins at start ends, for a text that goes on beyond the limit."""
-    lo, hi = start + earliest, start + limit
-    at = text.rfind("\n\n", lo - 1, hi)
-    if at >= 0:
-        # Merge whole sections if one ends in reach, else as many paragraphs as fit.
-        section = at
-        while section >= 0:
-            if _OPENS.match(text, section + 2):
-                return section + 2
-            section = text.rfind("\n\n", lo - 1, section + 1)
-        return at + 2
-    at = text.rfind("\n", lo, hi)
-    if at < 0:
-        at = max(text.rfind(" ", lo, hi), text.rfind("\t", lo, hi))
-    return at + 1 if at >= 0 else hi
+#: What ends a node's children, from the text down: sections end at a blank line before a heading, list
+#: item, element or fence; paragraphs at any blank line; lines at a line feed; words at white space.
+#: The first two are boundaries of one sort, between which the tree prefers sections.
+ENDS = (
+    re.compile(r"(?<=\n\n)(?=#{1,6} |[-*] |\d+[.)] |<\w|```)"),
+    re.compile(r"(?<=\n\n)"),
+    re.compile(r"(?<=\n)"),
+    re.compile(r"(?<=[ \t\n])"),
+)
+
+
+class Node:
+    """A stretch of text; its children are looked for only when it has to be opened."""
+
+    __slots__ = ("text", "start", "end", "level", "_kids", "_ends")
+
+    def __init__(self, text: str, start: int, end: int, level: int = 0):
+        self.text, self.start, self.end, self.level, self._kids, self._ends = text, start, end, level, None, None
+
+    def ends(self) -> list[int]:
+        """Where the children end."""
+        if self._ends is None:
+            inner = [m.start() for m in ENDS[self.level].finditer(self.text, self.start, self.end) if self.start < m.start() < self.end]
+            self._ends = [*inner, self.end]
+        return self._ends
+
+    def child(self, k: int) -> Node:
+        if self._kids is None:
+            self._kids = {}
+        if k not in self._kids:
+            ends = self.ends()
+            self._kids[k] = Node(self.text, ends[k - 1] if k else self.start, ends[k], self.level + 1)
+        return self._kids[k]
+
+
+def cut_after(root: Node, start: int, limit: int = LIMIT, earliest: int = EARLIEST) -> int:
+    """Where the piece that begins at start ends, for a text that goes on beyond the limit.
+
+    On each level the siblings that fit are merged; if they reach far enough, the piece ends with them,
+    else the first that does not fit is opened.
+    """
+    node = root
+    while node.level < len(ENDS):
+        ends = node.ends()
+        k = bisect_right(ends, start + limit)
+        if k and ends[k - 1] > start + earliest:
+            return ends[k - 1]
+        node = node.child(k)
+    return start + limit
 
 
 def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP, earliest: int = EARLIEST) -> list[tuple[int, int]]:
-    out, start, n = [], 0, len(text)
+    out, start, n, root = [], 0, len(text), Node(text, 0, len(text))
     while n - start > limit:
-        end = cut_after(text, start, limit, earliest)
+        end = cut_after(root, start, limit, earliest)
         out.append((start, end))
         start = end - overlap
     if n:
@@ -77,9 +104,9 @@ def split(docs: DataFrame, id_: str, text: str, limit: int = LIMIT, overlap: int
 
 
 def best_level(window: Column) -> Column:
-    """The highest level with a boundary in reach; window begins one character before the first place to cut."""
-    inner = F.expr("substring(_w, 2)") if window is None else F.substring(window, 2, 1 << 30)
-    return F.when(window.contains("\n\n"), 1).when(inner.contains("\n"), 2).when(inner.rlike(LEVELS[2]), 3).otherwise(4)
+    """1 to 4: the best sort of boundary in reach. window begins one character before the first place to cut."""
+    inner = F.substring(window, 2, 1 << 30)
+    return F.when(window.contains("\n\n"), 1).when(inner.contains("\n"), 2).when(inner.rlike("[ \t]"), 3).otherwise(4)
 
 
 def audit(chunks: DataFrame, docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, earliest: int = EARLIEST) -> DataFrame:
