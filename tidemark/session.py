@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import os
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +26,7 @@ def build(app: str = "tidemark", cpus: str | int = "*", **conf: str) -> SparkSes
     }
     spark = SparkSession.builder.master(f"local[{cpus}]").appName(app).config(map=base | conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
@@ -38,9 +42,27 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Make the package importable in every Python worker, wherever the driver was started; once per session."""
+    done = "tidemark.shipped"
+    if spark.conf.get(done, None):
+        return
+    root, buffer = pathlib.Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark, "code") + "/tidemark.zip")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(buffer.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(path.toString())
+    spark.conf.set(done, "true")
+
+
 def materialise(df: DataFrame, what: str, partition_by: list[str] | None = None) -> DataFrame:
     """Cut the lineage with a table in the shared folder; a lost executor costs a re-read, not a re-run."""
     spark = df.sparkSession
+    ship(spark)
     path = shared_dir(spark, what)
     w = df.write
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
@@ -48,4 +70,5 @@ def materialise(df: DataFrame, what: str, partition_by: list[str] | None = None)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
