@@ -176,10 +176,10 @@ def invalid_timestamp_count(s, d):
     return read(s, d, "docs").filter(dates.event_ms(F.col("ts")).isNull()).groupBy("project").agg(F.count("*").alias("undated"))
 
 
-@query("select event_type, count(*) as n, sum(value) as total, count(*) filter (cast(props::json->>'k' as bigint) >= 50) as high from events group by 1")
+@query("select event_type, count(*) as n, round(sum(value), 6) as total, count(*) filter (cast(props::json->>'k' as bigint) >= 50) as high from events group by 1")
 def json_props(s, d):
     k = F.get_json_object("props", "$.k").cast("bigint")
-    return read(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.count_if(k >= 50).alias("high"))
+    return read(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"), F.count_if(k >= 50).alias("high"))
 
 
 @query()
@@ -375,9 +375,9 @@ def asof_neighbours(s, d):
     return relations.neighbours_of(docs.filter("kind = 'statement' and session_id is not null"), docs)
 
 
-@query(f"select id, list(id) over (partition by session_id order by ts nulls first, id rows between 3 preceding and 1 preceding) as before from docs where {SPOKEN}".replace("list(id) over", "coalesce(list(id) over").replace("1 preceding) as", "1 preceding), []) as"))
+@query(f"select id, list(id) over (partition by session_id order by ts nulls first, id rows between 3 preceding and 1 preceding) as before from docs where {SPOKEN}".replace("list(id) over", "coalesce(array_to_string(list(id) over").replace("1 preceding) as", "1 preceding), ','), '') as"))
 def asof_previous_turns(s, d):
-    return relations.turns_before(read(s, d, "docs"), 3)
+    return relations.turns_before(read(s, d, "docs"), 3).withColumn("before", F.array_join("before", ","))
 
 
 @query(
@@ -516,9 +516,9 @@ def insert_once_occurrences(s, d):
     return lifecycle.insert_once(docs.filter("id <= 2000"), docs.filter("id > 2000"))[1].select("doc_id", "path")
 
 
-@query("select path, max(listed_at) as listed_at, arg_max(size, (listed_at, size)) as size from source_files group by 1")
+@query("select path, epoch_ms(max(listed_at)) as listed_ms, arg_max(size, (listed_at, size)) as size from source_files group by 1")
 def upsert_latest(s, d):
-    return lifecycle.latest(read(s, d, "source_files").select("path", "listed_at", "size"), ["path"], [F.col("listed_at"), F.col("size")]).select("path", "listed_at", "size")
+    return lifecycle.latest(read(s, d, "source_files").select("path", "listed_at", "size"), ["path"], [F.col("listed_at"), F.col("size")]).select("path", F.unix_millis("listed_at").alias("listed_ms"), "size")
 
 
 _QKEY = "lower(trim(regexp_replace(nfc_normalize(coalesce(quote, '')), '\\s+', ' ', 'g')))"
@@ -673,10 +673,10 @@ def stream_session_window(s, d):
     return ingest.drain(ingest.sessions(_events(s, d), "at", "30 minutes", "1 hour", "user_id"))
 
 
-@query("select time_bucket(interval 1 day, ts) as start, event_type, count(*) as n, sum(value) as total from events group by 1, 2")
+@query("select epoch_ms(time_bucket(interval 1 day, ts)) as start_ms, event_type, count(*) as n, round(sum(value), 6) as total from events group by 1, 2")
 def batch_tumbling(s, d):
-    ev = read(s, d, "events").groupBy(F.window(F.col("ts").cast("timestamp"), "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    return ev.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    ev = read(s, d, "events").groupBy(F.window(F.col("ts").cast("timestamp"), "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+    return ev.select(F.unix_millis("w.start").alias("start_ms"), "event_type", "n", "total")
 
 
 # Extraction and decisions
@@ -737,18 +737,18 @@ def recall_packet(s, d):
 
 
 @query(
-    """select l_returnflag, l_linestatus, sum(l_quantity) as sum_qty, sum(l_extendedprice) as sum_base, sum(l_extendedprice * (1 - l_discount)) as sum_disc, avg(l_discount) as avg_disc, count(*) as n from lineitem
+    """select l_returnflag, l_linestatus, round(sum(l_quantity), 4) as sum_qty, round(sum(l_extendedprice), 4) as sum_base, round(sum(l_extendedprice * (1 - l_discount)), 4) as sum_disc, round(avg(l_discount), 6) as avg_disc, count(*) as n from lineitem
 where l_shipdate <= timestamp '1998-09-02' group by 1, 2"""
 )
 def star_pricing_summary(s, d):
     li = read(s, d, "lineitem").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
     return li.groupBy("l_returnflag", "l_linestatus").agg(
-        F.sum("l_quantity").alias("sum_qty"), F.sum("l_extendedprice").alias("sum_base"), F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("sum_disc"), F.avg("l_discount").alias("avg_disc"), F.count("*").alias("n")
+        F.round(F.sum("l_quantity"), 4).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 4).alias("sum_base"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("sum_disc"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n")
     )
 
 
 @query(
-    """select n_name, sum(l_extendedprice * (1 - l_discount)) as revenue from customer join orders on c_custkey = o_custkey join lineitem on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey and c_nationkey = s_nationkey
+    """select n_name, round(sum(l_extendedprice * (1 - l_discount)), 4) as revenue from customer join orders on c_custkey = o_custkey join lineitem on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey and c_nationkey = s_nationkey
 join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by 1"""
 )
 def star_local_suppliers(s, d):
@@ -756,7 +756,7 @@ def star_local_suppliers(s, d):
     geo = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     sup = su.join(geo, F.col("s_nationkey") == F.col("n_nationkey"))
     j = li.join(sup, F.col("l_suppkey") == F.col("s_suppkey")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, (F.col("o_custkey") == F.col("c_custkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
-    return j.groupBy("n_name").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
+    return j.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("revenue"))
 
 
 @query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
