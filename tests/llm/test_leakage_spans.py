@@ -100,6 +100,22 @@ def test_pairs_against_brute_force(spark):
     assert got == {(a, b) for g in grams.values() if len(g) > 1 for a in g for b in g if a < b}
 
 
+def test_extent_against_brute_force(spark):
+    docs = read(spark, "/root/testdata/sf0.01", "documents").filter("doc_id <= 400")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    where = {}
+    for i, t in texts.items():
+        for k in range(len(t) - 199):
+            where.setdefault(hash(t[k : k + 200]), set()).add(i)
+    for r in S.shared_extent(docs).collect():
+        t = texts[r["doc_id"]]
+        inside = set()
+        for k in range(len(t) - 199):
+            if len(where[hash(t[k : k + 200])]) > 1:
+                inside.update(range(k, k + 200))
+        assert r["shared_chars"] == len(inside), r
+
+
 def test_span_edges(spark):
     r = random.Random(5)
     body = "".join(r.choice("abcdefghij ") for _ in range(400))

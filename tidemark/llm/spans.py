@@ -21,9 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import materialise
+
 DEEP = 16
 WINDOW = 48
 _B = 0x9E3779B97F4A7C15 | 1
@@ -149,26 +151,14 @@ def _texts(docs: DataFrame, id_: str, text: str, least: int) -> DataFrame:
 
 def copy_classes(texts: DataFrame) -> DataFrame:
     """(doc_id, rep, members) of texts that occur more than once; rep is the least id of the class."""
-    from tidemark.session import materialise
-
     d = texts.select("doc_id", F.md5("text").alias("_md5"), F.length("text").alias("_len"))
     reps = d.groupBy("_md5", "_len").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")).filter("members > 1")
     reps = materialise(reps, "copy-classes")
     return materialise(d.join(reps, ["_md5", "_len"]).select("doc_id", "rep", "members"), "copies")
 
 
-def shared_pairs(docs: DataFrame, id_: str = "doc_id", text: str = "text", least: int = 200) -> tuple[DataFrame, DataFrame]:
-    """(pairs, copies): pairs (a, b, in_a, in_b) of representatives with the shared stretches of each; copies as in copy_classes.
-
-    Every pair of different texts with a common run of `least` characters is there; copies are not expanded.
-    """
-    from tidemark.session import materialise
-
-    if least < DEEP + 2 * WINDOW:
-        raise ValueError(f"least must be at least {DEEP + 2 * WINDOW}")
-    texts = _texts(docs, id_, text, least)
-    copies = copy_classes(texts)
-    reps = texts.join(copies.filter("doc_id <> rep").select("doc_id"), "doc_id", "left_anti")
+def shared_chunks(texts: DataFrame, least: int) -> DataFrame:
+    """(digest, doc_id) of the chunks that more than one text holds; narrow rows, shuffled once."""
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -180,11 +170,27 @@ def shared_pairs(docs: DataFrame, id_: str = "doc_id", text: str = "text", least
             if ids:
                 yield pd.DataFrame({"digest": np.concatenate(ds), "doc_id": np.concatenate(ids)})
 
-    from pyspark.sql import Window
+    occ = texts.mapInPandas(digests, "digest bigint, doc_id bigint")
+    held = F.count("*").over(Window.partitionBy("digest"))
+    return materialise(occ.withColumn("n", held).filter("n > 1").select("digest", "doc_id"), "shared-chunks")
 
-    occ = reps.mapInPandas(digests, "digest bigint, doc_id bigint")
-    shared = occ.withColumn("n", F.count("*").over(Window.partitionBy("digest"))).filter("n > 1").select("digest", "doc_id")
-    shared = materialise(shared, "shared-chunks")
+
+def representatives(docs: DataFrame, id_: str, text: str, least: int) -> tuple[DataFrame, DataFrame]:
+    """(texts (doc_id, text), one of each class of copies; copies as in copy_classes)."""
+    if least < DEEP + 2 * WINDOW:
+        raise ValueError(f"least must be at least {DEEP + 2 * WINDOW}")
+    texts = _texts(docs, id_, text, least)
+    copies = copy_classes(texts)
+    return texts.join(copies.filter("doc_id <> rep").select("doc_id"), "doc_id", "left_anti"), copies
+
+
+def shared_pairs(docs: DataFrame, id_: str = "doc_id", text: str = "text", least: int = 200) -> tuple[DataFrame, DataFrame]:
+    """(pairs, copies): pairs (a, b, in_a, in_b) of representatives with the shared stretches of each; copies as in copy_classes.
+
+    Every pair of different texts with a common run of `least` characters is there; copies are not expanded.
+    """
+    reps, copies = representatives(docs, id_, text, least)
+    shared = shared_chunks(reps, least)
     a, b = shared.withColumnRenamed("doc_id", "a"), shared.withColumnRenamed("doc_id", "b")
     pairs = materialise(a.join(b, "digest").filter("a < b").select("a", "b").distinct(), "candidate-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -217,24 +223,51 @@ def expand_copies(pairs: DataFrame, copies: DataFrame) -> DataFrame:
     return across.filter("doc_a < doc_b").unionByName(within).distinct()
 
 
+def shared_spans(docs: DataFrame, id_: str = "doc_id", text: str = "text", least: int = 200) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, start, end) of representatives: their maximal stretches of runs found in some other text; copies).
+
+    No pairs are formed, so a passage that very many records share costs no more than its occurrences:
+    of every text that holds a shared chunk, the runs of `least` characters around such chunks are
+    hashed, and a run is shared if its hash comes from two texts.
+    """
+    reps, copies = representatives(docs, id_, text, least)
+    shared = shared_chunks(reps, least)
+    mine = shared.groupBy("doc_id").agg(F.collect_set("digest").alias("digests"))  # bounded by the text's length
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for i, t, digests in zip(pdf["doc_id"], pdf["text"], pdf["digests"]):
+                s, e, d = chunks(t, least)
+                hit = np.isin(d.view(np.int64), digests)
+                n = len(t) - least + 1
+                # A run that is shared holds a shared chunk, so it begins in [end - least, start] of one.
+                edge = np.zeros(n + 1, np.int32)
+                np.add.at(edge, np.clip(e[hit] - least, 0, n), 1)
+                np.add.at(edge, np.clip(s[hit] + 1, 0, n), -1)
+                at = np.flatnonzero(np.cumsum(edge)[:n] > 0)
+                h = _window_hashes(_code(points_of(t)), least)[at]
+                out.append(pd.DataFrame({"run": h.view(np.int64), "doc_id": i, "at": at}))
+            yield pd.concat(out) if out else pd.DataFrame({"run": [], "doc_id": [], "at": []}).astype("int64")
+
+    occ = materialise(reps.join(mine, "doc_id").mapInPandas(runs, "run bigint, doc_id bigint, at bigint"), "runs")
+    common = occ.groupBy("run").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("run")
+    found = occ.join(common, "run", "left_semi").select("doc_id", "at")
+    order = Window.partitionBy("doc_id").orderBy("at")
+    gap = F.col("at") - F.lag("at").over(order)
+    marked = found.withColumn("island", F.sum(F.when(gap <= least, 0).otherwise(1)).over(order))
+    spans = marked.groupBy("doc_id", "island").agg(F.min("at").alias("start"), (F.max("at") + least).alias("end"))
+    return spans.select("doc_id", "start", "end"), copies
+
+
 def shared_extent(docs: DataFrame, id_: str = "doc_id", text: str = "text", least: int = 200) -> DataFrame:
-    """(doc_id, class_id, copies, links, shared_chars, n_chars) of every record; copies share their whole text."""
-    pairs, copies = shared_pairs(docs, id_, text, least)
-    from tidemark.session import materialise
-
-    pairs = materialise(pairs, "pairs")
-    side = pairs.select(F.col("a").alias("doc_id"), F.col("in_a").alias("spans")).unionByName(pairs.select(F.col("b").alias("doc_id"), F.col("in_b").alias("spans")))
-    links = side.groupBy("doc_id").agg(F.count("*").alias("links"))
-    from pyspark.sql import Window
-
-    spans = side.select("doc_id", F.explode("spans").alias("p")).select("doc_id", "p.s", "p.e").distinct()
-    reached = F.max("e").over(Window.partitionBy("doc_id").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1))
-    covered = spans.select("doc_id", F.greatest(F.col("e") - F.greatest(F.col("s"), F.coalesce(reached, F.lit(0))), F.lit(0)).alias("new")).groupBy("doc_id").agg(F.sum("new").alias("chars"))
+    """(doc_id, class_id, copies, spans, shared_chars, n_chars) of every record; copies share their whole text."""
+    spans, copies = shared_spans(docs, id_, text, least)
+    per = spans.groupBy("doc_id").agg(F.count("*").alias("spans"), F.sum(F.col("end") - F.col("start")).alias("chars")).withColumnRenamed("doc_id", "class_id")
     all_ = docs.groupBy(F.col(id_).cast("bigint").alias("doc_id")).agg(F.coalesce(F.max(F.length(text)), F.lit(0)).cast("bigint").alias("n_chars"))
-    rep = F.coalesce("rep", "doc_id")
-    out = all_.join(copies, "doc_id", "left").withColumn("class_id", rep)
-    per_rep = links.join(covered, "doc_id", "full").withColumnRenamed("doc_id", "class_id")
-    return out.join(per_rep, "class_id", "left").select(
-        "doc_id", "class_id", F.coalesce("members", F.lit(1)).cast("bigint").alias("copies"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"),
-        F.when(F.col("members") > 1, F.col("n_chars")).otherwise(F.coalesce("chars", F.lit(0))).cast("bigint").alias("shared_chars"), "n_chars",
+    out = all_.join(copies, "doc_id", "left").withColumn("class_id", F.coalesce("rep", "doc_id")).join(per, "class_id", "left")
+    whole = F.col("members") > 1
+    return out.select(
+        "doc_id", "class_id", F.coalesce("members", F.lit(1)).cast("bigint").alias("copies"), F.when(whole, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("bigint").alias("spans"),
+        F.when(whole, F.col("n_chars")).otherwise(F.coalesce("chars", F.lit(0))).cast("bigint").alias("shared_chars"), "n_chars",
     )
