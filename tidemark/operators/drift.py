@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import materialise
+
 #: JSON types as bits, so that the types of a field over a file merge by one OR.
 BITS = {"string": 1, "number": 2, "boolean": 4, "object": 8, "array": 16}
 SPARK = {"string": "string", "number": "double", "boolean": "boolean", "object": "variant", "array": "variant"}
@@ -42,6 +44,7 @@ def json_bit(value: Column) -> Column:
 
 def with_fields(df: DataFrame, payload: str = "payload", type_: str = "type") -> DataFrame:
     """Adds _d_kind and _d_map (field -> variant; null unless the payload is a JSON object)."""
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # of a key given twice the last counts, as in other readers
     v = F.try_parse_json(payload)
     out = df.withColumn("_d_map", F.try_variant_get(v, "$", "map<string,variant>"))
     inner = F.element_at("_d_map", "type")
@@ -113,7 +116,7 @@ def departures(df: DataFrame, schema: DataFrame, path: str = "path", payload: st
     spark = df.sparkSession
     listed = spark.createDataFrame([(k, f, BITS[t], r) for k, f, t, r in agreed], "kind string, field string, want int, required boolean")
     kinds = sorted({k for k, *_ in agreed})
-    seen = facts(df, path, payload, type_)
+    seen = materialise(facts(df, path, payload, type_), "facts")  # read several times below; one narrow row per field of a file
     totals = seen.filter(F.col("field").isNull()).select("path", "kind", F.col("n").alias("total"))
     known = totals.filter(F.col("kind").isin(kinds))
     added = totals.filter(~F.col("kind").isin(kinds)).select("path", "kind", F.lit("*").alias("field"), F.lit("kind_added").alias("change"))
