@@ -111,3 +111,27 @@ def test_index_goes_on_where_it_stopped(spark, make):
 def test_revision_ignores_order_and_sees_change(make):
     a = inventory.revision(make({"id": 1}, {"id": 2})).first()[0]
     assert a == inventory.revision(make({"id": 2}, {"id": 1})).first()[0] != inventory.revision(make({"id": 1}, {"id": 3})).first()[0]
+
+
+def test_small_relations(spark, make):
+    from tidemark.operators import filters
+
+    t = {"role": "user", "body": "x"}
+    d = make(t | {"id": 1, "session_id": "a", "ts": "2026-01-10T00:00:00Z", "path": "p"}, t | {"id": 2, "session_id": "b", "ts": "2026-01-09T00:00:00Z", "path": "q", "sha": "k"}, t | {"id": 3, "ts": "2026-01-09T00:00:00Z"}, t | {"id": 4, "session_id": "c", "ts": "2025-01-09T00:00:00Z"})
+    ledger = spark.createDataFrame([("a",)], "session_id string")
+    now = 1_768_089_600_000  # 2026-01-11
+    assert [r["id"] for r in relations.recent_unread(d, ledger, now).collect()] == [2]
+    assert {r["id"] for r in relations.without_sessions(d, ledger).collect()} == {2, 4}
+    src = spark.createDataFrame([("p", "1"), ("z", "2"), ("y", "3")], "path string, sha string")
+    assert {r["path"] for r in relations.attributed_sources(src, d, spark.createDataFrame([("2",)], "sha string")).collect()} == {"p", "z"}
+    import hashlib
+
+    q = make({"id": 9, "sha": hashlib.sha256(b"k|question").hexdigest()})
+    assert [tuple(r) for r in relations.questions_of(d.filter("id = 2"), q).collect()] == [(2, 9)]
+    chunks = relations.packed_chunks(make(*[t | {"id": i, "session_id": "s", "ts": str(i)} for i in range(1, 8)]), 75)
+    docs = make(*[t | {"id": i, "session_id": "s", "ts": str(i)} for i in range(1, 8)])
+    assert {r["chunk"]: r["context"] for r in relations.context_before_chunks(docs, chunks, 2).collect()} == {0: [], 1: [2, 3], 2: [5, 6]}
+    shown = make({"id": 1, "status": "unverified", "body": "x\nPENDING: not found yet"}).select(filters.shown_body().alias("b")).first()["b"]
+    assert shown.startswith("x\nUNVERIFIED")
+    s = make({"id": 1, "body": "a " * 100 + "needle " + "b " * 200}).select(filters.snippet(F.col("body"), ["NEEDLE"]).alias("s")).first()["s"]
+    assert s.startswith("…") and "needle" in s and s.endswith("…") and len(s) == 202

@@ -127,3 +127,20 @@ def resolve_session(docs: DataFrame, prefix: str) -> str:
     if len(hits) != 1:
         raise ValueError("no such session" if not hits else "several sessions begin like this")
     return hits[0][0]
+
+
+def snippet(body: Column, words: list[str], before: int = 60, length: int = 200) -> Column:
+    """The stretch of a body around the first of the words, white space collapsed; its beginning if none is there."""
+    plain = F.regexp_replace(F.coalesce(body, F.lit("")), r"\s+", " ")
+    at = F.array_min(F.filter(F.array(*[F.instr(F.lower(plain), F.lit(w.lower())) for w in words or [""]]), lambda i: i > 0))
+    start = F.greatest(F.lit(1), F.coalesce(at, F.lit(1)) - before)
+    return F.concat(F.when(start > 1, "…").otherwise(""), F.substring(plain, start, F.lit(length)), F.when(F.length(plain) >= start + length, "…").otherwise(""))
+
+
+# The line of a pending decision, and what it says once no evidence was found.
+PENDING, UNVERIFIED = "PENDING: ", "UNVERIFIED: no matching owner evidence was linked after ingest; this is not a verified decision"
+
+
+def shown_body() -> Column:
+    """A decision's body as it is shown: an outdated pending line of an unverified one is put right, the stored text is not."""
+    return F.when(F.col("status") == "unverified", F.regexp_replace("body", r"(?m)^PENDING: [^\n]*$", UNVERIFIED)).otherwise(F.col("body"))

@@ -152,3 +152,36 @@ def interleave(lanes: list[DataFrame], limit: int) -> DataFrame:
         out = df if out is None else out.unionByName(df)
     first = out.groupBy("id").agg(F.min(F.struct("place", "lane")).alias("m")).select("id", "m.lane", "m.place")
     return first.orderBy("place", "lane").limit(limit)
+
+
+def without_sessions(rows: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Rows of a session that is not among the given ones (session_id); rows without a session are left out, as NOT IN does."""
+    return rows.filter("session_id is not null").join(sessions.select("session_id").distinct(), "session_id", "left_anti")
+
+
+def recent_unread(docs: DataFrame, ledger: DataFrame | None, now_ms: int, days: int = 7) -> DataFrame:
+    """Spoken turns of the last days in sessions that no run has read."""
+    from tidemark.functions import dates
+
+    ms = dates.event_ms(F.col("ts"))
+    rows = docs.filter(filters.spoken() & (ms >= now_ms - days * 86_400_000) & (ms <= now_ms))
+    return rows if ledger is None else without_sessions(rows, ledger)
+
+
+def attributed_sources(sources: DataFrame, docs: DataFrame, bindings: DataFrame | None = None) -> DataFrame:
+    """File records that belong here: some row names the path, or a binding (sha) names the file."""
+    by_path = sources.join(docs.select("path"), "path", "left_semi")
+    if bindings is None:
+        return by_path
+    return by_path.unionByName(sources.join(bindings.select("sha"), "sha", "left_semi")).dropDuplicates(["path"])
+
+
+def questions_of(answers: DataFrame, docs: DataFrame) -> DataFrame:
+    """(answer_id, question_id): the row that holds an answer's question, found by the hash it was stored under."""
+    key = answers.select(F.col("id").alias("answer_id"), F.sha2(F.concat("sha", F.lit("|question")), 256).alias("sha"))
+    return key.join(docs.select("sha", F.col("id").alias("question_id")), "sha").select("answer_id", "question_id")
+
+
+def context_before_chunks(docs: DataFrame, chunks: DataFrame, n: int = 4) -> DataFrame:
+    """(session_id, chunk, context): ids of up to n spoken turns before each packed chunk, oldest first."""
+    return chunks.join(turns_before(docs, n), F.col("first_id") == F.col("id")).select("session_id", "chunk", F.col("before").alias("context"))
