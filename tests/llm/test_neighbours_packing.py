@@ -26,7 +26,7 @@ def brute(vectors, least=0.9, k=10):
 @pytest.fixture(scope="module")
 def tables(spark):
     d = "/root/testdata/sf0.01"
-    return N.tables(read(spark, d, "chunks").withColumn("key", F.lit(0)), read(spark, d, "vectors")).cache()
+    return N.unit(N.tables(read(spark, d, "chunks").withColumn("key", F.lit(0)), read(spark, d, "vectors"))).cache()
 
 
 def test_close_pairs(spark, tables):
@@ -36,7 +36,7 @@ def test_close_pairs(spark, tables):
 
 
 def test_recall_of_a_stated_query_set(spark, tables):
-    queries = tables.filter("key % 7 = 0")
+    queries = F.col("key") % 7 == 0
     got = {}
     for r in N.nearest(tables, queries).collect():
         got.setdefault((r["grp"], r["q"]), set()).add(r["s"])
