@@ -61,8 +61,8 @@ def read_lines(path: str, start: int, end: int, begin: int, max_line: int = MAX_
                 size += len(piece)
                 if size <= max_line + 2:
                     head += piece
-                elif len(head) > HEAD:
-                    head = head[:HEAD]
+                else:  # no more than the head of an oversized line is held
+                    head = (head if len(head) >= HEAD else head + piece)[:HEAD]
                 if piece.endswith(b"\n"):
                     done = True
                     break
