@@ -62,6 +62,36 @@ def test_leak_edges(spark, monkeypatch):
     assert L.find(docs.limit(0), items).count() == 0 and L.find(docs, items.limit(0)).count() == 0
 
 
+def test_reworked_windows_against_brute_force(spark, monkeypatch):
+    """Every window of weighted similarity 0.8 or more, whichever words were changed."""
+    rng = random.Random(5)
+    items = [(i, " ".join(f"w{min(int(rng.paretovariate(0.7)), 400)}" for _ in range(30))) for i in range(40)]
+    docs = []
+    for i, t in items:
+        for changes in (0, 1, 2, 3):
+            w = t.split()
+            for k in rng.sample(range(len(w)), changes):
+                w[k] = f"new{rng.randrange(9)}"
+            docs.append((len(docs), " ".join(["lead", *w[rng.randrange(8) :], "tail"])))
+    index, want = L.Index(items), {}
+    for d, t in docs:
+        ids = np.array([index.vocabulary.get(x, -1) for x in L.words(t)])
+        for p in range(len(ids) - L.SIZE + 1):
+            share = index.similarity(ids, np.full(len(index.start), p), np.arange(len(index.start)))
+            for i in set(index.owner[share >= 0.8].tolist()):
+                want[i, d] = want.get((i, d), 0) + 1
+    one = {d for (_, d) in want if d % 4 == 1}
+    assert len(one) > 30  # one changed word is within 0.8
+    args = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert {(r[0], r[1]): r[2] for r in L.find(*args, similarity=0.8).collect()} == want
+    edge = np.cumsum([0] + [len(L.words(t)) for _, t in docs])
+    ids = np.array([index.vocabulary.get(x, -1) for _, t in docs for x in L.words(t)])
+    signed = L.Index(items, least=0.8)
+    whole = {p for a, b in signed.reworked(ids, edge) for p in zip(a.tolist(), b.tolist())}
+    monkeypatch.setattr(L, "_PAIRS", 7)
+    assert {p for a, b in signed.reworked(ids, edge) for p in zip(a.tolist(), b.tolist())} == whole
+
+
 def shares(a, b, n=200):
     have = {a[k : k + n] for k in range(len(a) - n + 1)}
     return any(b[k : k + n] in have for k in range(len(b) - n + 1))

@@ -1,10 +1,17 @@
 """Evaluation passages inside a training corpus (problem 9).
 
-Every stretch of SIZE words, of items and documents alike, gets a SimHash fingerprint over its two-word
-shingles. Fingerprints are split into radius + 1 blocks: two of them within `radius` bits agree in at
-least one block, so looking up each document window's blocks in the items' blocks misses none. What is
-found is then compared exactly, word by word, by the weight of the shingles that agree (a shingle
-weighs the less the more items hold it); a similarity of 1 is a verbatim passage.
+Verbatim passages (similarity 1): every stretch of SIZE words, of items and documents alike, gets a
+SimHash fingerprint over its two-word shingles. Fingerprints are split into radius + 1 blocks: two of
+them within `radius` bits agree in at least one block, so looking up each document window's blocks in
+the items' blocks misses none.
+
+Reworked passages (similarity below 1): one changed word of 13 flips more bits than any usable radius
+allows, so they are found by their shingles instead. Of each item window the heaviest shingles are
+indexed, as many as together weigh more than a match may miss: a document window that is similar enough
+has at least one of them in its place, so none is missed.
+
+What is found is then compared exactly, word by word, by the weight of the shingles that agree (a
+shingle weighs the less the more items hold it); a similarity of 1 is a verbatim passage.
 
 Items are a stated set; they go to the executors in slices of at most SLICE windows, one pass over the
 corpus per slice, so their number is not limited. Documents are neither shuffled nor collected.
@@ -30,6 +37,8 @@ SIZE, RADIUS = 13, 1
 SLICE = 2_000_000
 _WORD = re.compile(r"[^\W_]+")
 _BLOCK = 60_000
+#: Pairs of windows compared at a time.
+_PAIRS = 500_000
 
 
 def words(text: str | None) -> list[str]:
@@ -71,7 +80,7 @@ def fingerprints(h: np.ndarray, size: int = SIZE) -> np.ndarray:
 class Index:
     """Item windows by the blocks of their fingerprints."""
 
-    def __init__(self, items: list[tuple[int, str]], size: int = SIZE, radius: int = RADIUS):
+    def __init__(self, items: list[tuple[int, str]], size: int = SIZE, radius: int = RADIUS, least: float = 1.0):
         self.size, self.radius = size, radius
         self.vocabulary: dict[str, int] = {}
         ids, owner, start, flat = [], [], [], []
@@ -99,11 +108,55 @@ class Index:
             self.blocks.append((int(lo), int(hi - lo), key[order], order, gate))
         # Weight of a shingle: the fewer items hold it, the heavier.
         a, b = self.flat[:-1], self.flat[1:]
-        self.weight = {}
+        self.weight = np.zeros(len(a))
         if len(self.start):
             at = np.unique((self.start[:, None] + np.arange(size - 1)).ravel())
-            pairs, counts = np.unique(a[at] * (1 << 32) + b[at], return_counts=True)
-            self.weight = dict(zip(pairs.tolist(), (1 / counts).tolist()))
+            _, which, counts = np.unique(a[at] * (1 << 32) + b[at], return_inverse=True, return_counts=True)
+            self.weight[at] = 1 / counts[which]
+        self.least = least
+        if least < 1:
+            self._sign(a, b)
+
+    def _sign(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Of each window its heaviest shingles, until the others weigh less than `least` of it: (shingle, window, place in it)."""
+        codes, windows, places = [], [], []
+        for at in range(0, len(self.start), _BLOCK):
+            where = self.start[at : at + _BLOCK, None] + np.arange(self.size - 1)
+            w = self.weight[where]
+            order = np.argsort(-w, axis=1, kind="stable")
+            total = np.cumsum(np.take_along_axis(w, order, 1), axis=1)
+            # Of all before it a shingle is needed as long as a match may miss them; rounding is allowed for.
+            before = np.concatenate((np.zeros((len(total), 1)), total[:, :-1]), axis=1)
+            i, j = np.nonzero(before <= (1 - self.least + 1e-9) * total[:, -1:])
+            place = order[i, j]
+            codes.append(a[where[i, place]] * (1 << 32) + b[where[i, place]])
+            windows.append(at + i)
+            places.append(place)
+        code, window, place = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (codes, windows, places))
+        order = np.argsort(code, kind="stable")
+        self.signs, first = np.unique(code[order], return_index=True)
+        self.sign_edge = np.append(first, len(order))
+        self.sign_window, self.sign_place = window[order], place[order]
+
+    def reworked(self, ids: np.ndarray, edge: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(place in ids, item window) of all pairs that share a signing shingle in the same place, in parts. ids: words by vocabulary, else -1; edge: where documents begin and end."""
+        if not len(self.signs) or len(ids) < 2:
+            return
+        at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+        code = ids[at] * (1 << 32) + ids[at + 1]
+        sign = np.minimum(np.searchsorted(self.signs, code), len(self.signs) - 1)
+        hit = self.signs[sign] == code
+        at, sign = at[hit], sign[hit]
+        n = self.sign_edge[sign + 1] - self.sign_edge[sign]
+        # Cut between hits, so that a part has some _PAIRS pairs.
+        cuts = np.flatnonzero(np.diff(np.cumsum(n) // _PAIRS)) + 1
+        for p, s, m in zip(np.split(at, cuts), np.split(sign, cuts), np.split(n, cuts)):
+            which = np.repeat(self.sign_edge[s], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            place, window = np.repeat(p, m) - self.sign_place[which], self.sign_window[which]
+            doc = np.searchsorted(edge, np.repeat(p, m), "right") - 1
+            inside = (place >= edge[doc]) & (place + self.size <= edge[doc + 1])  # not across two documents
+            both = np.unique(place[inside] * len(self.start) + window[inside])
+            yield both // len(self.start), both % len(self.start)
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in prints, item window) of all pairs within the radius."""
@@ -128,8 +181,7 @@ class Index:
         item = self.flat[self.start[window][:, None] + steps]
         same = ids[place[:, None] + steps] == item
         pair = same[:, :-1] & same[:, 1:]
-        code = item[:, :-1] * (1 << 32) + item[:, 1:]
-        weight = np.array([self.weight[x] for x in code.ravel().tolist()]).reshape(code.shape)
+        weight = self.weight[self.start[window][:, None] + steps[:-1]]
         share = (weight * pair).sum(1) / weight.sum(1)
         return np.where(same.all(1), 1.0, np.minimum(share, 1 - 1e-9))
 
@@ -149,7 +201,7 @@ def find(docs: DataFrame, items: DataFrame, similarity: float = 1.0, size: int =
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     out = None
     for part in slices:
-        handle = spark.sparkContext.broadcast(Index(part, size, radius))
+        handle = spark.sparkContext.broadcast(Index(part, size, radius, similarity))
         got = texts.mapInPandas(lambda batches, h=handle: _scan(batches, h.value, similarity), "item_id bigint, doc_id bigint, windows bigint")
         out = got if out is None else out.unionByName(got)
     return out.groupBy("item_id", "doc_id").agg(F.max("windows").alias("windows"))
@@ -164,28 +216,39 @@ def _scan(batches: Iterator[pd.DataFrame], index: Index, similarity: float) -> I
             w = words(text)
             if len(w) < size:
                 continue
+            flat.append(w)
+            owner.append(doc)
+            if similarity < 1:
+                continue
             for x in w:
                 if x not in cache:
                     cache[x] = index.hash_of[x] if x in index.hash_of else _hash(x)
             hashes.append(np.fromiter((cache[x] for x in w), np.uint64, len(w)))
-            flat.append(w)
-            owner.append(doc)
             if len(cache) > 500_000:
                 cache.clear()
         found = []
         if owner:
-            h = np.concatenate(hashes)
-            edge = np.cumsum([0] + [len(x) for x in hashes])
-            place, window = index.candidates(fingerprints(h, size))
-            which = np.searchsorted(edge, place, "right") - 1
-            inside = place + size <= edge[which + 1]  # not across two documents
-            place, window, which = place[inside], window[inside], which[inside]
-            if len(place):
-                near = np.unique((place[:, None] + np.arange(size)).ravel())
+            edge = np.cumsum([0] + [len(x) for x in flat])
+            if similarity < 1:
+                ids = np.fromiter((index.vocabulary.get(x, -1) for w in flat for x in w), np.int64, edge[-1])
+                parts = index.reworked(ids, edge)
+            else:
+                h = np.concatenate(hashes)
+                place, window = index.candidates(fingerprints(h, size))
+                which = np.searchsorted(edge, place, "right") - 1
+                inside = place + size <= edge[which + 1]  # not across two documents
+                place, window = place[inside], window[inside]
                 ids = np.full(len(h), -1, np.int64)
+                near = np.unique((place[:, None] + np.arange(size)).ravel())
                 whose = np.searchsorted(edge, near, "right") - 1
                 ids[near] = [index.vocabulary.get(flat[k][i - edge[k]], -1) for i, k in zip(near.tolist(), whose.tolist())]
+                parts = [(place, window)]
+            for place, window in parts:
                 ok = index.similarity(ids, place, window) >= similarity
-                got = pd.DataFrame({"item_id": index.owner[window[ok]], "doc_id": np.array(owner, np.int64)[which[ok]], "place": place[ok]}).drop_duplicates()
-                found.append(got.groupby(["item_id", "doc_id"], as_index=False).agg(windows=("place", "size")))
-        yield pd.concat(found) if found else pd.DataFrame({"item_id": [], "doc_id": [], "windows": []}).astype("int64")
+                which = np.searchsorted(edge, place[ok], "right") - 1
+                found.append(pd.DataFrame({"item_id": index.owner[window[ok]], "doc_id": np.array(owner, np.int64)[which], "place": place[ok]}))
+        if found:
+            got = pd.concat(found).drop_duplicates()
+            yield got.groupby(["item_id", "doc_id"], as_index=False).agg(windows=("place", "size"))
+        else:
+            yield pd.DataFrame({"item_id": [], "doc_id": [], "windows": []}).astype("int64")
