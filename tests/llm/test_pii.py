@@ -3,6 +3,8 @@ import re
 import pytest
 
 from tidemark.llm import pii, pii_examples
+from tidemark.llm.queries import queries
+from tidemark.session import read
 
 
 def test_held_out_accuracy():
@@ -49,6 +51,19 @@ def test_items_and_redaction(spark, docs):
     assert pii.items(docs.limit(0), people.limit(0)).count() == 0
 
 
+def test_redaction_of_several_texts(spark, docs):
+    got = [tuple(r) for r in pii.redact(docs, "id", ["body", "quote"]).collect()]
+    assert got[0] == (1, "cc [EMAIL] on the rollout note please.", None, 1) and got[1] == (2, None, "SMS went to [PHONE], no answer.", 1)
+    assert got[2] == (3, "", "", 0) and got[3][2:] == (None, 0) and got[4] == got[0]
+    sf = "/root/testdata/sf0.01"
+    made = queries()["p4_redacted"](spark, sf)
+    assert made.columns == ["id", "body", "quote", "n_items"]
+    found = pii.items(read(spark, sf, "docs"), read(spark, sf, "people"))
+    quotes = {r["doc_id"] for r in found.filter("field = 'quote'").collect()}
+    raw = {r["id"]: r["quote"] for r in read(spark, sf, "docs").collect()}
+    assert quotes and {r["id"] for r in made.collect() if r["quote"] != raw[r["id"]]} == quotes
+
+
 def test_text_outside_items_is_unchanged():
     examples, given, family = pii_examples.table(50, seed=5)
     scorer = pii.field().scorer(given, family)

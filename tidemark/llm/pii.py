@@ -366,25 +366,31 @@ def items(docs: DataFrame, people: DataFrame | None = None) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "field", F.explode("spans").alias("x")).select("doc_id", "field", F.col("x.type").alias("pii_type"), F.col("x.s").alias("start_offset")).distinct()
 
 
-def redact(docs: DataFrame, id_: str, text: str, people: DataFrame | None = None) -> DataFrame:
-    """(id, redacted, n_items): the text with typed placeholders, otherwise unchanged; one row a row."""
+def redact(docs: DataFrame, id_: str, texts: str | list[str], people: DataFrame | None = None) -> DataFrame:
+    """(id, each of texts, n_items): the texts with typed placeholders, otherwise unchanged; one row a row. Of a single name: (id, redacted, n_items)."""
     given, family = roster(people)
     handle = docs.sparkSession.sparkContext.broadcast((field(), given, family))
+    names = ["redacted"] if isinstance(texts, str) else list(texts)
+    texts = [texts] if isinstance(texts, str) else names
+    held = [f"_text{k}" for k in range(len(texts))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f, g, h = handle.value
         scorer = f.scorer(g, h)
         for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf["_text"]]
-            out, n = [], []
-            for raw, t, spans in zip(pdf["_text"], texts, scorer.spans(texts)):
-                parts, at = [], 0
-                for s, e, kind in spans:
-                    parts += [t[at:s], PLACEHOLDER[kind]]
-                    at = e
-                out.append("".join([*parts, t[at:]]) if isinstance(raw, str) else None)
-                n.append(len(spans))
-            yield pd.DataFrame({"_id": pdf["_id"], "redacted": out, "n_items": n})
-
-    narrow = docs.select(F.col(id_).cast("bigint").alias("_id"), F.col(text).alias("_text"))
-    return narrow.mapInPandas(run, "_id bigint, redacted string, n_items bigint").withColumnRenamed("_id", id_)
+            out, n = {"_id": pdf["_id"]}, np.zeros(len(pdf), np.int64)
+            for k, c in enumerate(held):
+                plain, done = [t if isinstance(t, str) else "" for t in pdf[c]], []
+                for i, (raw, t, spans) in enumerate(zip(pdf[c], plain, scorer.spans(plain))):
+                    parts, at = [], 0
+                    for s, e, kind in spans:
+                        parts += [t[at:s], PLACEHOLDER[kind]]
+                        at = e
+                    done.append("".join([*parts, t[at:]]) if isinstance(raw, str) else None)
+                    n[i] += len(spans)
+                out[f"_out{k}"] = done
+            yield pd.DataFrame(out | {"n_items": n})
+
+    narrow = docs.select(F.col(id_).cast("bigint").alias("_id"), *[F.col(t).alias(c) for t, c in zip(texts, held)])
+    made = ", ".join(f"_out{k} string" for k in range(len(texts)))
+    return narrow.mapInPandas(run, f"_id bigint, {made}, n_items bigint").toDF(id_, *names, "n_items")

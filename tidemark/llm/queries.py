@@ -18,7 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": lambda s, d: splitting.audit(read(s, d, "chunks"), read(s, d, "docs")),
         "p3_pieces": lambda s, d: splitting.split(read(s, d, "docs"), "id", "body"),
         "p4_found": lambda s, d: pii.items(read(s, d, "docs"), read(s, d, "people")),
-        "p4_redacted": lambda s, d: pii.redact(read(s, d, "docs"), "id", "body", read(s, d, "people")),
+        "p4_redacted": lambda s, d: pii.redact(read(s, d, "docs"), "id", ["body", "quote"], read(s, d, "people")),
         "p6_found": lambda s, d: neighbours.found(read(s, d, "chunks"), read(s, d, "vectors")),
         "p6_nearest": p6_nearest,
         "p8_containers": lambda s, d: packing.containers(read(s, d, "documents")),
