@@ -71,6 +71,26 @@ def test_estimate_over_many_blocks(spark):
         assert [(x["_t_zone"], x["violations"], x["readings"]) for x in r] == [("Europe/Berlin", 0, 1)]
 
 
+def test_estimate_tries_every_history(spark):
+    """A file from a zone that no record names; one that no zone fits; one whose clock showed a time twice."""
+    rows = [(0, "2026-01-10T12:00:00Z", "t"), (1, "2026-01-10T21:10:00", "t"), (2, "2026-01-10T12:20:00Z", "t")]
+    rows += [(0, "2026-01-10T12:00:00Z", "n"), (1, "2026-01-10T12:47:00", "n"), (2, "2026-01-10T12:01:00Z", "n")]
+    rows += [(0, "2026-11-01T05:50:00Z", "y"), (1, "2026-11-01T01:55:00", "y"), (2, "2026-11-01T06:10:00Z", "y"), (3, "2026-11-01T01:12:00", "y"), (4, "2026-11-01T06:15:00Z", "y")]
+    # Several zones fit, and give different instants.
+    rows += [(k, t, "s") for k, t in enumerate(("2026-01-10T11:00:00Z", "2026-01-10T12:30:00", "2026-01-10T13:00:00Z", "2026-07-10T09:00:00Z", "2026-07-10T12:30:00", "2026-07-10T12:00:00Z"))]
+    df = spark.createDataFrame(rows, "o int, ts string, path string")
+    src = sources(spark, [(p, None, None) for p in "tnys"])
+    got = {(r["path"], r["o"]): (r["utc_ms"], r["zone_from"]) for r in T.normalise(df, "ts", "path", "o", src).collect()}
+    assert got["t", 1] == (ms(2026, 1, 10, 12, 10), "estimate")  # Tokyo
+    assert got["n", 1] == (None, None) and got["y", 1] == (None, None) and got["s", 1] == (None, None)
+    parsed = T.parse(df.select(F.col("path").alias("_t_path"), F.col("o").cast("bigint").alias("_t_order"), "ts"), "ts")
+    est = {r["_t_path"]: r for r in T.estimate_zones(parsed, T.file_zones(src)).collect()}
+    assert est["t"]["_t_zone"] and est["t"]["violations"] == 0 and est["n"]["_t_zone"] is None and est["n"]["violations"] > 0
+    few = {r["_t_path"]: r for r in T.estimate_zones(parsed, T.file_zones(src), ["America/New_York"]).collect()}
+    assert few["y"]["_t_zone"] == "America/New_York" and few["y"]["violations"] == 0
+    assert len(T.histories()) > 300 and T.histories()[:7] == T.CANDIDATES
+
+
 def test_empty_repeated_and_clashing(spark):
     df = spark.createDataFrame([], "ts string, path string, o int")
     assert T.normalise(df, "ts", "path", "o", sources(spark)).count() == 0

@@ -6,10 +6,10 @@ integer arithmetic. Named zones are resolved by trying the offsets in force befo
 local time: if both fit, the clock showed the time twice; if none fits, it skipped it.
 
 Zones missing from the text come from the file's record of its zone. Where that is missing too, they
-are estimated per file (`estimate_zones`): each candidate zone's whole offset history is laid over the
-file's zone-less times, and the zone is taken under which the fewest of them fall outside the instants
-known before and after them in the file's sequence, or after the file was stored. A tie between
-candidates that give different instants leaves the zone open.
+are estimated per file (`estimate_zones`): every distinct offset history of the zone database is laid
+over the file's zone-less times, and those zones fit under which none of them is skipped or falls outside
+the instants known before and after it in the file's sequence, or after the file was stored. If no zone
+fits, or zones that give different instants fit, the zone stays open.
 
 Defined cases: null, blank or unparsable text, impossible dates or times, dates alone, times alone:
 no instant (utc_ms null). Repeated rows are kept. An empty table gives an empty table. Columns other
@@ -18,10 +18,11 @@ than those named are passed through, but for ones named utc_ms, zone_from or ``_
 
 from __future__ import annotations
 
+import functools
 import zoneinfo
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Zone abbreviations that name one offset, in minutes.
@@ -147,6 +148,13 @@ def zone_instant(local: Column, zone: Column) -> Column:
     return F.when(local.isNotNull() & zone.isNotNull(), let(around, choose))
 
 
+def zone_skips(local: Column, zone: Column) -> Column:
+    """Whether a named zone's clock never showed `local`."""
+    offset = lambda u: F.unix_millis(F.from_utc_timestamp(F.timestamp_millis(u), zone)) - u
+    misses = lambda u: offset(u) != local - u
+    return misses(local - offset(local - 36 * 3_600_000)) & misses(local - offset(local + 36 * 3_600_000))
+
+
 def parse(df: DataFrame, ts: str) -> DataFrame:
     """Adds _t_ms (instant, where the text alone names one), _t_local (wall time of a zone-less text)."""
     known = _known_zones()
@@ -176,8 +184,25 @@ def file_zones(sources: DataFrame) -> DataFrame:
     return stored.select(F.col("path").alias("_t_path"), F.when(F.col("tz").isin(_known_zones()), F.col("tz")).alias("_t_zone"), F.col("_t_ms").alias("_t_stored"))
 
 
-def estimate_zones(rows: DataFrame, zones: DataFrame, candidates: Sequence[str], block: int = 4096) -> DataFrame:
-    """(path, zone, violations, zoneless) for files without a recorded zone.
+#: Names that are preferred for a history that several zones share.
+CANDIDATES = ("UTC", "America/New_York", "America/Los_Angeles", "Europe/London", "Europe/Berlin", "Asia/Kolkata", "Australia/Sydney")
+
+
+@functools.lru_cache(maxsize=1)
+def histories() -> tuple[str, ...]:
+    """A zone for every distinct offset history that the session's zone database holds; CANDIDATES come first."""
+    jvm = SparkSession.active()._jvm
+    known = jvm.java.util.TreeSet(jvm.java.time.ZoneId.getAvailableZoneIds()).toString()[1:-1].split(", ")
+    rules = jvm.java.util.HashMap()
+    usual = [z for z in known if z in set(_known_zones())]
+    return tuple(z for z in dict.fromkeys((*CANDIDATES, *usual)) if rules.putIfAbsent(jvm.java.time.ZoneId.of(z).getRules(), z) is None)
+
+
+def estimate_zones(rows: DataFrame, zones: DataFrame, candidates: Sequence[str] | None = None, block: int = 4096) -> DataFrame:
+    """(path, zone, violations, zoneless, readings) for files without a recorded zone.
+
+    candidates: all `histories` if not stated. zone is the first of those with no violation, if they all give the
+    same instants (readings 1), else null; violations are those of the best candidate.
 
     rows: _t_path, _t_order (place in the file), _t_ms, _t_local. The nearest known instants before and
     after each zone-less row are found in two levels, within blocks of `block` units of place and over
@@ -209,13 +234,13 @@ def estimate_zones(rows: DataFrame, zones: DataFrame, candidates: Sequence[str],
         (F.col("_t_at") < F.coalesce("_t_prev", "_t_before")).cast("int"), F.lit(0)
     ) + F.coalesce((F.col("_t_at") > F.coalesce("_t_next", "_t_after")).cast("int"), F.lit(0)) + F.coalesce(
         (F.col("_t_at") > F.col("_t_stored")).cast("int"), F.lit(0)
-    ) + F.col("_t_at").isNull().cast("int")
+    ) + F.when(F.col("_t_at").isNull(), zone_skips(F.col("_t_local"), F.col("_t_zone")).cast("int")).otherwise(0)
     scored = (
         near.join(around, ["_t_path", "_t_block"], "left")
-        .withColumn("_t_zone", F.explode(F.array(*[F.lit(z) for z in candidates])))
+        .select("*", F.posexplode(F.array(*[F.lit(z) for z in candidates or histories()])).alias("_t_rank", "_t_zone"))
         .withColumn("_t_at", at)
-        .groupBy("_t_path", "_t_zone")
-        .agg(F.sum(bad).alias("violations"), F.count("*").alias("zoneless"), F.sum("_t_at").alias("_t_sum"),
+        .groupBy("_t_path", "_t_rank", "_t_zone")
+        .agg(F.sum(bad).alias("violations"), F.count("*").alias("zoneless"), F.sum(F.xxhash64("_t_local", "_t_at").cast("decimal(20,0)")).alias("_t_sum"),
              F.max(F.coalesce("_t_prev", "_t_before", "_t_next", "_t_after", "_t_stored").isNotNull()).alias("_t_tied_down"))
     )
     best = Window.partitionBy("_t_path")
@@ -225,18 +250,15 @@ def estimate_zones(rows: DataFrame, zones: DataFrame, candidates: Sequence[str],
         .filter((F.col("violations") == F.col("_t_least")) & F.col("_t_tied_down"))
         .groupBy("_t_path")
         .agg(
-            F.min("_t_zone").alias("_t_zone"), F.min("violations").alias("violations"), F.max("zoneless").alias("zoneless"),
+            F.min_by("_t_zone", "_t_rank").alias("_t_zone"), F.min("violations").alias("violations"), F.max("zoneless").alias("zoneless"),
             F.count_distinct("_t_sum").alias("readings"),
         )
+        .withColumn("_t_zone", F.when((F.col("violations") == 0) & (F.col("readings") == 1), F.col("_t_zone")))
     )
 
 
-#: Zones that are tried where no file names one.
-CANDIDATES = ("UTC", "America/New_York", "America/Los_Angeles", "Europe/London", "Europe/Berlin", "Asia/Kolkata", "Australia/Sydney")
-
-
 def normalise(
-    df: DataFrame, ts: str, path: str, order: str, sources: DataFrame, candidates: Sequence[str] = CANDIDATES, estimate: bool = True
+    df: DataFrame, ts: str, path: str, order: str, sources: DataFrame, candidates: Sequence[str] | None = None, estimate: bool = True
 ) -> DataFrame:
     """df with utc_ms (bigint or null) and zone_from: text, file, estimate or null.
 
@@ -254,7 +276,7 @@ def normalise(
     met = local.join(zones, "_t_path", "left")
     if estimate:
         rows = parse(df.select(F.col(path).alias("_t_path"), F.col(order).cast("bigint").alias("_t_order"), F.col(ts).alias("_t_ts")), "_t_ts").drop("_t_ts")
-        guess = estimate_zones(rows, zones, candidates).filter("readings = 1").select("_t_path", F.col("_t_zone").alias("_t_guess"))
+        guess = estimate_zones(rows, zones, candidates).filter("_t_zone is not null").select("_t_path", F.col("_t_zone").alias("_t_guess"))
         met = met.join(guess, "_t_path", "left")
     else:
         met = met.withColumn("_t_guess", F.lit(None).cast("string"))

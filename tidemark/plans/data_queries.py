@@ -28,8 +28,8 @@ def p7_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The estimated zone of every file without a recorded one that has zone-less times."""
     rows = timestamps.parse(_stamped(spark, sf_dir).select(F.col("path").alias("_t_path"), F.col("place").alias("_t_order"), "ts"), "ts").drop("ts")
     zones = timestamps.file_zones(read(spark, sf_dir, "sources"))
-    return timestamps.estimate_zones(rows, zones, timestamps.CANDIDATES).select(
-        F.col("_t_path").alias("path"), F.when(F.col("readings") == 1, F.col("_t_zone")).alias("zone"), F.col("violations").cast("bigint"), F.col("zoneless"), "readings"
+    return timestamps.estimate_zones(rows, zones).select(
+        F.col("_t_path").alias("path"), F.col("_t_zone").alias("zone"), F.col("violations").cast("bigint"), F.col("zoneless"), "readings"
     )
 
 
