@@ -61,6 +61,17 @@ def test_hot_group_of_copies_and_hot_cells(spark, monkeypatch):
     assert len(want & got) >= 0.97 * len(want) and len(got - want) <= 0.01 * len(want)
 
 
+def test_size_of_a_cell_changes_nothing(spark, tables, monkeypatch):
+    """What meets is the same whether a cell is one block or many."""
+    filed, handle = N.encode(tables)
+    pairs = lambda: {(r["grp"], r["q"], r["s"]) for r in N.candidates(filed, handle, None, 0.9).collect()}
+    want = pairs()
+    monkeypatch.setattr(N, "HOT", 8)
+    monkeypatch.setattr(N, "STORED_BLOCK", 50)
+    monkeypatch.setattr(N, "QUERY_BLOCK", 20)
+    assert want and pairs() == want
+
+
 def test_vector_edges(spark):
     rows = [(1, None), (2, []), (3, [0.0] * 4), (4, [1.0, 0.0, 0.0, 0.0]), (5, [2.0, 0.0, 0.0, 0.0]), (6, [1.0, 0.0, 0.0]), (7, [float("nan")] * 4), (8, [float("inf"), 0.0, 0.0, 0.0]), (5, [2.0, 0.0, 0.0, 0.0]), (None, [1.0] * 4)]
     df = spark.createDataFrame(rows, "key bigint, vec array<float>")

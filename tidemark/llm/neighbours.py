@@ -6,8 +6,8 @@ inner products with all codewords make a table, so that a stored vector is score
 The best-scored are reranked with the exact cosine.
 
 Close pairs: the first codeword also says where a vector is filed, in the cells of its PROBES best first
-codewords, and each vector looks into the cell of its own best one; the files of hot cells are cut finer by the second
-codeword, and what is still large is cut into blocks of rows that meet block by block. Only codes are
+codewords, and each vector looks into the cell of its own best one. A large cell is cut into blocks of
+rows that all meet, block by block, so what is found doesn't depend on a cell's size. Only codes are
 filed several times, whole vectors once.
 
 Identical directions are one class with its least keys at hand, so copies, however many, are searched
@@ -31,8 +31,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialise
 
-SAMPLE, STAGES, WORDS, PROBES, BEAM, DEEPER = 8_192, 8, 256, 10, 2, 2
-#: A cell with more filed rows is cut by the second codeword; rows per block of a cell.
+SAMPLE, STAGES, WORDS, PROBES, BEAM = 8_192, 8, 256, 10, 2
 #: Best-scored pairs of a query and block that are looked at, and those of a stated query that are reranked exactly.
 POOL, RERANKED = 256, 160
 #: Stages of the codes for stated query sets: their neighbours are far off, so scores have to be finer than for close pairs.
@@ -93,12 +92,6 @@ class Quantiser:
         near = np.argpartition(-first, take - 1, axis=1)[:, :take]
         return np.take_along_axis(near, np.argsort(-np.take_along_axis(first, near, 1), axis=1, kind="stable"), 1)
 
-    def deeper(self, x: np.ndarray, first: int, n: int) -> list[int]:
-        """Cells below a first codeword for one vector: 256 + 256 * first + second, the n best."""
-        d = self.books[1] if len(self.books) > 1 else self.books[0][:1] * 0
-        second = d @ (x - self.books[0][first]) - 0.5 * (d * d).sum(1)
-        return [256 + 256 * first + int(k) for k in np.argsort(-second, kind="stable")[:n]]
-
 
 def plain(rows: DataFrame, group: list[Column], key: str, vec: str) -> DataFrame:
     """(grp, key, vec) of rows with a vector; grp names table, model and width."""
@@ -169,34 +162,16 @@ def candidates(filed: DataFrame, handle, queries: Column | None, least: float |
     With `least`, what a query keeps of a block is everything its estimate can't put below `least`, but of
     more than `pool` the `pool` best (an accepted loss of a search for the k best); without, its `pool` best.
     """
-    crowd = filed.groupBy("grp", F.get("cells", F.lit(0)).alias("c")).count().filter(F.col("count") > HOT)
-    hot = {(r["grp"], r["c"]) for r in crowd.select("grp", "c").collect()}  # at most 256 a group
-
-    def refined(rows: DataFrame, n: int) -> DataFrame:
-        """Hot cells replaced by the n best cells below them; nothing to do where no cell is hot."""
-        if not hot:
-            return rows
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                out = []
-                for g, v, cells in zip(pdf["grp"], pdf["v"], pdf["cells"]):
-                    x = np.frombuffer(v, np.float32)
-                    out.append([k for c in cells for k in (handle.value[g].deeper(x, int(c), n) if (g, int(c)) in hot else [int(c)])])
-                yield pdf.assign(cells=out)
-
-        return rows.mapInPandas(run, rows.schema)
-
     one = F.get("cells", F.lit(0)).alias("cell")
     if queries is None:
-        asked = refined(filed.select("grp", "key", "v", F.slice("cells", 1, 1).alias("cells")), 1).select("grp", F.col("key").alias("q"), "v", one)
-        stored = refined(filed, DEEPER).select("grp", F.explode("cells").alias("cell"), F.col("key").alias("s"), "code", "norm", "fit")
+        asked = filed.select("grp", F.col("key").alias("q"), "v", one)
+        stored = filed.select("grp", F.explode("cells").alias("cell"), F.col("key").alias("s"), "code", "norm", "fit")
     else:
         # A stated set of queries is scored against every code, block by block: where neighbours are no nearer than
         # chance puts them, the cells that hold them are half of all.
         asked = filed.filter(queries).select("grp", F.col("key").alias("q"), "v", F.lit(0).alias("cell"))
         stored = filed.select("grp", F.lit(0).alias("cell"), F.col("key").alias("s"), "code", "norm", "fit")
-    # Sizes of the cells: at most 256 + 65536 rows a group.
+    # Sizes of the cells: at most 256 rows a group.
     ns = stored.groupBy("grp", "cell").agg(F.count("*").alias("ns")).join(asked.groupBy("grp", "cell").agg(F.count("*").alias("nq")), ["grp", "cell"])
     blocks = materialise(ns.select("grp", "cell", F.ceil(F.col("ns") / STORED_BLOCK).cast("int").alias("bs"), F.ceil(F.col("nq") / QUERY_BLOCK).cast("int").alias("bq")), "blocks").coalesce(1)
     spread = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
