@@ -61,6 +61,22 @@ def test_hot_group_of_copies_and_hot_cells(spark, monkeypatch):
     assert len(want & got) >= 0.97 * len(want) and len(got - want) <= 0.01 * len(want)
 
 
+def test_hot_group_of_noisy_copies(spark, monkeypatch):
+    """A third of all rows are near-copies of one template, nearer to each other than their codes tell."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1800, 32))
+    x[:600] = x[0] + 0.01 * rng.normal(size=(600, 32))
+    df = N.prepare(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "key bigint, vec array<float>"), [F.lit("t")], "key", "vec")
+    want, _ = brute(df)
+    for hot, block in ((N.HOT, N.STORED_BLOCK), (70, 150)):
+        monkeypatch.setattr(N, "POOL", 20)
+        monkeypatch.setattr(N, "HOT", hot)
+        monkeypatch.setattr(N, "STORED_BLOCK", block)
+        monkeypatch.setattr(N.candidates, "__defaults__", (20,))
+        got = {(r["grp"], r["key_a"], r["key_b"]) for r in N.close_pairs(df).collect()}
+        assert len(want & got) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(want)
+
+
 def test_size_of_a_cell_changes_nothing(spark, tables, monkeypatch):
     """What meets is the same whether a cell is one block or many."""
     filed, handle = N.encode(tables)

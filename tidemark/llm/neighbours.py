@@ -8,7 +8,8 @@ The best-scored are reranked with the exact cosine.
 Close pairs: the first codeword also says where a vector is filed, in the cells of its PROBES best first
 codewords, and each vector looks into the cell of its own best one. A large cell is cut into blocks of
 rows that all meet, block by block, so what is found doesn't depend on a cell's size. Only codes are
-filed several times, whole vectors once.
+filed several times, whole vectors once; but where more rows of a block are close to a query than POOL,
+the query meets that block's vectors instead, and the exact cosine decides (`crowded`).
 
 Identical directions are one class with its least keys at hand, so copies, however many, are searched
 once.
@@ -32,12 +33,14 @@ from pyspark.sql import functions as F
 from tidemark.session import materialise
 
 SAMPLE, STAGES, WORDS, PROBES, BEAM = 8_192, 8, 256, 10, 2
-#: Best-scored pairs of a query and block that are looked at, and those of a stated query that are reranked exactly.
+#: Close rows of a query and block above which exact cosines decide which to keep (close pairs), best-scored ones that are
+#: looked at (stated queries), and those of a stated query that are reranked exactly.
 POOL, RERANKED = 256, 160
 #: Stages of the codes for stated query sets: their neighbours are far off, so scores have to be finer than for close pairs.
 FINE_STAGES = 16
-HOT, STORED_BLOCK, QUERY_BLOCK = 50_000, 32_768, 2_048
-MAX_GROUPS = 64
+HOT, STORED_BLOCK, QUERY_BLOCK = 32_768, 32_768, 2_048
+#: HOT: queries that meet a crowded block's vectors at a time.
+MAX_GROUPS, MERGED = 64, 0.1
 _INDEX = "grp string, key bigint, v binary, code binary, norm float, fit float, cells array<int>"
 
 
@@ -63,6 +66,13 @@ class Quantiser:
             books.append(c)
             rest -= c[np.argmax(rest @ c.T - 0.5 * (c * c).sum(1), axis=1)]
         self.books = books
+        # Where rows crowd, so do first words: those nearer than MERGED to an earlier one (squared) share its cell.
+        first, lead = books[0], []
+        self.cell_of = np.zeros(len(first), np.int64)
+        for i, c in enumerate(first):
+            near = [j for j in lead if ((c - first[j]) ** 2).sum() <= MERGED]
+            self.cell_of[i] = near[0] if near else i
+            lead += [] if near else [i]
 
     def encode(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """(codes n x stages, norms of the sums) by beam search on |x - sum|."""
@@ -85,12 +95,15 @@ class Quantiser:
         return codes[rows, best], np.linalg.norm(x - rest[rows, best], axis=1).astype(np.float32)
 
     def cells(self, x: np.ndarray, probes: int = PROBES) -> np.ndarray:
-        """n x probes first codewords, best first."""
+        """n x probes cells (of the first codewords), best first."""
         c = self.books[0]
         first = x @ c.T - 0.5 * (c * c).sum(1)
-        take = min(probes, len(c))
+        order = np.argsort(self.cell_of, kind="stable")
+        lead, at = np.unique(self.cell_of[order], return_index=True)
+        first = np.maximum.reduceat(first[:, order], at, axis=1)
+        take = min(probes, len(lead))
         near = np.argpartition(-first, take - 1, axis=1)[:, :take]
-        return np.take_along_axis(near, np.argsort(-np.take_along_axis(first, near, 1), axis=1, kind="stable"), 1)
+        return lead[np.take_along_axis(near, np.argsort(-np.take_along_axis(first, near, 1), axis=1, kind="stable"), 1)]
 
 
 def plain(rows: DataFrame, group: list[Column], key: str, vec: str) -> DataFrame:
@@ -156,11 +169,21 @@ def encode(vectors: DataFrame, sample: int = SAMPLE, stages: int = STAGES, sizes
     return materialise(vectors.mapInPandas(index, _INDEX), "index"), handle
 
 
+def spread(key: str, n: Column) -> Column:
+    """Block of a row."""
+    return F.pmod(F.xxhash64(key), n).cast("int")
+
+
+def up_to(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), n - 1))
+
+
 def candidates(filed: DataFrame, handle, queries: Column | None, least: float | None, pool: int = POOL) -> DataFrame:
     """(grp, q, s, est): pairs worth an exact comparison. filed, handle from `encode`; queries: which rows (grp, key) ask, null for all.
 
-    With `least`, what a query keeps of a block is everything its estimate can't put below `least`, but of
-    more than `pool` the `pool` best (an accepted loss of a search for the k best); without, its `pool` best.
+    With `least`, what a query keeps of a block is everything its estimate can't put below `least`; of more than
+    `pool`, one row with s = q is all that comes, with the block packed in `at` (else -1), for `crowded` to compare exactly.
+    Without `least`, its `pool` best.
     """
     one = F.get("cells", F.lit(0)).alias("cell")
     if queries is None:
@@ -174,13 +197,11 @@ def candidates(filed: DataFrame, handle, queries: Column | None, least: float |
     # Sizes of the cells: at most 256 rows a group.
     ns = stored.groupBy("grp", "cell").agg(F.count("*").alias("ns")).join(asked.groupBy("grp", "cell").agg(F.count("*").alias("nq")), ["grp", "cell"])
     blocks = materialise(ns.select("grp", "cell", F.ceil(F.col("ns") / STORED_BLOCK).cast("int").alias("bs"), F.ceil(F.col("nq") / QUERY_BLOCK).cast("int").alias("bq")), "blocks").coalesce(1)
-    spread = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
-    up_to = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     left = asked.join(blocks, ["grp", "cell"]).withColumn("x", spread("q", F.col("bq"))).withColumn("y", up_to(F.col("bs"))).drop("bs", "bq")
-    right = stored.join(blocks, ["grp", "cell"]).withColumn("y", spread("s", F.col("bs"))).withColumn("x", up_to(F.col("bq"))).drop("bs", "bq")
+    right = stored.join(blocks, ["grp", "cell"]).withColumn("y", spread("s", F.col("bs"))).withColumn("x", up_to(F.col("bq"))).drop("bq")
 
     def meet(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"grp": [], "q": [], "s": []}).astype({"grp": str, "q": "int64", "s": "int64"}).assign(est=0.0)
+        none = pd.DataFrame({"grp": [], "q": [], "s": []}).astype({"grp": str, "q": "int64", "s": "int64"}).assign(est=0.0, at=np.int64(-1))
         if not len(a) or not len(b):
             return none
         book = handle.value[key[0]]
@@ -188,7 +209,7 @@ def candidates(filed: DataFrame, handle, queries: Column | None, least: float |
         norm, fit, s = b["norm"].to_numpy(), b["fit"].to_numpy(), b["s"].to_numpy()
         order = np.argsort(codes[:, 0], kind="stable")
         codes, norm, fit, s = codes[order].astype(np.intp), np.maximum(norm[order], 1e-9), fit[order], s[order]
-        qs, ss, es = [], [], []
+        qs, ss, es, full = [], [], [], []
         for at in range(0, len(a), 256):
             p = a.iloc[at : at + 256]
             x, q = np.stack([np.frombuffer(v, np.float32) for v in p["v"]]), p["q"].to_numpy()
@@ -201,9 +222,7 @@ def candidates(filed: DataFrame, handle, queries: Column | None, least: float |
                 crowded = np.flatnonzero(ok.sum(0) > pool)
                 ok[:, crowded] = False
                 i, j = np.nonzero(ok)
-                if len(crowded):
-                    top = np.argpartition(-score[:, crowded], pool, axis=0)[:pool]
-                    i, j = np.concatenate((i, top.T.ravel())), np.concatenate((j, np.repeat(crowded, pool)))
+                full.extend(q[crowded].tolist())
             else:
                 take = min(pool, len(s))
                 i = np.argpartition(-score, take - 1, axis=0)[:take].T.ravel()
@@ -213,16 +232,66 @@ def candidates(filed: DataFrame, handle, queries: Column | None, least: float |
             es.append(score[i, j])
         qs, ss, es = np.concatenate(qs), np.concatenate(ss), np.concatenate(es).astype(float)
         ok = qs != ss
-        return pd.DataFrame({"grp": key[0], "q": qs[ok], "s": ss[ok], "est": es[ok]})
+        mark = np.array(full, np.int64)
+        block = (int(key[1]) << 48) + (int(b["bs"].iloc[0]) << 24) + int(key[3])
+        at = np.repeat(np.array([-1, block], np.int64), (ok.sum(), len(mark)))
+        return pd.DataFrame({"grp": key[0], "q": np.concatenate((qs[ok], mark)), "s": np.concatenate((ss[ok], mark)), "est": np.concatenate((es[ok], np.zeros(len(mark)))), "at": at})
 
     on = ["grp", "cell", "x", "y"]
     right = right.toDF(*right.columns)  # columns of its own, though both sides come from the same rows
-    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(meet, "grp string, q bigint, s bigint, est double")
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(meet, "grp string, q bigint, s bigint, est double, at bigint")
+
 
+def crowded(marks: DataFrame, filed: DataFrame, least: float, k: int) -> DataFrame:
+    """(grp, q, s): of each marked query and block (grp, q, at) all pairs of exact cosine >= least that are among the k best of q there, or of s among the queries."""
+    block = ["grp", "cell", "y"]
+    part = lambda shift: F.shiftright("at", shift).bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
+    marks = marks.select("grp", "q", part(48).alias("cell"), part(24).alias("bs"), part(0).alias("y"))
+    size = marks.groupBy(*block, "bs").agg(F.ceil(F.count("*") / HOT).cast("int").alias("bq"))
+    asked = marks.join(size.drop("bs"), block).withColumn("x", spread("q", F.col("bq"))).join(filed.select("grp", F.col("key").alias("q"), "v"), ["grp", "q"]).select(*block, "x", "q", "v")
+    stored = filed.select("grp", F.explode("cells").alias("cell"), F.col("key").alias("s"), "v").join(size, ["grp", "cell"]).filter(F.col("y") == spread("s", F.col("bs")))
+    stored = stored.withColumn("x", up_to(F.col("bq"))).select(*block, "x", "s", "v")
 
-def rerank(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(grp, q, s, cos) with the exact cosine. Only vectors that are in some pair are moved."""
-    pairs = materialise(pairs.select("grp", "q", "s"), "pairs")
+    def meet(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        def matrix(v: pd.Series) -> np.ndarray:
+            m = np.stack([np.frombuffer(x, np.float32) for x in v]).astype(np.float64) if len(v) else np.empty((0, 1))
+            return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+        a, b = a.sort_values("q"), b.sort_values("s")
+        q, s, x, y = a["q"].to_numpy(), b["s"].to_numpy(), matrix(a["v"]), matrix(b["v"])
+        qs, ss = [], []
+        if len(q) and len(s):
+            best, whose = np.full((k, len(s)), -2.0), np.full((k, len(s)), -1)  # of each s so far
+            for at in range(0, len(q), 64):
+                # Ties go to the smaller key: rows are in its order, and sorting is stable.
+                cos = np.round(x[at : at + 64] @ y.T, 12)
+                cos[q[at : at + 64, None] == s] = -2
+                i, j = np.nonzero(cos >= least - 1e-9)
+                order = np.lexsort((j, -cos[i, j], i))
+                i, j = i[order], j[order]
+                first = np.arange(len(i)) - np.searchsorted(i, i) < k
+                qs.append(q[at + i[first]])
+                ss.append(s[j[first]])
+                near = np.unique(j)
+                both = np.concatenate((best[:, near], cos[:, near]))
+                names = np.concatenate((whose[:, near], np.repeat(np.arange(at, at + len(cos))[:, None], len(near), 1)))
+                top = np.argsort(-both, axis=0, kind="stable")[:k]
+                best[:, near], whose[:, near] = np.take_along_axis(both, top, 0), np.take_along_axis(names, top, 0)
+            i, j = np.nonzero(best >= least - 1e-9)
+            qs.append(q[whose[i, j]])
+            ss.append(s[j])
+        none = np.empty(0, np.int64)
+        out = pd.DataFrame({"grp": key[0], "q": np.concatenate([none, *qs]), "s": np.concatenate([none, *ss])})
+        return out.drop_duplicates()
+
+    on = [*block, "x"]
+    asked = asked.toDF(*asked.columns)
+    return asked.groupBy(*on).cogroup(stored.toDF(*stored.columns).groupBy(*on)).applyInPandas(meet, "grp string, q bigint, s bigint")
+
+
+def rerank(pairs: DataFrame, vectors: DataFrame, stored: bool = False) -> DataFrame:
+    """(grp, q, s, cos) with the exact cosine. Only vectors that are in some pair are moved. stored: the pairs already lie in a table."""
+    pairs = pairs.select("grp", "q", "s") if stored else materialise(pairs.select("grp", "q", "s"), "pairs")
     wanted = materialise(pairs.select("grp", F.explode(F.array("q", "s")).alias("key")).distinct(), "wanted")
     part = materialise(vectors.select("grp", "key", "v").join(wanted, ["grp", "key"], "left_semi"), "pair-vectors")
     a, b = part.withColumnsRenamed({"key": "q", "v": "vq"}), part.withColumnsRenamed({"key": "s", "v": "vs"})
@@ -263,8 +332,14 @@ def close_pairs(vectors: DataFrame, least: float = 0.9, k: int = 10, sizes: Data
     members = materialise(members, "class-members")
     filed, handle = encode(reps, sizes=sizes)
     found = candidates(filed, handle, None, least)
-    found = found.select("grp", F.least("q", "s").alias("q"), F.greatest("q", "s").alias("s")).distinct()
-    good = materialise(rerank(found, filed).filter(F.col("cos") >= least), "close")
+    pair = lambda d: d.select("grp", F.least("q", "s").alias("q"), F.greatest("q", "s").alias("s"))
+    open_ = F.col("at") >= 0
+    found = found.select("grp", F.least("q", "s").alias("q"), F.greatest("q", "s").alias("s"), "at")
+    found = materialise(found.distinct(), "found")
+    marks, found = found.filter(open_).drop("s"), found.filter(~open_).select("grp", "q", "s")
+    if marks.limit(1).count():
+        found = materialise(found.unionByName(pair(crowded(marks, filed, least, k + 1))).distinct(), "pairs")
+    good = materialise(rerank(found, filed, True).filter(F.col("cos") >= least), "close")
     both = good.unionByName(good.select("grp", F.col("s").alias("q"), F.col("q").alias("s"), "cos"))
     # Among representatives the k + 1 nearest suffice; copies only push others out.
     near = both.withColumn("r", F.row_number().over(Window.partitionBy("grp", "q").orderBy(F.desc("cos"), "s"))).filter(F.col("r") <= k + 1).drop("r")
