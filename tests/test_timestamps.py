@@ -67,7 +67,7 @@ def test_estimate_over_many_blocks(spark):
     zones = T.file_zones(sources(spark, [("a", None, None)]))
     parsed = T.parse(df.select(F.col("path").alias("_t_path"), F.col("o").cast("bigint").alias("_t_order"), "ts"), "ts")
     for block in (100, 2500, 10**6):
-        r = T.estimate_zones(parsed, zones, T.CANDIDATES, block).collect()
+        r = T.choose_zones(parsed, zones, T.CANDIDATES, block).collect()
         assert [(x["_t_zone"], x["violations"], x["readings"]) for x in r] == [("Europe/Berlin", 0, 1)]
 
 
@@ -84,13 +84,50 @@ def test_estimate_tries_every_history(spark):
     assert got["t", 1] == (ms(2026, 1, 10, 12, 10), "estimate")  # Tokyo
     assert got["n", 1] == (None, None) and got["y", 1] == (None, None) and got["s", 1] == (None, None)
     parsed = T.parse(df.select(F.col("path").alias("_t_path"), F.col("o").cast("bigint").alias("_t_order"), "ts"), "ts")
-    est = {r["_t_path"]: r for r in T.estimate_zones(parsed, T.file_zones(src)).collect()}
+    est = {r["_t_path"]: r for r in T.choose_zones(parsed, T.file_zones(src)).collect()}
     assert est["t"]["_t_zone"] and est["t"]["violations"] == 0 and est["n"]["_t_zone"] is None and est["n"]["violations"] > 0
-    few = {r["_t_path"]: r for r in T.estimate_zones(parsed, T.file_zones(src), ["America/New_York"]).collect()}
+    few = {r["_t_path"]: r for r in T.choose_zones(parsed, T.file_zones(src), ["America/New_York"]).collect()}
     assert few["y"]["_t_zone"] == "America/New_York" and few["y"]["violations"] == 0
     assert len(T.histories()) > 300 and T.histories()[:7] == T.CANDIDATES
 
 
+def test_a_recorded_zone_is_taken_and_its_violations_told(spark):
+    rows = [(0, "2026-01-10T12:00:00Z", "a"), (1, "2026-01-10T13:10:00", "a"), (2, "2026-01-10T12:30:00Z", "a")]
+    df = spark.createDataFrame(rows, "o int, ts string, path string")
+    parsed = T.parse(df.select(F.col("path").alias("_t_path"), F.col("o").cast("bigint").alias("_t_order"), "ts"), "ts")
+    for tz, violations in (("Europe/Berlin", 0), ("Asia/Kolkata", 1)):
+        src = sources(spark, [("a", f'{{"tz": "{tz}"}}', None)])
+        (r,) = T.choose_zones(parsed, T.file_zones(src)).collect()
+        assert (r["_t_zone"], r["zone_from"], r["violations"], r["zoneless"]) == (tz, "file", violations, 1)
+        assert {r["zone_from"] for r in T.normalise(df, "ts", "path", "o", src).collect()} == {"text", "file"}
+
+
+def test_hidden_zones_are_recovered(spark):
+    """Zones of files with zoned and zone-less times side by side are hidden and estimated: what is settled is right."""
+    import random
+
+    r, rows, truth = random.Random(5), [], {}
+    names = ("America/New_York", "Asia/Tokyo", "Europe/Berlin", "America/Sao_Paulo", "Asia/Kathmandu", "Australia/Sydney", "Africa/Lagos", "Pacific/Auckland")
+    for f in range(24):
+        zone = truth[f"f{f}"] = names[f % len(names)]
+        at = dt.datetime(2026, r.randint(1, 12), r.randint(1, 28), r.randint(0, 23), tzinfo=dt.timezone.utc)
+        for k in range(60):
+            at += dt.timedelta(minutes=r.randint(1, 9))
+            text = at.astimezone(ZoneInfo(zone)).strftime("%Y-%m-%dT%H:%M:%S") if k % 3 == 1 else at.strftime("%Y-%m-%dT%H:%M:%SZ")
+            rows.append((k, text, f"f{f}", int(at.timestamp() * 1000)))
+    df = spark.createDataFrame(rows, "o int, ts string, path string, want bigint")
+    src = sources(spark, [(p, None, None) for p in truth])
+    got = T.normalise(df, "ts", "path", "o", src).filter("zone_from is null or zone_from = 'estimate'").collect()
+    settled = [x for x in got if x["utc_ms"] is not None]
+    assert len(settled) >= 0.9 * len(got) and all(x["utc_ms"] == x["want"] for x in settled)
+
+
+@pytest.mark.parametrize("name", ["Factory", "BST", "IST", "localtime", "Nowhere/City"])
+def test_names_that_are_no_zone(spark, name):
+    df = spark.createDataFrame([(1, f"2026-01-10 12:00:00 {name}", "p")], "o int, ts string, path string")
+    assert T.normalise(df, "ts", "path", "o", sources(spark)).first()["utc_ms"] is None
+
+
 def test_empty_repeated_and_clashing(spark):
     df = spark.createDataFrame([], "ts string, path string, o int")
     assert T.normalise(df, "ts", "path", "o", sources(spark)).count() == 0

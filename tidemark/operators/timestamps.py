@@ -5,11 +5,12 @@ notations turns the text into separated parts, parts are range-checked, and the
 integer arithmetic. Named zones are resolved by trying the offsets in force before and after the
 local time: if both fit, the clock showed the time twice; if none fits, it skipped it.
 
-Zones missing from the text come from the file's record of its zone. Where that is missing too, they
-are estimated per file (`estimate_zones`): every distinct offset history of the zone database is laid
-over the file's zone-less times, and those zones fit under which none of them is skipped or falls outside
-the instants known before and after it in the file's sequence, or after the file was stored. If no zone
-fits, or zones that give different instants fit, the zone stays open.
+Zones missing from the text are chosen per file (`choose_zones`): offset histories are laid over the
+file's zone-less times, and a zone fits if under it none of them is skipped or falls outside the instants
+known before and after it in the file's sequence, or after the file was stored. Where the file's record
+names its zone, that history alone is laid and taken, and its violations are reported; elsewhere every
+distinct history of the zone database is tried. If none fits, or zones that give different instants fit,
+the zone stays open.
 
 Defined cases: null, blank or unparsable text, impossible dates or times, dates alone, times alone:
 no instant (utc_ms null). Repeated rows are kept. An empty table gives an empty table. Columns other
@@ -25,6 +26,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import materialise
+
 # Zone abbreviations that name one offset, in minutes.
 ABBREVIATIONS = {
     "UTC": 0, "GMT": 0, "WET": 0, "WEST": 60, "CET": 60, "CEST": 120, "EET": 120, "EEST": 180,
@@ -49,6 +52,16 @@ def _known_zones() -> list[str]:
     return sorted(zoneinfo.available_timezones())
 
 
+# Zone names in capitals alone that are no abbreviation of several zones.
+CAPITALS = ("GB", "HST", "MET", "NZ", "PRC", "ROK", "UCT", "UTC", "GMT")
+
+
+def is_zone(name: Column) -> Column:
+    """Whether the session's zone database knows a name; asked of the database itself, so no list of names stands in the plan."""
+    known = F.concat(F.lit("2000-01-01 00:00:00 "), name).try_cast("timestamp").isNotNull()
+    return F.coalesce((name.rlike("^[A-Z][A-Za-z_/+-]*$") & name.rlike("[a-z]") | name.isin(*CAPITALS)) & known, F.lit(False))
+
+
 def _int(c: Column) -> Column:
     return F.when(c != "", c).cast("int")
 
@@ -63,46 +76,40 @@ def _number(names: str, c: Column, size: int) -> Column:
     return F.when((F.length(c) == 3) & (at > 0) & ((at - 1) % 3 == 0), ((at - 1) / 3).cast("int") + 1)
 
 
-def text_parts(ts: Column) -> Column:
-    """Struct (local_ms, frac kept to ms, zone text) or (epoch_ms) of a text; all null if it names no full wall time.
+def _split(s: Column) -> Column:
+    """Array year, month, day, hour, minute, second, extra, zone of a text in one of the families; null if it is in none.
 
-    The parts of every family are brought to the same layout: year, month, day, hour, minute, second, fraction, zone.
+    extra is the fraction of a second, the week day or AM/PM, after the family's number 0, 1 or 2 in the first place.
     """
-    s = F.trim(ts)
-    iso = F.split(F.regexp_replace(s, _ISO, "$1~$3~$4~$5~$7~$8~$9~$10"), "~")
-    rfc = F.split(F.regexp_replace(s, _RFC, "$4~$3~$2~$5~$6~$7~$1~$8"), "~")
-    us = F.split(F.regexp_replace(s, _US, "$3~$1~$2~$4~$5~$6~$7~$8"), "~")
-    text = lambda a: a.cast("string")
-
-    def parts(a: Column, kind: str) -> Column:
-        g = lambda i: F.get(a, F.lit(i))
-        month = _int(g(1)) if kind == "iso" else _number(MONTHS, g(1), 12)
-        hour = _int(g(3))
-        if kind == "us":
-            hour = F.when(hour.between(1, 12), hour % 12 + F.when(g(6) == "PM", 12).otherwise(0))
-        return F.struct(
-            _int(g(0)).alias("y"), month.alias("mo"), _int(g(2)).alias("d"), hour.alias("h"), _int(g(4)).alias("mi"),
-            F.coalesce(_int(g(5)), F.lit(0)).alias("s"), (_three_digits(g(6)) if kind == "iso" else F.lit(0)).alias("ms"),
-            F.regexp_replace(text(g(7)), r"[\[\]]", "").alias("zone"),
-            (g(6) if kind == "rfc" else F.lit("")).alias("day"),
-        )
-
-    p = (
-        F.when(s.rlike(_ISO), parts(iso, "iso"))
-        .when(s.rlike(_RFC), parts(rfc, "rfc"))
-        .when(s.rlike(_US), parts(us, "us"))
-    )
-    return p
+    iso = F.regexp_replace(s, _ISO, "0~$1~$3~$4~$5~$7~$8~$9~$10")
+    rfc = F.regexp_replace(s, _RFC, "1~$4~$3~$2~$5~$6~$7~$1~$8")
+    us = F.regexp_replace(s, _US, "2~$3~$1~$2~$4~$5~$6~$7~$8")
+    return F.split(F.when(s.rlike(_ISO), iso).when(s.rlike(_RFC), rfc).when(s.rlike(_US), us), "~")
+
+
+def _parts(a: Column) -> Column:
+    """Struct of numbers and the zone's text from what `_split` made."""
+    g = lambda i: F.get(a, F.lit(i))
+    family, extra = g(0), g(7)
+    month = F.when(family == "0", _int(g(2))).otherwise(_number(MONTHS, g(2), 12))
+    hour = _int(g(4))
+    hour = F.when(family != "2", hour).when(hour.between(1, 12), hour % 12 + F.when(extra == "PM", 12).otherwise(0))
+    return F.when(
+        family.isNotNull(),
+        F.struct(
+            _int(g(1)).alias("y"), month.alias("mo"), _int(g(3)).alias("d"), hour.alias("h"), _int(g(5)).alias("mi"), F.coalesce(_int(g(6)), F.lit(0)).alias("s"),
+            F.when(family == "0", _three_digits(extra)).otherwise(0).alias("ms"), F.translate(g(8), "[]", "").alias("zone"), F.when(family == "1", extra).otherwise("").alias("day"),
+        ),
+    )
 
 
 def epoch_ms(ts: Column) -> Column:
     """Milliseconds of a bare number of seconds, milliseconds or microseconds, told apart by their digits."""
-    s = F.trim(ts)
-    whole = F.regexp_extract(s, _EPOCH, 1)
+    whole = F.regexp_extract(ts, _EPOCH, 1)
     n, digits = whole.cast("bigint"), F.length(whole)
-    frac = F.regexp_extract(s, _EPOCH, 2)
+    frac = F.regexp_extract(ts, _EPOCH, 2)
     return F.when(
-        s.rlike(_EPOCH),
+        ts.rlike(_EPOCH),
         F.when(digits <= 11, n * 1000 + _three_digits(frac)).when(digits <= 14, n).otherwise(F.floor(n / 1000)),
     )
 
@@ -156,32 +163,27 @@ def zone_skips(local: Column, zone: Column) -> Column:
 
 
 def parse(df: DataFrame, ts: str) -> DataFrame:
-    """Adds _t_ms (instant, where the text alone names one), _t_local (wall time of a zone-less text)."""
-    known = _known_zones()
-
-    def read(p: Column) -> Column:
-        zone = F.coalesce(p["p"]["zone"], F.lit(""))
-
-        def resolve(local: Column) -> Column:
-            ms = F.when(zone != "", F.coalesce(local - _fixed_offset_ms(zone), F.when(zone.isin(known), zone_instant(local, zone))))
-            return F.struct(ms.alias("ms"), F.when(zone == "", local).alias("local"))
+    """Adds _t_ms (instant, where the text alone names one), _t_local (wall time of a zone-less text).
 
-        return let(_local_ms(p["p"]), resolve)
-
-    q = F.col("_t_q")
+    Each step is a column of its own, so that what several later ones use is worked out once.
+    """
+    zone = F.coalesce(F.col("_t_p.zone"), F.lit(""))
+    own = F.when(zone != "", F.coalesce(F.col("_t_wall") - _fixed_offset_ms(zone), F.when(is_zone(zone), zone_instant(F.col("_t_wall"), zone))))
     return (
-        df.withColumn("_t_q", let(F.struct(text_parts(F.col(ts)).alias("p")), read))
-        .withColumn("_t_ms", F.coalesce(q["ms"], epoch_ms(F.col(ts))))
-        .withColumn("_t_local", q["local"])
-        .drop("_t_q")
+        df.withColumn("_t_s", F.trim(F.col(ts)))
+        .withColumn("_t_a", _split(F.col("_t_s")))
+        .withColumn("_t_p", _parts(F.col("_t_a")))
+        .withColumn("_t_wall", _local_ms(F.col("_t_p")))
+        .withColumns({"_t_ms": F.when(F.col("_t_a").isNull(), epoch_ms(F.col("_t_s"))).otherwise(own), "_t_local": F.when(zone == "", F.col("_t_wall"))})
+        .drop("_t_s", "_t_a", "_t_p", "_t_wall")
     )
 
 
 def file_zones(sources: DataFrame) -> DataFrame:
-    """(path, zone, stored_ms) of each file record; an unknown zone name counts as none."""
+    """(_t_path, _t_zone, _t_stored) of each file record; an unknown zone name counts as none."""
     tz = F.get_json_object("state", "$.tz")
     stored = parse(sources.select("path", tz.alias("tz"), F.col("ingested_at").alias("_at")), "_at")
-    return stored.select(F.col("path").alias("_t_path"), F.when(F.col("tz").isin(_known_zones()), F.col("tz")).alias("_t_zone"), F.col("_t_ms").alias("_t_stored"))
+    return stored.select(F.col("path").alias("_t_path"), F.when(is_zone(F.col("tz")), F.col("tz")).alias("_t_zone"), F.col("_t_ms").alias("_t_stored"))
 
 
 #: Names that are preferred for a history that several zones share.
@@ -198,22 +200,20 @@ def histories() -> tuple[str, ...]:
     return tuple(z for z in dict.fromkeys((*CANDIDATES, *usual)) if rules.putIfAbsent(jvm.java.time.ZoneId.of(z).getRules(), z) is None)
 
 
-def estimate_zones(rows: DataFrame, zones: DataFrame, candidates: Sequence[str] | None = None, block: int = 4096) -> DataFrame:
-    """(path, zone, violations, zoneless, readings) for files without a recorded zone.
+def choose_zones(rows: DataFrame, zones: DataFrame, candidates: Sequence[str] | None = None, block: int = 4096) -> DataFrame:
+    """(_t_path, _t_zone, zone_from, violations, zoneless, readings) for files with zone-less times.
 
-    candidates: all `histories` if not stated. zone is the first of those with no violation, if they all give the
-    same instants (readings 1), else null; violations are those of the best candidate.
+    zone_from is `file` where the record names the zone: that one history is laid and taken, whatever its violations.
+    Elsewhere it is `estimate`, over `candidates` (all `histories` if not stated): _t_zone is the first of those with no
+    violation, if they all give the same instants (readings 1), else null; violations are those of the best candidate.
 
     rows: _t_path, _t_order (place in the file), _t_ms, _t_local. The nearest known instants before and
     after each zone-less row are found in two levels, within blocks of `block` units of place and over
-    the blocks' summaries, so one file of any length is spread over many tasks.
+    the blocks' summaries, so one file of any length is spread over many tasks. A file without a zone that has
+    no known instant at all, nor a time of storing, is left open without being tried.
     """
-    open_files = (
-        rows.filter(F.col("_t_local").isNotNull()).select("_t_path").distinct()
-        .join(zones.filter(F.col("_t_zone").isNotNull()), "_t_path", "left_anti")
-        .join(zones.select("_t_path", "_t_stored"), "_t_path", "left")
-    )
-    part = rows.join(open_files, "_t_path").withColumn("_t_block", F.floor(F.coalesce("_t_order", F.lit(0)) / block))
+    asked = rows.filter(F.col("_t_local").isNotNull()).select("_t_path").distinct().join(zones, "_t_path", "left")
+    part = rows.join(asked, "_t_path").withColumn("_t_block", F.floor(F.coalesce("_t_order", F.lit(0)) / block))
     inner = Window.partitionBy("_t_path", "_t_block").orderBy("_t_order", "_t_ms", "_t_local")
     back, ahead = inner.rowsBetween(Window.unboundedPreceding, -1), inner.rowsBetween(1, Window.unboundedFollowing)
     near = part.select(
@@ -229,31 +229,36 @@ def estimate_zones(rows: DataFrame, zones: DataFrame, candidates: Sequence[str]
         F.last("_t_last", True).over(outer.rowsBetween(Window.unboundedPreceding, -1)).alias("_t_before"),
         F.first("_t_first", True).over(outer.rowsBetween(1, Window.unboundedFollowing)).alias("_t_after"),
     )
-    at = F.coalesce(zone_instant(F.col("_t_local"), F.col("_t_zone")), F.lit(None).cast("bigint"))
-    bad = F.coalesce(
-        (F.col("_t_at") < F.coalesce("_t_prev", "_t_before")).cast("int"), F.lit(0)
-    ) + F.coalesce((F.col("_t_at") > F.coalesce("_t_next", "_t_after")).cast("int"), F.lit(0)) + F.coalesce(
-        (F.col("_t_at") > F.col("_t_stored")).cast("int"), F.lit(0)
-    ) + F.when(F.col("_t_at").isNull(), zone_skips(F.col("_t_local"), F.col("_t_zone")).cast("int")).otherwise(0)
+    bounds = near.join(around, ["_t_path", "_t_block"], "left").select(
+        "_t_path", "_t_zone", "_t_local", F.coalesce("_t_prev", "_t_before").alias("_t_low"), F.coalesce("_t_next", "_t_after").alias("_t_high"), "_t_stored"
+    )
+    # Rows of one file that say the same are one: a wall time with its bounds, and how often it comes.
+    bounds = materialise(bounds.groupBy(*bounds.columns).agg(F.count("*").alias("_t_n")), "zoneless")
+    z = F.col("_t_try")
+    names = F.array(*[F.lit(c) for c in candidates or histories()])
+    tried = F.when(F.col("_t_zone").isNotNull(), F.array("_t_zone")).otherwise(names)
+    bad = (
+        F.coalesce((F.col("_t_at") < F.col("_t_low")).cast("int"), F.lit(0)) + F.coalesce((F.col("_t_at") > F.col("_t_high")).cast("int"), F.lit(0))
+        + F.coalesce((F.col("_t_at") > F.col("_t_stored")).cast("int"), F.lit(0)) + F.when(F.col("_t_at").isNull(), zone_skips(F.col("_t_local"), z).cast("int")).otherwise(0)
+    )
     scored = (
-        near.join(around, ["_t_path", "_t_block"], "left")
-        .select("*", F.posexplode(F.array(*[F.lit(z) for z in candidates or histories()])).alias("_t_rank", "_t_zone"))
-        .withColumn("_t_at", at)
-        .groupBy("_t_path", "_t_rank", "_t_zone")
-        .agg(F.sum(bad).alias("violations"), F.count("*").alias("zoneless"), F.sum(F.xxhash64("_t_local", "_t_at").cast("decimal(20,0)")).alias("_t_sum"),
-             F.max(F.coalesce("_t_prev", "_t_before", "_t_next", "_t_after", "_t_stored").isNotNull()).alias("_t_tied_down"))
+        bounds.select("*", F.posexplode(tried).alias("_t_rank", "_t_try"))
+        .withColumn("_t_at", zone_instant(F.col("_t_local"), z))
+        .groupBy("_t_path", "_t_rank", F.col("_t_try"), F.col("_t_zone").isNotNull().alias("_t_known"))
+        .agg(F.sum(bad * F.col("_t_n")).alias("violations"), F.sum("_t_n").alias("zoneless"), F.sum(F.xxhash64("_t_local", "_t_at").cast("decimal(20,0)") * F.col("_t_n")).alias("_t_sum"),
+             F.max(F.coalesce("_t_low", "_t_high", "_t_stored").isNotNull()).alias("_t_tied"))
     )
-    best = Window.partitionBy("_t_path")
-    least = F.min("violations").over(best)
-    return (
-        scored.withColumn("_t_least", least)
-        .filter((F.col("violations") == F.col("_t_least")) & F.col("_t_tied_down"))
-        .groupBy("_t_path")
+    least = F.min("violations").over(Window.partitionBy("_t_path"))
+    chosen = (
+        scored.withColumn("_t_least", least).filter(F.col("violations") == F.col("_t_least")).groupBy("_t_path", "_t_known")
         .agg(
-            F.min_by("_t_zone", "_t_rank").alias("_t_zone"), F.min("violations").alias("violations"), F.max("zoneless").alias("zoneless"),
-            F.count_distinct("_t_sum").alias("readings"),
-        )
-        .withColumn("_t_zone", F.when((F.col("violations") == 0) & (F.col("readings") == 1), F.col("_t_zone")))
+            F.min_by("_t_try", "_t_rank").alias("_t_zone"), F.min("violations").alias("violations"), F.max("zoneless").alias("zoneless"),
+            F.count_distinct("_t_sum").alias("readings"), F.max("_t_tied").alias("_t_tied"),
+        )
+    )
+    settled = F.col("_t_known") | (F.col("_t_tied") & (F.col("violations") == 0) & (F.col("readings") == 1))
+    return chosen.select(
+        "_t_path", F.when(settled, F.col("_t_zone")).alias("_t_zone"), F.when(F.col("_t_known"), "file").otherwise("estimate").alias("zone_from"), "violations", "zoneless", "readings"
     )
 
 
@@ -262,30 +267,27 @@ def normalise(
 ) -> DataFrame:
     """df with utc_ms (bigint or null) and zone_from: text, file, estimate or null.
 
-    Texts that carry their zone are not joined with anything; only zone-less ones meet the file records.
+    Texts that carry their zone are not joined with anything; only zone-less ones meet the zones of their files.
     zone_from = 'estimate' marks instants that rest on an estimated zone, so that a caller for whom an
-    unknown zone names no instant can leave them out.
+    unknown zone names no instant can leave them out. With `estimate`, df is read once and its parsed rows are
+    written (hand in narrow rows); without, nothing is written and files without a recorded zone stay open.
     """
-    zones = file_zones(sources)
     df = df.drop("utc_ms", "zone_from", *[c for c in df.columns if c.startswith("_t_")])
     keep = df.columns
-    zoneless = F.trim(F.col(ts)).rlike(_ZONELESS)
-    own = parse(df.filter(~F.coalesce(zoneless, F.lit(False))), ts)
-    own = own.select(*keep, F.col("_t_ms").alias("utc_ms"), F.when(F.col("_t_ms").isNotNull(), "text").alias("zone_from"))
-    local = parse(df.filter(zoneless), ts).withColumn("_t_path", F.col(path))
-    met = local.join(zones, "_t_path", "left")
     if estimate:
-        rows = parse(df.select(F.col(path).alias("_t_path"), F.col(order).cast("bigint").alias("_t_order"), F.col(ts).alias("_t_ts")), "_t_ts").drop("_t_ts")
-        guess = estimate_zones(rows, zones, candidates).filter("_t_zone is not null").select("_t_path", F.col("_t_zone").alias("_t_guess"))
-        met = met.join(guess, "_t_path", "left")
+        parsed = materialise(parse(df, ts).withColumns({"_t_path": F.col(path), "_t_order": F.col(order).cast("bigint")}), "parsed")
+        own, local = parsed.filter("_t_local is null"), parsed.filter("_t_local is not null")
+        zones = materialise(file_zones(sources), "file-zones")
+        picked = choose_zones(parsed.select("_t_path", "_t_order", "_t_ms", "_t_local"), zones, candidates).select("_t_path", "_t_zone", F.col("zone_from").alias("_t_from"))
     else:
-        met = met.withColumn("_t_guess", F.lit(None).cast("string"))
-    filed = met.select(
-        *keep,
-        zone_instant(F.col("_t_local"), F.coalesce("_t_zone", "_t_guess")).alias("utc_ms"),
-        F.when(F.col("_t_zone").isNotNull(), "file").when(F.col("_t_guess").isNotNull(), "estimate").alias("zone_from"),
-    ).withColumn("zone_from", F.when(F.col("utc_ms").isNotNull(), F.col("zone_from")))
-    return own.unionByName(filed)
+        zoneless = F.coalesce(F.trim(F.col(ts)).rlike(_ZONELESS), F.lit(False))
+        own, local = parse(df.filter(~zoneless), ts), parse(df.filter(zoneless), ts).withColumn("_t_path", F.col(path))
+        picked = file_zones(sources).select("_t_path", "_t_zone", F.lit("file").alias("_t_from"))
+    own = own.select(*keep, F.col("_t_ms").alias("utc_ms"), F.when(F.col("_t_ms").isNotNull(), "text").alias("zone_from"))
+    filed = local.join(picked, "_t_path", "left").select(
+        *keep, zone_instant(F.col("_t_local"), F.col("_t_zone")).alias("utc_ms"), F.col("_t_from").alias("zone_from")
+    )
+    return own.unionByName(filed.withColumn("zone_from", F.when(F.col("utc_ms").isNotNull(), F.col("zone_from"))))
 
 
 def canonical(utc_ms: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import drift, merkle, timestamps
-from tidemark.session import read
+from tidemark.session import materialise, read
 
 
 def _stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,11 +25,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The estimated zone of every file without a recorded one that has zone-less times."""
-    rows = timestamps.parse(_stamped(spark, sf_dir).select(F.col("path").alias("_t_path"), F.col("place").alias("_t_order"), "ts"), "ts").drop("ts")
-    zones = timestamps.file_zones(read(spark, sf_dir, "sources"))
-    return timestamps.estimate_zones(rows, zones).select(
-        F.col("_t_path").alias("path"), F.col("_t_zone").alias("zone"), F.col("violations").cast("bigint"), F.col("zoneless"), "readings"
+    """The zone of every file that has zone-less times: recorded or estimated, with the violations of order and storing time that remain."""
+    rows = _stamped(spark, sf_dir).select(F.col("path").alias("_t_path"), F.col("place").cast("bigint").alias("_t_order"), "ts")
+    rows = materialise(timestamps.parse(rows, "ts").drop("ts"), "parsed")
+    zones = materialise(timestamps.file_zones(read(spark, sf_dir, "sources")), "file-zones")
+    return timestamps.choose_zones(rows, zones).select(
+        F.col("_t_path").alias("path"), F.col("_t_zone").alias("zone"), "zone_from", F.col("violations").cast("bigint"), F.col("zoneless"), "readings"
     )
 
 
