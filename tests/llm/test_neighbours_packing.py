@@ -12,8 +12,10 @@ from tidemark.session import read
 def brute(vectors, least=0.9, k=10):
     out, near = set(), {}
     for g, p in vectors.toPandas().groupby("grp"):
-        x = np.stack([np.frombuffer(b, np.float32) for b in p["v"]]).astype(float)
-        keys = p["key"].to_numpy()
+        raw, ok = N.usable(p["vec"])
+        x = raw.astype(float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        keys = p["key"].to_numpy()[ok]
         s = x @ x.T
         np.fill_diagonal(s, -2)
         for i in range(len(keys)):
@@ -26,7 +28,7 @@ def brute(vectors, least=0.9, k=10):
 @pytest.fixture(scope="module")
 def tables(spark):
     d = "/root/testdata/sf0.01"
-    return N.unit(N.tables(read(spark, d, "chunks").withColumn("key", F.lit(0)), read(spark, d, "vectors"))).cache()
+    return N.tables(read(spark, d, "chunks").withColumn("key", F.lit(0)), read(spark, d, "vectors")).cache()
 
 
 def test_close_pairs(spark, tables):
@@ -52,7 +54,7 @@ def test_hot_group_of_copies_and_hot_cells(spark, monkeypatch):
     x[:300] = x[0]
     x[300:320] = x[300] + 0.05 * rng.normal(size=(20, 16))
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
-    df = N.prepare(spark.createDataFrame(rows, "key bigint, vec array<float>"), [F.lit("t")], "key", "vec")
+    df = N.plain(spark.createDataFrame(rows, "key bigint, vec array<float>"), [F.lit("t")], "key", "vec")
     want, _ = brute(df)
     monkeypatch.setattr(N, "HOT", 8)
     monkeypatch.setattr(N, "STORED_BLOCK", 7)
@@ -66,7 +68,7 @@ def test_hot_group_of_noisy_copies(spark, monkeypatch):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(1800, 32))
     x[:600] = x[0] + 0.01 * rng.normal(size=(600, 32))
-    df = N.prepare(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "key bigint, vec array<float>"), [F.lit("t")], "key", "vec")
+    df = N.plain(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "key bigint, vec array<float>"), [F.lit("t")], "key", "vec")
     want, _ = brute(df)
     for hot, block in ((N.HOT, N.STORED_BLOCK), (70, 150)):
         monkeypatch.setattr(N, "POOL", 20)
@@ -91,9 +93,9 @@ def test_size_of_a_cell_changes_nothing(spark, tables, monkeypatch):
 def test_vector_edges(spark):
     rows = [(1, None), (2, []), (3, [0.0] * 4), (4, [1.0, 0.0, 0.0, 0.0]), (5, [2.0, 0.0, 0.0, 0.0]), (6, [1.0, 0.0, 0.0]), (7, [float("nan")] * 4), (8, [float("inf"), 0.0, 0.0, 0.0]), (5, [2.0, 0.0, 0.0, 0.0]), (None, [1.0] * 4)]
     df = spark.createDataFrame(rows, "key bigint, vec array<float>")
-    p = N.prepare(df, [F.lit("t")], "key", "vec")
+    p = N.plain(df, [F.lit("t")], "key", "vec")
     assert [(r["key_a"], r["key_b"]) for r in N.close_pairs(p).collect()] == [(4, 5)]
-    assert N.close_pairs(N.prepare(df.limit(0), [F.lit("t")], "key", "vec")).count() == 0
+    assert N.close_pairs(N.plain(df.limit(0), [F.lit("t")], "key", "vec")).count() == 0
     e = spark.createDataFrame([], "doc_id bigint, ordinal bigint, model string, vec array<float>")
     assert N.found(e, e).count() == 0
 
@@ -103,14 +105,37 @@ def test_codes_get_closer_with_each_stage():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     errors = []
     for stages in (1, 3, 6):
-        q = N.Quantiser(x, stages, 32)
-        codes, norms = q.encode(x, 4)
-        total = sum(c[codes[:, m]] for m, c in enumerate(q.books))
+        q = N.Quantiser(x, stages, 32, words=32)
+        word, codes, norms, fit = q.encode(x, 4)
+        total = q.books[0][word] + sum(c[codes[:, m]] for m, c in enumerate(q.books[1:]))
+        assert np.allclose(fit, (x * total).sum(1) / norms, atol=1e-4)
+        assert np.allclose(q.scores(x[:9], word, codes), total @ x[:9].T, atol=1e-4)
         assert np.allclose(norms, np.linalg.norm(total, axis=1), atol=1e-4)
         errors.append(((x - total) ** 2).sum())
     assert errors[0] > errors[1] > errors[2]
 
 
+def test_no_pair_above_the_threshold_is_below_the_bound():
+    """The bound holds for every pair, however badly the code stands for the vector."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 24))
+    y = x + rng.uniform(0, 0.25, size=(400, 1)) * rng.normal(size=x.shape)
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
+    code = x + rng.uniform(0, 0.5, size=(400, 1)) * rng.normal(size=x.shape)
+    code /= np.linalg.norm(code, axis=1, keepdims=True)
+    for least in (0.5, 0.9, 1.0):
+        close = (x * y).sum(1) >= least
+        assert ((y * code).sum(1) >= N.bound(least, (x * code).sum(1)))[close].all()
+
+
+def test_more_groups_than_go_together(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(g * 100 + i, f"m{g}", [float(v) for v in r]) for g in range(5) for i, r in enumerate(np.repeat(rng.normal(size=(6, 8)), 2, axis=0))]
+    df = N.plain(spark.createDataFrame(rows, "key bigint, model string, vec array<float>"), [F.col("model")], "key", "vec")
+    monkeypatch.setattr(N, "TOGETHER", 2)
+    assert N.close_pairs(df).count() == 30 == len(brute(df)[0])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 50), st.sampled_from(["a", "b", None]), st.integers(0, 5)), max_size=40), st.integers(1, 2))
 def test_best_fit(items, quota):

@@ -34,7 +34,7 @@ def p6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest of every row whose doc_id is divisible by 100, against all rows."""
     rows = neighbours.tables(read(spark, sf_dir, "chunks"), read(spark, sf_dir, "vectors"))
     doc = F.when(F.col("grp").startswith("chunks|"), F.floor(F.col("key") / 1000)).otherwise(F.col("key"))
-    return neighbours.nearest(neighbours.unit(rows), doc % 100 == 0, sizes=rows).withColumn("cos", F.round("cos", 6))
+    return neighbours.nearest(rows, doc % 100 == 0).withColumn("cos", F.round("cos", 6))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
