@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialise
 
-SAMPLE, STAGES, WORDS, BEAM = 16_384, 8, 256, 4
+SAMPLE, STAGES, WORDS, BEAM = 16_384, 16, 256, 2
 #: Rows a cell should hold on average, the range of the number of coarse codewords, and the sample each needs.
 CELL_ROWS, FEWEST, MOST, SAMPLE_PER_WORD = 128, 16, 16_384, 8
 #: Distance to a cell's border within which a vector is filed there too. A vector of cosine 0.9 lies 0.436 away in a direction of
@@ -46,8 +46,6 @@ MARGIN = 0.1
 POOL = 256
 #: Rows of a stated query that are reranked exactly, of a group of RERANKED_OF vectors; more of larger ones, by the square root.
 RERANKED, RERANKED_OF = 192, 10_000
-#: Stages of the codes for stated query sets: their neighbours are far off, so scores have to be finer than for close pairs.
-FINE_STAGES = 16
 HOT, STORED_BLOCK, QUERY_BLOCK = 32_768, 32_768, 32_768
 #: HOT: queries that meet a crowded block's vectors at a time.
 #: Groups whose codebooks are sent to the executors together (at most some MB each), and distance (squared) within which coarse codewords share a cell.
@@ -101,13 +99,11 @@ class Quantiser:
             # What is left after a word, but for what all words leave alike.
             left = ((c * c).sum(1) - 2 * (rest.reshape(n * b, -1) @ c.T)).reshape(n, b, -1)
             left += (rest * rest).sum(2)[:, :, None]
-            # The best few of the beam are among the best few of each of its members.
-            each = min(beam, len(c))
-            some = np.argpartition(left, each - 1, axis=2)[:, :, :each]
-            flat = np.take_along_axis(left, some, 2).reshape(n, -1)
-            take = min(beam, flat.shape[1])
-            top = np.argpartition(flat, take - 1, axis=1)[:, :take]
-            which, best = top // each, some.reshape(n, -1)[rows, top]
+            flat, top = left.reshape(n, -1), []
+            for _ in range(min(beam, b * len(c))):  # a beam is narrow: its best one by one are had sooner than by sorting
+                top.append(flat.argmin(1))
+                flat[rows[:, 0], top[-1]] = np.inf
+            which, best = np.divmod(np.stack(top, 1), len(c))
             codes = np.concatenate((codes[rows, which], best[:, :, None].astype(np.uint8)), axis=2)
             rest = rest[rows, which] - c[best]
         best = np.argmin((rest * rest).sum(2), axis=1)
@@ -120,16 +116,15 @@ class Quantiser:
         c = self.books[0]
         score = x @ c.T - self.half
         own = score.argmax(1)
+        # A border is half-way between two words: the gap of their scores is the distance to it times the words' distance.
         gap = score[np.arange(len(x)), own][:, None] - score
-        # |gap| / |distance of the words| is the distance to the border; distances are looked at where it can be near enough.
-        i, w = np.nonzero(gap <= margin * 2 * np.sqrt(2 * self.half.max()))
-        apart = np.sqrt(np.maximum(((c[own[i]] - c[w]) ** 2).sum(1), 1e-12))
-        near = gap[i, w] <= margin * apart
-        i, cell, mine = i[near], self.cell_of[w[near]], self.cell_of[own]
+        apart = np.maximum(self.half[own][:, None] + self.half - c[own] @ c.T, 0) * 2
+        i, w = np.nonzero(gap * gap <= margin * margin * apart)
+        cell, mine = self.cell_of[w], self.cell_of[own]
         other = cell != mine[i]
-        pairs = np.unique(np.stack((i[other], cell[other])), axis=1)
-        edge = np.searchsorted(pairs[0], np.arange(1, len(x)))
-        return [np.concatenate(([m], p)).astype(np.int32) for m, p in zip(mine, np.split(pairs[1], edge))]
+        row, cell = np.divmod(np.unique(i[other] * len(c) + cell[other]), len(c))
+        edge = np.searchsorted(row, np.arange(1, len(x)))
+        return [np.concatenate(([m], p)).astype(np.int32) for m, p in zip(mine, np.split(cell, edge))]
 
     def scores(self, x: np.ndarray, word: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Inner products (stored x queries) of the sums with queries, by tables of all codewords."""
@@ -422,9 +417,9 @@ def close_pairs(vectors: DataFrame, least: float = 0.9, k: int = 10) -> DataFram
     return top.groupBy("grp", F.least("q", "s").alias("key_a"), F.greatest("q", "s").alias("key_b")).agg(F.max("cos").alias("cos"))
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 10, stages: int = FINE_STAGES) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     """(grp, q, s, cos, rank): the k most similar of each row that `queries` (over grp, key) selects, among all vectors."""
-    filed, handles = encode(vectors, stages)
+    filed, handles = encode(vectors)
     filed = filed.dropDuplicates(["grp", "key"])
     scored = candidates(filed, handles, queries, None)
     # As many as of one block are kept of all of a query's blocks.
