@@ -19,6 +19,42 @@ def test_held_out_accuracy():
     assert hits / made > 0.96 and hits / there > 0.95
 
 
+# Sentences whose wording neither the training table nor the test tables have.
+OTHER = [
+    "Could somebody tell {N} that the door is locked?", "We hired {N} last autumn.", "{N} sings in the choir.", "Present: {N}, {N}.", "Das Angebot kam von {N}.", "Le dossier de {N} est clos.", "{N} perdió las llaves.",
+    "Our landlord can be reached on {P} at weekends.", "New number, who dis: {P}", "Notruf {P} wählen!", "Composez le {P} pour un rendez-vous.", "Marca {P} y pulsa dos.",
+    "They asked me to prove it with {I} and a photo.", "The clerk wrote {I} on the envelope.", "Meine Kennung lautet {I}.", "Mon identifiant {I} ne marche plus.", "el carné {I} ha caducado",
+    "A taxi is on its way to {A}.", "We grew up at {A}.", "Umzug nach {A} im Mai.", "Le colis part pour {A}.", "La fiesta es en {A}.",
+    "Applications go to {E} before noon.", "Whoever owns {E} should log out.", "Schick die Fotos an {E}!", "Répondez à {E} svp.", "El boletín llega de {E}.",
+    "The kettle boils at {D2} degrees, {w} or not.", "Nobody in {W} believes the {D} {w} any more.", "Chapter {D1} of {W} explains {w}.", "We sold {D} tickets for {W} in {D2} minutes.", "Der Bus {D3} hält bei {W}.", "Le train {D4} part sans {W}.",
+    "La receta pide {D3} gramos.", "{W} released {D1}.{D2} under a {w} licence.", "Boot log: [{D4}] {w}: {W} ready", "scores {D1}:{D1}, {D1}:{D1}", "Meet in room {D3} behind {W}.",
+]
+
+
+def test_accuracy_on_other_wording(capsys):
+    m, there, made, hits = pii_examples.Maker(99), 0, 0, 0
+    texts, want = [], []
+    for k in range(760):
+        text, spans = "", set()
+        for part, label in m.fill(OTHER[k % len(OTHER)]):
+            if label != "O":
+                spans.add((len(text), pii.TYPES[label]))
+            text += part
+        texts.append(text), want.append(spans)
+    for w, got in zip(want, pii.field().scorer(m.given, m.family).spans(texts)):
+        mine = {(s, k) for s, _, k in got}
+        there, made, hits = there + len(w), made + len(mine), hits + len(w & mine)
+    with capsys.disabled():
+        print(f"\nother wording: {hits / there:.3f} of items found, {hits / made:.3f} of findings right")
+    assert hits / made > 0.85 and hits / there > 0.85
+
+
+def test_published_weights_decode_alike(spark, tmp_path):
+    pii.publish(spark, f"{tmp_path}/weights")
+    texts = [t for t, _ in pii_examples.table(60, seed=77)[0]]
+    assert pii.published(spark, f"{tmp_path}/weights").scorer(set(), set()).spans(texts) == pii.field().scorer(set(), set()).spans(texts)
+
+
 def test_names_outside_the_roster():
     got = pii.field().scorer(set(), set()).spans(["Laut Zomdrour Kesseirkfil ist der Stand veraltet.", "Ask Dr. Taellund Rurcirk about the cutover.", "Quiribap Lane is the new default theme."])
     assert [[(s, k) for s, _, k in x] for x in got] == [[(5, "name")], [(8, "name")], []]

@@ -1,13 +1,14 @@
 """Personal information in free text: places, and text with typed placeholders (problem 4).
 
 A linear-chain conditional random field over word shapes: a text is cut into words, numbers and signs;
-each has a few features (shape, ending, sign, known template word, roster membership, space before it),
+each has a few features (shape, ending, sign, frequent word, word of the training sentences, roster membership, space before it),
 and the score of a label is the sum of the weights of the features from three tokens before to three
 after. Weights are fitted to the labelled table of `pii_examples` by maximum likelihood (forward and
 backward sums over padded batches, AdaGrad). Texts are decoded by Viterbi in numpy, many stretches of a
 fixed length at a time; the scores of a word are worked out once per batch and looked up from then on.
 
-A check of the decoded spans follows (an email has its two signs, a phone enough digits, and so on).
+A check of the decoded spans follows (an email has its two signs and no space before them, a phone enough digits, an
+item begins and ends with a word, and so on).
 
 Defined cases: null and empty texts have no items and stay as they are; very long texts are decoded in
 overlapping stretches; repeated rows give repeated items, of which `items` keeps one; positions are code
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import pii_examples
@@ -33,6 +34,7 @@ PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]
 REACH, SLOTS = 3, 6
 MAX_ROSTER = 100_000
 _TOKEN = re.compile(r"[0-9A-Za-z+/=]{48,}|[^\W\d_]+|\d+|[^\w\s]|_")
+_CLOSED = frozenset(pii_examples.CLOSED)
 _STRETCH, _OVERLAP, _BLOCK = 96, 16, 48_000
 
 
@@ -52,7 +54,9 @@ def features(w: str, known: set[str], given: set[str], family: set[str]) -> list
     s, low = shape(w), w.lower()
     out = ["s=" + s]
     if s[0] in "Xx":
-        if low in known:
+        if low in _CLOSED:
+            out.append(f"c={s}")
+        elif low in known:
             out.append("w=" + low)
             out.append(f"k={s}")
         elif len(w) > 2:
@@ -206,13 +210,36 @@ def _join(text: str, labels: np.ndarray, start: np.ndarray, end: np.ndarray) ->
         s, e, name = int(start[i]), int(end[j]), list(TYPES.values())[kind]
         if name == "phone" and s and text[s - 1] in "+(":
             s -= 1
-        if name == "id_number" and _THREE_FOUR.fullmatch(text, s, e):
-            name = "phone"
-        if sound(text[s:e], name):
+        if name in ("id_number", "phone"):
+            name = "phone" if _THREE_FOUR.fullmatch(text, s, e) else "id_number" if _TWO_FOUR.fullmatch(text, s, e) else name
+        host = _HOST.match(text, e) if name == "name" else None
+        if host:  # what looks like a name is the account before a sign
+            name, e = "email", host.end()
+        if name == "email":
+            s = _email_start(text, s, e)
+        if not _inside_word(text, s) and not _inside_word(text, e) and sound(text[s:e], name):
             out.append((s, e, name))
     return out
 
 
+def _inside_word(text: str, at: int) -> bool:
+    return 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum()
+
+
+def _email_start(text: str, s: int, e: int) -> int:
+    """An address has no space before its sign, but for those around signs that are spelt out."""
+    m = re.search(r"@|\s*[(\[]?\bat\b[)\]]?\s*", text[s:e], re.I)
+    if not m or not m.start():
+        return s
+    sign = s + m.start()
+    if m[0] == "@":
+        return sign - len(_LOCAL.search(text[max(0, sign - 64) : sign])[0])
+    local = re.search(r"(?:\S+?\s+[(\[]?dot[)\]]?\s+)*\S+$", text[s:sign], re.I)
+    return s + local.start() if local else s
+
+
+_HOST, _LOCAL = re.compile(r"@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}\b"), re.compile(r"[\w.+-]*$")
+_TWO_FOUR = re.compile(r"\d{3}([ -])\d{2}\1\d{4}")  # and no phone number like this
 _THREE_FOUR = re.compile(r"\d{3}([ .-])\d{3}\1\d{4}")  # no identity number is grouped like this
 _NAME = list(TYPES).index("N")
 _DIGIT, _UPPER = re.compile(r"\d"), re.compile(r"[^\W\d_]*[A-ZÀ-Þ]")
@@ -222,7 +249,7 @@ def sound(span: str, kind: str) -> bool:
     """A last look at a decoded span: has it what its type can't do without?"""
     digits = len(_DIGIT.findall(span))
     if kind == "email":
-        return bool(re.search(r"\S\s?(@|\bat\b|\(at\)|\[at\])\s?\S", span, re.I)) and bool(re.search(r"\.|\bdot\b", span, re.I)) and not span.lower().startswith("git@")
+        return not re.search(r"\s@|@\s", span) and bool(re.search(r"\S\s?(@|\bat\b|\(at\)|\[at\])\s?\S", span, re.I)) and bool(re.search(r"\.|\bdot\b", span, re.I)) and not span.lower().startswith("git@")
     if kind == "phone":
         return 8 <= digits <= 15
     if kind == "id_number":
@@ -232,7 +259,7 @@ def sound(span: str, kind: str) -> bool:
     return digits == 0 and len(re.findall(r"[^\W\d_]+", span)) >= 2
 
 
-def train(n: int = 3200, rounds: int = 12, seed: int = 11) -> Field:
+def train(n: int = 4000, rounds: int = 10, seed: int = 11) -> Field:
     """Maximum likelihood by forward and backward sums, on the labelled table."""
     examples, given, family = pii_examples.table(n, seed)
     known = pii_examples.lexicon()
@@ -329,6 +356,39 @@ def field() -> Field:
     return train()
 
 
+#: Setting that names the folder of the published weights; where it is unset, each session trains its own (half a minute).
+WEIGHTS = "tidemark.pii.weights"
+
+
+def publish(spark: SparkSession, path: str) -> None:
+    """Write the trained weights as a table (part, name, place, weights), for other sessions to read."""
+    f = field()
+    rows = [("word", x, o, f.weights[o, i].tolist()) for x, i in f.ids.items() for o in range(2 * REACH + 1)]
+    rows += [("gap", str(g), o, f.gaps[o, g].tolist()) for o in range(2 * REACH + 1) for g in range(3)]
+    rows += [("move", "", i, m.tolist()) for i, m in enumerate(f.moves)]
+    spark.createDataFrame(rows, "part string, name string, place int, weights array<float>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def published(spark: SparkSession, path: str) -> Field:
+    """The field of a table that `publish` wrote: a few thousand rows, as many as there are features."""
+    rows = spark.read.parquet(path).collect()
+    ids = {x: i for i, x in enumerate(sorted({r["name"] for r in rows if r["part"] == "word"}))}
+    weights, gaps, moves = (np.zeros(n, np.float32) for n in ((2 * REACH + 1, len(ids) + 1, len(LABELS)), (2 * REACH + 1, 3, len(LABELS)), (len(LABELS), len(LABELS))))
+    for r in rows:
+        if r["part"] == "move":
+            moves[r["place"]] = r["weights"]
+        elif r["part"] == "gap":
+            gaps[r["place"], int(r["name"])] = r["weights"]
+        else:
+            weights[r["place"], ids[r["name"]]] = r["weights"]
+    return Field(ids, weights, gaps, moves, pii_examples.lexicon())
+
+
+def weights(spark: SparkSession) -> Field:
+    path = spark.conf.get(WEIGHTS, None)
+    return published(spark, path) if path else field()
+
+
 def roster(people: DataFrame | None) -> tuple[set[str], set[str]]:
     if people is None:
         return set(), set()
@@ -342,7 +402,7 @@ def tag(rows: DataFrame, id_: str, texts: list[str], people: DataFrame | None =
     """(id, field, spans: array<struct<s,e,type>>) of every text with items; no shuffle."""
     spark = rows.sparkSession
     given, family = roster(people)
-    handle = spark.sparkContext.broadcast((field(), given, family))  # weights: a fixed few hundred KB; the roster is bounded
+    handle = spark.sparkContext.broadcast((weights(spark), given, family))  # weights: a fixed few hundred KB; the roster is bounded
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f, g, h = handle.value
@@ -369,7 +429,7 @@ def items(docs: DataFrame, people: DataFrame | None = None) -> DataFrame:
 def redact(docs: DataFrame, id_: str, texts: str | list[str], people: DataFrame | None = None) -> DataFrame:
     """(id, each of texts, n_items): the texts with typed placeholders, otherwise unchanged; one row a row. Of a single name: (id, redacted, n_items)."""
     given, family = roster(people)
-    handle = docs.sparkSession.sparkContext.broadcast((field(), given, family))
+    handle = docs.sparkSession.sparkContext.broadcast((weights(docs.sparkSession), given, family))
     names = ["redacted"] if isinstance(texts, str) else list(texts)
     texts = [texts] if isinstance(texts, str) else names
     held = [f"_text{k}" for k in range(len(texts))]

@@ -11,48 +11,43 @@ import re
 
 # Carrier sentences. {N} name, {E} email, {P} phone, {I} identity number, {A} street address.
 CARRIERS = [
-    "Laut {N} ist der Stand veraltet.", "per {N}: leave the totals alone.", "{N} signed off on this yesterday.", "Ask {N} about the cutover.",
-    "{N}'s review is still open.", "This came from a call with {N}, keep it out of the notes.", "{N} wants the old layout back.",
-    "The complaint was filed by {N} in March.", "assigned to: {N}", "{N} (owner)", "Das hat {N} gestern freigegeben.", "Selon {N}, le total est faux.",
-    "Pregunta a {N} por el corte.", "Reviewed by Dr. {N} on Monday.", "Bitte mit Frau {N} abstimmen.", "Herr {N} wartet noch.", "Mr. {N} called again.", "Signed, {N}",
-    "Reach me at {P} after lunch.", "Call {P} if the night run stops.", "Rückfragen unter {P} bitte.", "the form still stores {P} in plain text.",
-    "The pager number is now {P}.", "SMS went to {P}, no answer.", "mon numéro : {P}", "{P} (desk)", "Tel. {P}", "tel. {P} (desk)", "llama al {P} mañana.",
-    "My tax number is {I}, use it only for the form.", "the fixture contains the national ID {I} of a tester.", "DNI {I} aparece en el volcado.",
-    "passport {I} was pasted into the ticket.", "social: {I} (from the payroll sheet)", "{I} fails the check", "identity no. {I} fails the check", "The sample row has ID no. {I} in it, remove that.",
-    "Steuernummer {I} steht im Export.", "le passeport {I} est visible.",
-    "Der Brief ging an {A}.", "Ship the test device to {A}.", "The invoice still shows {A} as the billing address.", "la dirección es {A}.",
-    "Courier was sent to {A}, wrong door.", "Office moved: {A}", "geocoder returns nothing for {A} at all.", "l'adresse est {A}.",
-    "cc {E} on the rollout note please.", "The bounce came from <{E}>.", "Send the receipt to {E} once the export is green.", "Escribe a {E} cuando termine.",
-    "Schreib bitte an {E}, wenn der Lauf fertig ist.", "reply-to={E} in the old config.", 'The account under "{E}" was locked again.', "contact: {E} / {E}",
-    "{N} and {N}", "{N} / {P}", "{E}", "{P}", "{A}", "{I}", "{N}",
+    "Spoke with {N} about it.", "{N} will present the results.", "thanks, {N}", "Author: {N}", "{N} disagreed with the estimate.", "Minutes were taken by {N}.", "the desk of {N} is empty",
+    "It was {N} who found the gap.", "Gespräch mit {N} am Freitag.", "{N} übernimmt das Thema.", "Zuständig ist {N}.", "Vu avec {N} ce matin.", "{N} valide demain.", "Hablé con {N} ayer.", "{N} lo revisa mañana.",
+    "from {N} to the whole group", "name on the badge: {N}", "We owe {N} an answer.", "as {N} put it, not now", "{N}, please confirm.", "forwarded by {N}: see below", "{N}: I can't reproduce it", "{N}'s laptop broke.",
+    "({N})", "Kontakt {N}", "{O} {N} {w} {o} {w}", "{O} {N}, {o} {w} {w}.", "{O} {N}: {w} {w}", "{N} {w} {o} {w} {o} {w}.", "according to {N} this is fine", "{N} [maintainer]", "approved-by: {N}", "D'accord avec {N} là-dessus.", "The talk by {N} was cancelled in June.", "{N} and {N} share a room.", "Herrn {N} informieren",
+    "Ring {P} in an emergency.", "phone {P}", "Phone: {P}", "mobile {P} or {P}", "Her extension is {P}.", "dial {P} and wait", "text {P} when done", "Telefon {P}", "Handy: {P}", "erreichbar unter {P}.", "fax {P}",
+    "joignable au {P}", "tél : {P}", "teléfono {P}", "móvil {P}", "the hotline {P} is dead", "voicemail on {P}", "caller id showed {P}, nobody spoke", "{P} is out of service", "{P} (office)",
+    "SSN {I}", "ID number {I}", "his tax id is {I}", "insurance record {I} is a duplicate", "passport no. {I}", "Passnummer {I}", "Ausweis {I} abgelaufen", "NIF: {I}", "DNI: {I}", "su DNI es {I}", "documento {I}", "numéro fiscal {I}", "carte d'identité {I}",
+    "a row with {I} leaked", "{I} is masked now", "the scan shows {I}, cut it", "filed as {I}", "TIN {I}", "{I} (second column)", "Versicherung {I} fehlt", "identity card {I} expired.", "somebody typed {I} into the search box.",
+    "lives at {A}", "Address: {A}", "Deliver to {A}.", "the parcel for {A} came back", "Adresse: {A}", "wohnhaft {A}", "liefern an {A}.", "habite {A}", "domicilio: {A}", "vive en {A}.", "meet us at {A} at noon",
+    "the site at {A} has no power", "registered office {A}", "send letters to {A} only", "map pin: {A}", "{A} is the former address",
+    "mail {E}", "write to {E} for access.", "From: {E}", "To: {E}", "{E} bounced", "my address is {E}, use that", "login {E}", "user {E} cannot sign in", "E-Mail an {E}", "bitte {E} informieren.", "courriel : {E}", "correo {E}",
+    "invite {E} and {E}", "Manda todo a {E}.", "Envoie tout à {E} demain.", "hand it over to {E} when it works", "<{E}>", 'owner="{E}"', "email={E};", "subscribed: {E} / {E}",
+    "{N} / {P}", "{E}", "{P}", "{A}", "{I}", "{N}",
 ]
 # Sentences without personal information. {W} invented word, {F} file, {D} number, {w} common word.
 PLAIN = [
-    "Before {w} {W}, compare the {w} in {F} with the {D} {w} that {W} {w}.", "Please check whether {F} keeps the {w} that {W} {w} when the {w} {w} hits {D} {w}.",
-    "Open question: does the {w} {w} belong to {W} or to {W}, given {D} {w} of {w}?", "Commit {H} {w} the {w} of {W}, which brought {D} {w} {w} back to {W}.",
-    "The fix for {W} lives in {F}; it {w} the {w} and leaves {D} {w} {w} alone.", "Do not touch {F} again; {W} {w} the {w} {w} there and {D} {w} went missing.",
-    "Run {D} of {W} finished with {D} {w}, and its {w} {w} {w} the {w} at {F}.", "Measured on {W}: {D} {w} per {w}, {D} {w} once the {w} {w} is {w}.",
-    "Today {W} got a {w} {w}, the {w} in {F} was {w}, and {D} {w} remain.", "Yes, {W} may keep its {w} {w}, but the {D} {w} in {F} must be {w} first.",
-    "Can you make {W} ignore the {w} {w} until {D} {w} have been {w} by {W}?", "I moved the {w} from {F} into {W} and the {w} {w} now takes {D} {w} instead of {D}.",
-    "After {w} {W} the {w} {w} the {w}, and {D} {w} of {W} came back {w}.", "While {w} the {w} {w} in {W}, the {w} noticed that {W} {w} {D} {w} before the {w} closed.",
-    "Nothing in {W} explains why {D} {w} were {w} twice; the {w} {w} near {F} looks wrong.", "The {w} {w} of {W} still {w} {D} {w} after {W} was restarted, so {W} stays {w} for now.",
-    "The {w} prefers {W} over {W} since the {w} was {w} in under {D} {w}.", "We keep the {w} {w} because {W} and {W} disagree on {D} {w} in every {w}.",
-    "Range {D4}-{D4} of the log is enough.", "Build 2026-{D2}-{D4} took {D4} ms.", "The listener on 10.0.{D2}.{D1}:{D4} refused.", "Offsets {D10} and {D10} overlap.",
-    "Ticket TCK-{D2}-{D4} is about {W}.", "Pinned {W}@{D1}.{D2}.{D1} in the lock file.", "Remote is git@forge.invalid:{w}/{w}.git for now.", "The decorator @{w}.fixture({D4}) is gone.",
-    "Checksum {H16} matches.", "{W} Road is the new default theme.", "{W} Kit is the new default theme.", "{W} Lane is the new default theme.", "{W} Hub is the new default theme.", "{W} Street is the new default theme.",
-    "(tool-only turn: Bash, Edit) {F}", "(tool-only turn: apply_patch) {F}", "Version {D1}.{D2}.{D1} of {W} is out.", "{w} {D} {w}, {D} {w}",
-    "Bitte prüfen, ob {F} den {W} aus {W} noch braucht, nachdem {W} ihn {w} hat und {D} Einträge fehlen.", "Warum {W} den {W} {w} hat, steht in {F}, zusammen mit {D} Fällen aus {W}.",
-    "Nach dem Lauf {D} wurde der {W} von {W} {w}; {W} zeigt jetzt {D} Meldungen.", "Der {w} {W} in {W} hat {D} Zeilen {w}, obwohl {W} nur {D} erwartet hatte.",
-    "Für {W} bleibt der {w} {W} bestehen, bis {D} Belege aus {F} ersetzt sind.", "Über Nacht sind {D} Einträge in {W} {w} worden, darunter der {w} {W} von {W}.",
-    "Vérifie si {F} garde le {w} que {W} a {w} après {D} messages de {W}.", "On garde le {w} {w} parce que {W} et {W} ont {w} {D} extraits.",
-    "Cette nuit {W} a {w} le {w} de {F}, puis {D} blocs du {w} {w} sont arrivés.", "D'après {W}, le {w} {w} prend {D} secondes et {D} autres sont {w} par {W}.",
-    "Le {w} {w} de {W} a {w} {D} lignes avant que {W} ne ferme la séance {D}.", "Mañana {W} cambiará el {w} en {F}; hoy {w} {D} bloques del {w} {w}.",
-    "Según {W}, el {w} {w} ocupa {D} líneas y nadie {w} las {D} restantes.", "No sé por qué {W} {w} el {w} {w} si {W} ya tenía {D} copias en {F}.",
-    "El {w} {w} de {W} {w} {D} filas antes de que {W} cerrara la sesión {D}.", "Revisa si {F} conserva el {w} que {W} {w} tras {D} avisos de {W}.",
-    "Owner: {W} {w} {w}.", "Assistant: The {w} of {W} is {w}.", "# {W} {w}", "- {w} {W} {w} {D}", "Merged branch {w}/{w} into {W}.", "See {F}: {W}, {W} and {W} are {w}.", "go ahead 👍", "[image] {w} {w}",
+    "{W} reads {F} twice and drops {D} {w}.", "Why is {W} slower than {W} on {D} {w}?", "I renamed {W} to {W} in {F}.", "{D} of {D} {w} passed, the {w} of {W} did not.", "In {F}, {W} calls {w} before {w}.", "The {w} {w} grew by {D} since {W}.",
+    "Set {w} to {D}, then rerun {W}.", "see {F} line {D} for the {w}", "{W} failed after {D} s: {w} {w} {w}", "Let {W} wait for {W}; {D} {w} is too much.", "{W}, {W} and {W} use the same {w}.", "As of {W} the {w} has {D} {w}.",
+    "Version {D1}.{D2}.{D1} of {W} needs {w}.", "{W}=={D1}.{D1}.{D2}", "upgrade {W}@{D1}.{D1}.{D1} first", "bind to 127.0.0.{D1}:{D4}", "peer 192.168.{D1}.{D2} timed out on port {D4}", "see issue {U}-{D4} and PR #{D3}", "{O} {U}-{D2}-{D4} stays open", "{W} {U}-{D3}", "{O} {w} {U}-{D2}-{D4}",
+    "commit {H} reverts {H}", "sha {H16} differs", "id {H16}{H16} not found", "bytes {D10} to {D10} are missing", "seek({D10})", "epoch {D10} is wrong", "ids {D4}-{D4} are free", "rows {D3}-{D3}", "on 2025-{D2}-{D2} at {D2}:{D2}", "at {D2}:{D2}:{D2}.{D3} {W} stopped",
+    "clone git@{w}.{w}:{w}/{w}.git", "push to git@{w}.{w}:{W}/{w}", "git@{w}-{w}.{w}:{w}/{w}", "origin git@{w}.{w}.{w}:{w}/{w}.git now", "@{w}.mark({D4})", "@{w} decorates {w}", "the {W} Road project", "theme {W} Street, dark", "{W} Lane beats {W} Hub", "{W} Avenue is a codename", "use {W} Kit", "{W} Court {w}", "{W} Way and {W} Drive are features.",
+    "(tool-only turn: Read, Write) {F}", "(tool-only turn: {W}, {W}) {F}", "(tool-only turn: {W}) {F}", "({w}: {W}, {W}) {F}", "{F}: {w} {w}", "# {W} {W}", "## {w} {w}", "- {w}: {D}", "* {W} {w}", "TODO {w} {W}", "{W}: {w}", "{W}; {w}", "{w} / {w} / {w}", "{W} ({w})", "[{w}] {W} {w}", "{D} {w}, {D} {w}", "{D}", "{W}", "ok 👍", "[image]",
+    "{W} hat {D} {w} verloren, weil {F} fehlt.", "Bitte {W} erst nach {D} {w} starten.", "Warum braucht {W} so lange?", "Die {w} in {F} passen nicht zu {W}.", "Der {W} ist {w}.", "Seit {W} sind {D} Zeilen {w}.", "Das {W} von {W} bleibt.",
+    "{W} perd {D} lignes dans {F}.", "Pourquoi {W} dépend de {W} ?", "Le {W} de {F} est {w}.", "On a {w} {D} {w} hier.", "La {w} de {W} reste.", "{W} pierde {D} filas en {F}.", "¿Por qué {W} depende de {W}?", "El {W} de {F} está {w}.", "Hay {D} {w} en {W}.", "La {w} de {W} sigue.",
+    "Assistant: {W} is {w}", "User: {w} {W}?", "Agreed.", "No.", "{W} Team {w}", "Monday {W} {w}", "In March {W} {w} {D} {w}.", "merge {w}/{w} into {W}", "Step {D1}: {w} {W}", "total: {D} {w}", "{w}={D} {w}={D}", "{w}_{w}({D}, {D})", "{W}::{W}", "{W}.{w}()", "/{w}/{w}/{D4}",
 ]
+# Frequent words of the four languages that are in no name. {o} such a word, {O} with a capital.
+CLOSED = (
+    "a about after again all also an and any are as ask at be because before but by can check close could did do does each else every first fix for from give got had has have he her here his how i if in into is it its keep "
+    "last let look make may move my new next no not now of on once one only open or our please put run said say see send set she should since so some still take tell than that the their then there these they this those "
+    "to today tomorrow try under until use was we were what when where which while who why will with would yes yesterday you your "
+    "aber alle auch auf aus bei bis bitte das dem den der die ein eine er es für gestern heute ich ihr im ist ja jetzt kein laut mit morgen nach nein nicht noch nur ob oder ohne seit sie sind so über und unter von vor wann warum was weil wenn wer wie wir wird wo zu zum zur "
+    "après au aussi aux avant avec ce cette ces dans de demain depuis des du elle en est et hier il je la le les mais ne non nous on ou où oui par pas pour pourquoi quand que qui sans selon ses son sur un une voir "
+    "bash edit read write al antes ayer como con cuando cuándo del desde después donde dónde el ella ellos es está hasta hay hoy las lo los mañana más muy no nos o para pero por porque qué quién se según si sí sin sobre su también te tu un una y ya"
+).split()
 # Titles, which are no part of a name.
-TITLES = ["Dr.", "Mr.", "Mrs.", "Ms.", "Prof.", "Frau", "Herr", "Mme", "M.", "Sr.", "Sra.", "Hr.", "Fr."]
+TITLES = ["Dr.", "Mr.", "Mrs.", "Ms.", "Prof.", "Frau", "Herr", "Mme", "Sr.", "Sra.", "Hr.", "Fr."]
 BARE, BETWEEN = ["{N}", "{E}", "{P}", "{A}", "{I}"], [" / ", "; also ", " and ", "; ", ", "]
 JOINS = [" ", " ", "\n", "\n\n", " / ", "; also ", " and ", " 🧭 ", " - "]
 _ON, _MID, _END = "b br c cr d dr f fl fr g gl gr h j k kr l m n p pl pr qu r s sk st t th tr v w x z bl cl sm sp sh".split(), "a ae ei i ia o ou u e ea".split(), "b c d f g k l m n nd nk p r rk s sk st th x z l m n r".split()
@@ -98,7 +93,8 @@ class Maker:
         r = self.r
         a, b = self.word(2), self.word(2)
         local = r.choice((f"{a}+{self.word(2)}", f"{a}.{b}", f"{a}{r.randint(1, 99)}", f"{a[0]}{b}", f"{a}-{b[0]}", f"{a}_{b}", a))
-        host = r.choice(("mail.example.net", "post.test", "team-mail.invalid", "example.org", "corp.example", "dev.example.org", f"{self.word(2)}.example.com"))
+        w, tld = self.word, r.choice(("com", "org", "net", "io", "dev", "de", "fr", "es", "co.uk", "test", "invalid", "example", "example.com", "example.org"))
+        host = r.choice((f"{w(2)}.{tld}", f"{w(1)}-{w(2)}.{tld}", f"{w(1)}.{w(2)}.{tld}", f"{w(1)}.{tld}"))
         k = r.random()
         if k < 0.25:
             at = r.choice((" at ", " (at) ", "[at]", " [at] ", "(at)", " AT "))
@@ -111,7 +107,7 @@ class Maker:
         d = self.digits
         return self.r.choice((
             f"+44 20 {d(4)} {d(4)}", f"+49 30 {d(5)} {d(3)}", f"0049 (0)30 {d(8)}", f"030/{d(5)}-{d(3)}", f"({d(3)}) 555-{d(4)}", f"+1 ({d(3)}) 555-{d(4)}", f"+1{d(3)}555{d(4)}", f"+1{d(10)}",
-            f"{d(3)}.555.{d(4)}", f"{d(3)}-555-{d(4)}", f"{d(3)} 555 {d(4)}", f"+1 {d(3)} 555 {d(4)}", f"+33 1 {d(2)} {d(2)} {d(2)} {d(2)}", f"+34 {d(3)} {d(3)} {d(3)}", f"0{d(2)} {d(7)}", f"+1-{d(3)}-555-{d(4)}",
+            f"{d(3)}.555.{d(4)}", f"{d(3)}-555-{d(4)}", f"{d(3)} 555 {d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+1 {d(3)} 555 {d(4)}", f"+33 1 {d(2)} {d(2)} {d(2)} {d(2)}", f"+34 {d(3)} {d(3)} {d(3)}", f"0{d(2)} {d(7)}", f"+1-{d(3)}-555-{d(4)}",
         ))
 
     def identity(self) -> str:
@@ -148,25 +144,45 @@ class Maker:
                 p = self.product()
             elif k == "w":
                 p = r.choice(_COMMON) if r.random() < 0.6 else self.word()
+            elif k in ("o", "O"):
+                p = r.choice(CLOSED)
+                p = p.capitalize() if k == "O" else p
             elif k == "F":
                 p = f"{r.choice(('src', 'lib', 'docs', 'tests', 'jobs', 'web', 'app', 'tools'))}/{self.word(2)}{r.choice('/-_')}{self.word(2)}.{r.choice(('py', 'sql', 'ts', 'rs', 'md', 'css', 'toml', 'json'))}"
             elif k == "D":
                 p = r.choice((self.digits(4), self.digits(3), self.digits(2), f"{self.digits(2)}.{self.digits(1)}", f"{self.digits(3)},{self.digits(3)}", f"{self.digits(2)},{self.digits(3)}"))
             elif k.startswith("D"):
                 p = self.digits(int(k[1:]))
+            elif k == "U":
+                p = "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZ") for _ in range(r.choice((2, 3, 3, 4))))
             elif k.startswith("H"):
                 p = "".join(r.choice("0123456789abcdef") for _ in range(int(k[1:] or 7)))
             out.append((p, "O"))
         return out
 
 
-def table(n: int = 3200, seed: int = 11) -> tuple[list[tuple[str, list[tuple[int, int, str]]]], set[str], set[str]]:
+def salad(m: Maker) -> str:
+    """A stretch of words, numbers and signs in no language, with or without an item in it: what stands around an item tells little."""
+    r = m.r
+    out = [r.choice(("{O}", "{O}", "{O},", "{W}", "{w}"))]
+    for _ in range(r.choice((3, 5, 8, 12))):
+        out.append(r.choice(("{w}", "{w}", "{o}", "{o}", "{o}", "{w}", "{W}", "{D}", "{F}", "{w},", "{w}:", "({w})", "{W}.", "{w}; {O}", "{D4}", "{D1}", "{H}", "{D4}-{D2}-{D4}", "{D2}-{D4}", "{D4}/{D3}", "{D4}.{D2}.{D2}", "{D1}.{D2}.{D1}", "{D10}", "{w}. {O}", "@{w}.{w}({D4})", "@{w}.{w}({w})", "@{w}", "{W}@{D1}.{D2}.{D1}", "{O} {W}@{D1}.{D1}.{D1}", "{U}-{D2}-{D4}", "{U}-{D4}", "{W}. D'{w}", "l'{w}", "C'est {w}", "— {O} {D4}{H} {w}")))
+    if r.random() < 0.5:
+        item = r.choice((*BARE, "{E}", "{P}", "{P} {w}", "{w} {P}", "{o} {E}", "{E} {O}", "{I} {w}", "{w} {I}", "{w}. {N} {w}", "{w}={E}", "{w}-{w}={E}", '{w}: "{E}"', "<{E}>", "{w}-{w}: {P}", "{w}={I}"))
+        out.insert(r.randint(0, len(out)), item + r.choice(("", "", ".", ",", ":", "?")))
+    return " ".join(out)
+
+
+def table(n: int = 4000, seed: int = 11) -> tuple[list[tuple[str, list[tuple[int, int, str]]]], set[str], set[str]]:
     """(text, spans (start, end, label)) examples, and the given and family names of the example roster."""
     m = Maker(seed)
     out = []
     for k in range(n):
         text, spans = "", []
-        sentences = [m.r.choice(CARRIERS if m.r.random() < 0.45 else PLAIN) for _ in range(m.r.choice((1, 2, 3)))]
+        sentences = []
+        for _ in range(m.r.choice((1, 2, 3))):
+            x = m.r.random()
+            sentences.append(salad(m) if x < 0.3 else m.r.choice(CARRIERS) if x < 0.6 else m.r.choice(PLAIN))
         if sentences[-1].endswith("}") and m.r.random() < 0.7:  # what follows a name without a full stop
             sentences.append(m.r.choice(PLAIN))
         if k % 4 == 0:  # every template comes up
@@ -186,7 +202,7 @@ def table(n: int = 3200, seed: int = 11) -> tuple[list[tuple[str, list[tuple[int
 
 def lexicon() -> set[str]:
     """Lower-case words of the templates themselves: the only words known by name, none of them a slot's."""
-    known = set(_COMMON) | {t.rstrip(".").lower() for t in TITLES} | {"str", "st", "street", "road", "lane", "way", "drive", "avenue", "court", "blvd", "apt", "rue", "calle", "du", "de", "at", "dot", "git"}
+    known = set(_COMMON) | set(CLOSED) | {t.rstrip(".").lower() for t in TITLES} | {"str", "st", "street", "road", "lane", "way", "drive", "avenue", "court", "blvd", "apt", "rue", "calle", "du", "de", "at", "dot", "git"}
     for t in CARRIERS + PLAIN + JOINS:
         known |= {w.lower() for w in re.findall(r"[^\W\d_]+", re.sub(r"\{\w+\}", " ", t))}
-    return known
+    return known - set("invalid test example mail com org net io dev de fr es co uk".split())  # what hosts consist of
