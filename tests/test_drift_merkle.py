@@ -88,3 +88,29 @@ def test_incremental_run_survives_failure(spark, tmp_path):
     assert inc.run(nxt, lambda d: d) == 2
     assert sorted((r["k"] or "", r["v"]) for r in inc.output().collect()) == [("", 1), ("a", 1), ("b", 1), ("b", 2), ("c", 1), ("c", 1)]
     assert inc.run(nxt, lambda d: d) == 3 and inc.output().count() == 6  # nothing new, nothing repeated
+
+
+def test_deleted_keys_concurrent_runs_and_growth(spark, tmp_path):
+    table = lambda rows: spark.createDataFrame(rows, "k string, v int")
+    inc = merkle.IncrementalRun(spark, str(tmp_path / "state"), "k", ["v"])
+    inc.run(table([("a", 1), ("b", 1), (None, 1)]), lambda d: d)
+
+    def overtaken():
+        merkle.IncrementalRun(spark, inc.dir, "k", ["v"]).run(table([("a", 1)]), lambda d: d)
+
+    with pytest.raises(RuntimeError):
+        inc.run(table([("z", 9)]), lambda d: d, overtaken)
+    assert inc.version() == 2 and sorted(r["k"] or "" for r in inc.deleted().collect()) == ["", "b"]
+    many = spark.range(20_000).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("v"))
+    assert inc.run(many, lambda d: d) == 3 and inc.output().count() == 3 + 20_000  # a deeper tree than the saved one
+    assert inc.run(many.unionByName(table([("new", 1)])), lambda d: d) == 4 and inc.output().count() == 3 + 20_001
+    assert [merkle.bits_for(n) for n in (0, 4096, 5000, 10**6, 10**7, 10**12)] == [4, 4, 8, 12, 16, 28]
+
+
+def test_numbers_beyond_a_double_are_rescued(spark):
+    schema = spark.createDataFrame([("k", "n", "number", False)], "kind string, field string, json_type string, required boolean")
+    texts = ["9007199254740993", "9007199254740992", "2.0", "1.25", "0.1234567890123456789", "1e3", "null"]
+    rows = spark.createDataFrame([(f'{{"n": {t}}}', "k", "p") for t in texts], "payload string, type string, path string")
+    got = [(r["f_n"], r["_rescued"], r["_nulls"]) for r in drift.ingest(rows, schema).collect()]
+    assert got == [(None, '{"n":9007199254740993}', []), (9007199254740992.0, None, []), (2.0, None, []), (1.25, None, []), (None, '{"n":0.1234567890123456789}', []), (1000.0, None, []), (None, None, ["n"])]
+    assert drift.departures(rows, schema).count() == 0

@@ -42,6 +42,14 @@ def json_bit(value: Column) -> Column:
     )
 
 
+def _exact(value: Column) -> Column:
+    """Whether a number survives the double column it goes to; one that does not is rescued as it is written."""
+    t = F.schema_of_variant(value)
+    whole = F.try_variant_get(value, "$", "decimal(38,0)")
+    written, kept = F.try_variant_get(value, "$", "decimal(38,18)"), F.try_variant_get(value, "$", "double").try_cast("decimal(38,18)")
+    return F.when(t == "BIGINT", F.abs(whole) <= 2**53).when(t.startswith("DECIMAL"), F.coalesce(written == kept, F.lit(False))).otherwise(True)
+
+
 def with_fields(df: DataFrame, payload: str = "payload", type_: str = "type") -> DataFrame:
     """Adds _d_kind and _d_map (field -> variant; null unless the payload is a JSON object)."""
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # of a key given twice the last counts, as in other readers
@@ -57,28 +65,29 @@ def _literal_map(pairs: dict[str, int]) -> Column:
 
 
 def ingest(df: DataFrame, schema: DataFrame, payload: str = "payload", type_: str = "type", prefix: str = "f_") -> DataFrame:
-    """df without its payload, plus kind, one typed column f_<field> per agreed field, _rescued and _raw."""
+    """df without its payload, plus kind, one typed column f_<field> per agreed field (f_<field>_<type> where kinds disagree),
+    _nulls (agreed fields given as null), _rescued, _raw and _object (whether the payload was a JSON object)."""
     agreed = agreement(schema)
     listed = _literal_map({k + _SEP + f: BITS[t] for k, f, t, _ in agreed})
     rows = with_fields(df, payload, type_)
     key = lambda f: F.concat(F.col("_d_kind"), F.lit(_SEP), f)
     fits = lambda k, v: (json_bit(v) == listed[key(k)]) | ((json_bit(v) == 0) & listed[key(k)].isNotNull())
-    rows = rows.withColumn("_d_ok", F.map_filter("_d_map", lambda k, v: F.coalesce(fits(k, v), F.lit(False))))
-    rows = rows.withColumn("_d_bad", F.map_filter("_d_map", lambda k, v: ~F.coalesce(fits(k, v), F.lit(False))))
-    types: dict[str, set[str]] = {}
-    for _, f, t, _ in agreed:
-        types.setdefault(f, set()).add(t)
-    columns = []
-    for f in sorted(types):
-        for t in sorted(types[f]):
-            value = F.element_at("_d_ok", f)
-            value = F.when(json_bit(value) == BITS[t], value)
-            got = F.to_json(value) if SPARK[t] == "variant" else F.try_variant_get(value, "$", SPARK[t])
-            columns.append(got.alias(prefix + f + ("" if len(types[f]) == 1 else "_" + t)))
-    made = {"kind", "_rescued", "_raw", "_d_kind", "_d_map", payload} | {prefix + f for f in types} | {f"{prefix}{f}_{t}" for f in types for t in types[f]}
+    ok = lambda v: F.coalesce(json_bit(v) == 0, F.lit(True)) | _exact(v)
+    rows = rows.withColumns({
+        "_d_ok": F.map_filter("_d_map", lambda k, v: F.coalesce((json_bit(v) == listed[key(k)]) & ok(v), F.lit(False))),
+        "_nulls": F.map_keys(F.map_filter("_d_map", lambda k, v: (json_bit(v) == 0) & listed[key(k)].isNotNull())),
+        "_d_bad": F.map_filter("_d_map", lambda k, v: ~F.coalesce(fits(k, v) & ok(v), F.lit(False))),
+    })
+    columns, names = [], columns_of(agreed, prefix)
+    for name, f, t in names:
+        value = F.element_at("_d_ok", f)
+        value = F.when(json_bit(value) == BITS[t], value)
+        columns.append((F.to_json(value) if SPARK[t] == "variant" else F.try_variant_get(value, "$", SPARK[t])).alias(name))
+    made = {"kind", "_nulls", "_rescued", "_raw", "_object", "_d_kind", "_d_map", payload} | {name for name, _, _ in names}
     keep = [F.col(c) for c in df.columns if c not in made]
     rescued = F.when(F.size("_d_bad") > 0, F.to_json("_d_bad"))
-    return rows.select(*keep, F.col("_d_kind").alias("kind"), *columns, rescued.alias("_rescued"), F.when(F.col("_d_map").isNull(), F.col(payload)).alias("_raw"))
+    whole = F.col("_d_map").isNotNull()
+    return rows.select(*keep, F.col("_d_kind").alias("kind"), *columns, "_nulls", rescued.alias("_rescued"), F.when(~whole, F.col(payload)).alias("_raw"), whole.alias("_object"))
 
 
 def replay(table: DataFrame, kind: str, field: str, into: str, json_type: str) -> DataFrame:
@@ -94,29 +103,42 @@ def replay(table: DataFrame, kind: str, field: str, into: str, json_type: str) -
     )
 
 
-def facts(df: DataFrame, path: str = "path", payload: str = "payload", type_: str = "type") -> DataFrame:
-    """(path, kind, field, n, bits): in how many records of a file a field occurs and with which types.
+def columns_of(agreed: list[tuple[str, str, str, bool]], prefix: str = "f_") -> list[tuple[str, str, str]]:
+    """(column, field, JSON type) of the typed columns that `ingest` makes."""
+    types: dict[str, set[str]] = {}
+    for _, f, t, _ in agreed:
+        types.setdefault(f, set()).add(t)
+    return [(prefix + f + ("" if len(types[f]) == 1 else "_" + t), f, t) for f in sorted(types) for t in sorted(types[f])]
+
+
+def facts(table: DataFrame, agreed: list[tuple[str, str, str, bool]], path: str = "path") -> DataFrame:
+    """(path, kind, field, n, bits) of an ingested table: in how many records of a file a field occurs and with which types.
 
-    The row with the empty field counts the records. Only these sums are shuffled, so neither a large
-    file nor a kind that holds most records weighs on one task.
+    What fits is counted in its typed column, agreed fields given as null in _nulls, all else in _rescued. The row with
+    the empty field counts the records. Only these sums are shuffled, so neither a large file nor a kind that holds most
+    records weighs on one task.
     """
-    rows = with_fields(df.select(path, payload, type_), payload, type_).filter(F.col("_d_map").isNotNull())
-    fields = F.transform(F.map_entries("_d_map"), lambda e: F.struct(e["key"].alias("field"), json_bit(e["value"]).alias("bit")))
-    whole = F.array(F.struct(F.lit(None).cast("string").alias("field"), F.lit(0).alias("bit")))
+    pair = lambda f, bit: F.struct(F.lit(f).cast("string").alias("field"), F.lit(bit).alias("bit"))
+    typed = F.array_compact(F.array(*[F.when(F.col(f"`{c}`").isNotNull(), pair(f, BITS[t])) for c, f, t in columns_of(agreed)])) if agreed else F.array()
+    nulls = F.transform("_nulls", lambda f: F.struct(f.alias("field"), F.lit(0).alias("bit")))
+    rescued = F.map_entries(F.coalesce(F.try_variant_get(F.try_parse_json("_rescued"), "$", "map<string,variant>"), F.create_map().cast("map<string,variant>")))
+    rest = F.transform(rescued, lambda e: F.struct(e["key"].alias("field"), json_bit(e["value"]).alias("bit")))
+    every = F.concat(F.array(pair(None, 0)), *([typed] if agreed else []), nulls, rest)
     return (
-        rows.select(F.col(path).alias("path"), F.col("_d_kind").alias("kind"), F.explode(F.concat(whole, fields)).alias("e"))
+        table.filter("_object").select(F.col(path).alias("path"), "kind", F.explode(every).alias("e"))
         .groupBy("path", "kind", F.col("e.field").alias("field"))
         .agg(F.count("*").alias("n"), F.bit_or("e.bit").alias("bits"))
     )
 
 
 def departures(df: DataFrame, schema: DataFrame, path: str = "path", payload: str = "payload", type_: str = "type") -> DataFrame:
-    """(path, kind, field, change) with change in kind_added, retyped, renamed, removed, added."""
+    """(path, kind, field, change) with change in kind_added, retyped, renamed, removed, added: told from the ingested table."""
     agreed = agreement(schema)
     spark = df.sparkSession
     listed = spark.createDataFrame([(k, f, BITS[t], r) for k, f, t, r in agreed], "kind string, field string, want int, required boolean")
     kinds = sorted({k for k, *_ in agreed})
-    seen = materialise(facts(df, path, payload, type_), "facts")  # read several times below; one narrow row per field of a file
+    table = ingest(df.select(path, payload, type_), schema, payload, type_)
+    seen = materialise(facts(table, agreed, path), "facts")  # read several times below; one narrow row per field of a file
     totals = seen.filter(F.col("field").isNull()).select("path", "kind", F.col("n").alias("total"))
     known = totals.filter(F.col("kind").isin(kinds))
     added = totals.filter(~F.col("kind").isin(kinds)).select("path", "kind", F.lit("*").alias("field"), F.lit("kind_added").alias("change"))

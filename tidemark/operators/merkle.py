@@ -1,11 +1,12 @@
 """Only new or changed records, by comparing hash trees over key ranges (problem 5).
 
 A tree's leaf covers a range of the hashed key space and holds an order-free digest of its rows (count,
-sum and exclusive-or of two row hashes); a node's digest is the hash of its children's. `changed_leaves`
+sum and exclusive-or of two row hashes); a node's digest is the hash of its children's. The number of
+leaves follows that of the rows (`bits_for`), so that a leaf stays a few hundred rows. `changed_leaves`
 walks two trees from the root and descends only where digests differ; `extract` reads the rows of the
-leaves that remain. `IncrementalRun` writes a run's output, rows and tree into a version folder and makes
+leaves that remain. `IncrementalRun` writes a run's output, rows and tree into a folder of its own and makes
 them current by one rename of a pointer file that names it: a run that dies before has no effect, one that dies after
-is not repeated.
+is not repeated, and of two runs at once the later one fails without touching what the other has published.
 
 Defined cases: nulls hash like a value of their own; repeated rows change a digest; an empty side
 differs from every non-empty leaf of the other; key and value columns are named by the caller, others
@@ -14,6 +15,7 @@ are ignored for digests and passed through by `extract`.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,10 +24,21 @@ from pyspark.sql import functions as F
 from tidemark.session import materialise
 
 FAN_BITS = 4
-#: 16**4 leaves; the tree has at most some 70,000 nodes whatever the input.
+#: Rows a leaf should hold, and the least and greatest number of leaves, as bits: 16 and 16**7.
+LEAF_ROWS, FEWEST_BITS, MOST_BITS = 256, 4, 28
+#: Leaves up to which the levels above are folded by one task.
+ONE_TASK_BITS = 16
 LEAF_BITS = 16
 
 
+def bits_for(rows: int) -> int:
+    """Depth, in bits, of a tree over so many rows."""
+    bits = FEWEST_BITS
+    while bits < MOST_BITS and rows >> bits > LEAF_ROWS:
+        bits += FAN_BITS
+    return bits
+
+
 def leaf_of(key: Column, bits: int = LEAF_BITS) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
 
@@ -36,8 +49,9 @@ def tree(rows: DataFrame, key: Column, values: list[Column], bits: int = LEAF_BI
     leaves = rows.select(leaf_of(key, bits).alias("node"), h.alias("h"), F.xxhash64(F.lit(7), *values).alias("g")).groupBy("node").agg(
         F.sha2(F.concat_ws(",", F.count("*").cast("string"), F.sum(F.col("h").cast("decimal(20,0)")).cast("string"), F.bit_xor("g").cast("string")), 256).alias("digest")
     )
-    # At most 2**bits rows: written once, then every level above is folded by one task without a shuffle.
-    leaves = materialise(leaves, "leaves").coalesce(1)
+    # Written once; the levels above a tree of some 65,000 leaves are folded by one task without a shuffle, those of a larger one by many.
+    leaves = materialise(leaves, "leaves")
+    leaves = leaves.coalesce(1) if bits <= ONE_TASK_BITS else leaves
     levels, level = [leaves.withColumn("level", F.lit(bits // FAN_BITS))], leaves
     for n in range(bits // FAN_BITS - 1, -1, -1):
         level = level.groupBy(F.shiftrightunsigned("node", FAN_BITS).alias("node")).agg(
@@ -47,13 +61,16 @@ def tree(rows: DataFrame, key: Column, values: list[Column], bits: int = LEAF_BI
     out = levels[0]
     for x in levels[1:]:
         out = out.unionByName(x)
-    return materialise(out.select("level", "node", "digest").coalesce(1), "tree")
+    out = out.select("level", "node", "digest")
+    return materialise(out.coalesce(1) if bits <= ONE_TASK_BITS else out, "tree")
 
 
 def changed_leaves(current: DataFrame, saved: DataFrame, bits: int = LEAF_BITS) -> DataFrame:
     """(node) of the leaves that differ, reached only through differing parents."""
     at = lambda t, n: t.filter(F.col("level") == n).select("node", "digest")
-    current, saved, reached = current.coalesce(1), saved.coalesce(1), None
+    reached = None
+    if bits <= ONE_TASK_BITS:
+        current, saved = current.coalesce(1), saved.coalesce(1)
     for n in range(bits // FAN_BITS + 1):
         differ = at(current, n).join(at(saved, n).withColumnRenamed("digest", "was"), "node", "full").filter(~F.col("digest").eqNullSafe(F.col("was"))).select("node")
         if reached is not None:
@@ -85,16 +102,24 @@ def checkpoints(sources: DataFrame) -> DataFrame:
     return sources.select("path", "sha", durable.alias("durable"), base_name(F.col("path")).alias("base"), F.col("ingested_at").alias("at"))
 
 
-def pending_files(files: DataFrame, sources: DataFrame, bits: int = LEAF_BITS) -> DataFrame:
+def stored_tree(saved: DataFrame, bits: int) -> DataFrame:
+    """The tree of what is stored of each file, as `pending_files` compares it."""
+    return tree(saved, F.col("base"), [F.col("path"), F.col("sha"), F.col("durable").cast("bigint")], bits)
+
+
+def pending_files(files: DataFrame, sources: DataFrame, bits: int | None = None, published: DataFrame | None = None) -> DataFrame:
     """(path, from_offset, size) of listed files that have bytes to read.
 
+    published: the `stored_tree` that the last run wrote with its checkpoints, of the same bits; built from the checkpoints where there is none.
+
     Both sides become trees keyed by base name, so that a moved file falls into the leaf of its old
     record. A file whose listing equals its checkpoint adds the same hash to both sides; only leaves
     that differ are read row by row.
     """
-    now, saved = listing(files), checkpoints(sources)
+    now, saved = materialise(listing(files), "listing"), checkpoints(sources)
+    bits = bits or bits_for(now.count())
     mine = tree(now, F.col("base"), [F.col("path"), F.col("sha"), F.col("size").cast("bigint")], bits)
-    theirs = tree(saved, F.col("base"), [F.col("path"), F.col("sha"), F.col("durable").cast("bigint")], bits)
+    theirs = stored_tree(saved, bits) if published is None else published
     leaves = materialise(changed_leaves(mine, theirs, bits), "changed")
     files_, marks = extract(now, F.col("base"), leaves, bits), extract(saved, F.col("base"), leaves, bits)
     moved = (
@@ -112,11 +137,12 @@ def pending_files(files: DataFrame, sources: DataFrame, bits: int = LEAF_BITS) -
 class IncrementalRun:
     """Runs over a keyed table that hand only new or changed rows to `process`, exactly once.
 
-    state_dir must be on storage all executors share. Layout: v<N>/rows, v<N>/tree, v<N>/output and
-    a pointer file CURRENT.<N> for every published version; the highest is in force.
+    state_dir must be on storage all executors share. Layout: a folder run-<id> per run with rows (key, digest), tree,
+    output and deleted (keys that the table no longer has), and a pointer file CURRENT.<N> per published version that
+    holds the folder's name; the highest is in force. bits: depth of the tree; follows the first run's rows if not stated.
     """
 
-    def __init__(self, spark: SparkSession, state_dir: str, key: str, values: list[str], bits: int = LEAF_BITS):
+    def __init__(self, spark: SparkSession, state_dir: str, key: str, values: list[str], bits: int | None = None):
         self.spark, self.dir, self.key, self.values, self.bits = spark, state_dir.rstrip("/"), key, values, bits
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
@@ -128,32 +154,54 @@ class IncrementalRun:
         names = [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
         return max((int(n[8:]) for n in names if n.startswith("CURRENT.")), default=0)
 
+    def _folder(self, version: int) -> str:
+        name, at = self.spark.read.text(f"{self.dir}/CURRENT.{version}").first()[0], self.dir
+        return f"{at}/{name}"
+
     def output(self) -> DataFrame | None:
         """All rows processed so far, over all published versions."""
         n = self.version()
-        return self.spark.read.parquet(*[f"{self.dir}/v{i}/output" for i in range(1, n + 1)]) if n else None
+        return self.spark.read.parquet(*[f"{self._folder(i)}/output" for i in range(1, n + 1)]) if n else None
+
+    def deleted(self) -> DataFrame | None:
+        """Keys that the last published run no longer found."""
+        n = self.version()
+        return self.spark.read.parquet(f"{self._folder(n)}/deleted") if n else None
 
     def run(self, rows: DataFrame, process: Callable[[DataFrame], DataFrame], before_publish: Callable[[], None] = lambda: None) -> int:
         """Process what changed since the published version and publish the next; returns its number."""
-        old, new = self.version(), self.version() + 1
-        at = f"{self.dir}/v{new}"
+        old = self.version()
+        name = f"run-{uuid.uuid4().hex}"
+        at, read = f"{self.dir}/{name}", self.spark.read.parquet
         key, values = F.col(self.key), [F.col(self.key), *[F.col(v) for v in self.values]]
-        tree(rows, key, values, self.bits).write.mode("overwrite").parquet(f"{at}/tree")
-        mine = self.spark.read.parquet(f"{at}/tree")
-        digests = rows.select(key, F.xxhash64(*values).alias("_row"))
+        rows.select(key, F.xxhash64(*values).alias("_row")).write.parquet(f"{at}/rows")
+        digests = read(f"{at}/rows")
+        # Both trees are over the written digests, so a tree of another depth can be made of the saved ones alone.
+        bits = self.bits or bits_for(digests.count())
+        tree(digests, key, [F.col("_row")], bits).withColumn("bits", F.lit(bits)).write.parquet(f"{at}/tree")
+        mine = read(f"{at}/tree")
         if old:
-            leaves = changed_leaves(mine, self.spark.read.parquet(f"{self.dir}/v{old}/tree"), self.bits)
-            was = extract(self.spark.read.parquet(f"{self.dir}/v{old}/rows"), key, leaves, self.bits)
-            part = extract(rows, key, leaves, self.bits).withColumn("_row", F.xxhash64(*values))
+            before = self._folder(old)
+            was, saved = read(f"{before}/rows"), read(f"{before}/tree")
+            if saved.first()["bits"] != bits:
+                saved = tree(was, key, [F.col("_row")], bits)
+            leaves = changed_leaves(mine, saved, bits)
+            was = extract(was, key, leaves, bits)
+            part = extract(rows, key, leaves, bits).withColumn("_row", F.xxhash64(*values))
             same = part[self.key].eqNullSafe(was[self.key]) & (part["_row"] == was["_row"])
             changed = part.join(was, same, "left_anti").drop("_row")
+            there = extract(digests, key, leaves, bits)
+            gone = was.join(there, was[self.key].eqNullSafe(there[self.key]), "left_anti").select(self.key).distinct()
         else:
-            changed = rows
-        process(changed).write.mode("overwrite").parquet(f"{at}/output")
-        digests.write.mode("overwrite").parquet(f"{at}/rows")
+            changed, gone = rows, digests.select(self.key).limit(0)
+        process(changed).write.parquet(f"{at}/output")
+        gone.write.parquet(f"{at}/deleted")
         before_publish()
-        tmp = self._path(f"{self.dir}/_pointer.{new}")
-        self._fs.create(tmp, True).close()
-        if not self._fs.rename(tmp, self._path(f"{self.dir}/CURRENT.{new}")):
+        tmp, pointer = self._path(f"{at}/_pointer"), self._path(f"{self.dir}/CURRENT.{old + 1}")
+        out = self._fs.create(tmp, False)
+        out.write(bytearray(name.encode()))
+        out.close()
+        # Where renaming onto a file is refused (as in HDFS) this decides between two runs; elsewhere the check before it does, nearly.
+        if self._fs.exists(pointer) or not self._fs.rename(tmp, pointer):
             raise RuntimeError("another run published this version")
-        return new
+        return old + 1
