@@ -32,7 +32,7 @@ def test_pieces_hold_the_rules(seed):
 
 def test_whole_sections_are_preferred():
     t = "a" * 1600 + "\n\n# One\n" + "b" * 200 + "\n\n" + "c" * 3000
-    assert S.cut_after(S.Node(t, 0, len(t)), 0) == 1602  # before the heading, though a later paragraph would fit
+    assert S.Tree(t).meets(1500, 2048) == (S.BLANK, 1602)  # before the heading, though a later paragraph would fit
 
 
 def test_own_cut_passes_the_audit(spark, sf):
@@ -78,3 +78,16 @@ def test_no_boundary_and_bad_limits(spark):
     with pytest.raises(ValueError):
         S.split(spark.createDataFrame([], "id bigint, body string"), "id", "body", limit=100)
     assert S.split(spark.createDataFrame([(1, None), (None, "x")], "id bigint, body string"), "id", "body").count() == 0
+
+
+def test_the_tree_of_headings_lists_and_fences():
+    t = "# A\n\nintro\n\n## B\n- one\n  - two\n- three\n\n```\n# no heading\n\ncode\n```\n\n# C\nend"
+    tree = S.Tree(t)
+    depth = {t[e:].split("\n")[0]: r for e, r in zip(tree.ends, tree.ranks)}
+    assert depth["# C"] < depth["## B"] < depth["intro"] and depth["# C"][1] == 1 and depth["## B"][1] == 2
+    assert depth["- three"] < depth["  - two"] < depth["# no heading"] and depth["code"][1] == depth["# no heading"][1] == 15
+    assert tree.meets(0, len(t)) == (S.BLANK, t.index("# C")) and tree.meets(t.index("# no"), t.index("code") + 3) == (S.BLANK, t.index("code"))
+    # A heading after a single line feed is a line end, but the best of those; a line feed at the very end of reach counts.
+    t = "x" * 1600 + "\n# H\n" + "y" * 100 + "\n" + "z" * 3000
+    assert S.Tree(t).meets(1500, 2048) == (S.LINE, 1601) and S.Tree("ab\n").meets(0, 3) == (S.LINE, 3) and S.Tree("a\n\n").meets(1, 3) == (S.BLANK, 3)
+    assert S.Tree("ab\r\n\r\ncd").meets(0, 8) == (S.LINE, 6) and S.Tree("ab cd").meets(0, 5) == (S.SPACE, 3) and S.Tree("").meets(0, 0) == (S.NONE, 0)

@@ -1,14 +1,17 @@
 """Splitting oversized texts at natural boundaries (problem 3).
 
-A text is a tree of sections (blank line before a heading, list item or markup), paragraphs (blank
-line), lines and words. Sibling subtrees are merged as long as the piece stays within the limit, and a
-node is opened only where it does not fit as a whole and what was merged before it is too short. The
-next piece begins `overlap` characters before the cut.
+A text is parsed into a tree: sections by their headings, a deeper heading within the shallower one before it;
+in them blocks between blank lines, list items by their indentation, and fences, which hold together; in those
+lines, and words. What the tree is asked for is where siblings meet and how high up (`Tree`). Siblings are merged
+bottom-up: a piece takes words, then whole lines, blocks and sections for as long as it stays within the limit,
+and ends where the highest siblings meet that it can reach; lines are looked into for words only where nothing
+higher is in reach. The next piece begins `overlap` characters before the cut.
 
-`audit` holds stored pieces against the same levels.
+`audit` holds stored pieces against the same tree.
 
 Defined cases: null and empty texts give no piece from `split` (there is nothing to cut); texts within
-the limit give one piece; text without any boundary is cut at the limit; positions are code points.
+the limit give one piece; text without any boundary is cut at the limit; a carriage return is a character like
+others, so lines that end in CRLF have line ends but no blank lines; positions are code points.
 """
 
 from __future__ import annotations
@@ -18,65 +21,70 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT, OVERLAP, EARLIEST = 2048, 256, 1500
-#: What ends a node's children, from the text down: sections end at a blank line before a heading, list
-#: item, element or fence; paragraphs at any blank line; lines at a line feed; words at white space.
-#: The first two are boundaries of one sort, between which the tree prefers sections.
-ENDS = (
-    re.compile(r"(?<=\n\n)(?=#{1,6} |[-*] |\d+[.)] |<\w|```)"),
-    re.compile(r"(?<=\n\n)"),
-    re.compile(r"(?<=\n)"),
-    re.compile(r"(?<=[ \t\n])"),
-)
-
-
-class Node:
-    """A stretch of text; its children are looked for only when it has to be opened."""
-
-    __slots__ = ("text", "start", "end", "level", "_kids", "_ends")
-
-    def __init__(self, text: str, start: int, end: int, level: int = 0):
-        self.text, self.start, self.end, self.level, self._kids, self._ends = text, start, end, level, None, None
-
-    def ends(self) -> list[int]:
-        """Where the children end."""
-        if self._ends is None:
-            inner = [m.start() for m in ENDS[self.level].finditer(self.text, self.start, self.end) if self.start < m.start() < self.end]
-            self._ends = [*inner, self.end]
-        return self._ends
-
-    def child(self, k: int) -> Node:
-        if self._kids is None:
-            self._kids = {}
-        if k not in self._kids:
-            ends = self.ends()
-            self._kids[k] = Node(self.text, ends[k - 1] if k else self.start, ends[k], self.level + 1)
-        return self._kids[k]
-
-
-def cut_after(root: Node, start: int, limit: int = LIMIT, earliest: int = EARLIEST) -> int:
-    """Where the piece that begins at start ends, for a text that goes on beyond the limit.
-
-    On each level the siblings that fit are merged; if they reach far enough, the piece ends with them,
-    else the first that does not fit is opened.
-    """
-    node = root
-    while node.level < len(ENDS):
-        ends = node.ends()
-        k = bisect_right(ends, start + limit)
-        if k and ends[k - 1] > start + earliest:
-            return ends[k - 1]
-        node = node.child(k)
-    return start + limit
+#: Sorts of boundary, best first: a blank line, the end of a line, white space, none.
+BLANK, LINE, SPACE, NONE = 1, 2, 3, 4
+_HEADING = re.compile(r"(#{1,6})[ \t]")
+_ITEM = re.compile(r"([ \t]*)(?:[-*+]|\d+[.)])[ \t]")
+_MARKUP = re.compile(r"</?\w")
+_FENCE = re.compile(r" {0,3}(```|~~~)")
+#: Depths below the six of headings: a block, an item of a list (by indentation), a line, and any of them within a fence.
+_BLOCK, _LIST, _PLAIN, _FENCED = 7, 8, 14, 15
+
+
+class Tree:
+    """Where siblings of a text's structure tree meet: ends[k], with sort and depth of the siblings; the shallower the higher up."""
+
+    def __init__(self, text: str):
+        self.text, self.ends, self.ranks = text, [], []
+        at, fenced, n = 0, bool(_FENCE.match(text)), len(text)
+        while at < n:
+            at = text.find("\n", at) + 1
+            if not at:
+                break
+            # What follows begins a new node; how high up it hangs says its first line.
+            sort = BLANK if at > 1 and text[at - 2] == "\n" else LINE
+            fence = at < n and text[at] in " `~" and _FENCE.match(text, at)
+            self.ends.append(at)
+            self.ranks.append((sort, _FENCED if fenced else self._depth(at, sort)))
+            if fence:
+                fenced = not fenced
+
+    def _depth(self, at: int, sort: int) -> int:
+        c = self.text[at : at + 1] or "\n"
+        heading = _HEADING.match(self.text, at) if c == "#" else None
+        if heading:
+            return len(heading[1])
+        item = _ITEM.match(self.text, at) if c in " \t-*+0123456789" else None
+        if item:
+            return _LIST + min(len(item[1].expandtabs(4)) // 2, 5)
+        return _BLOCK if sort == BLANK or c == "<" and _MARKUP.match(self.text, at) else _PLAIN
+
+    def meets(self, after: int, until: int) -> tuple[int, int]:
+        """(sort, place) of the highest siblings that meet in (after, until], the last of them; (NONE, until) where none do."""
+        lo, hi = bisect_right(self.ends, after), bisect_right(self.ends, until)
+        if lo < hi:
+            best = min(self.ranks[lo:hi])
+            return best[0], max(e for e, r in zip(self.ends[lo:hi], self.ranks[lo:hi]) if r == best)
+        at = max(self.text.rfind(" ", after, until), self.text.rfind("\t", after, until))
+        return (SPACE, at + 1) if at >= 0 else (NONE, until)
+
+    def sort_at(self, place: int) -> int:
+        """Sort of the boundary at a place."""
+        k = bisect_right(self.ends, place) - 1
+        if k >= 0 and self.ends[k] == place:
+            return self.ranks[k][0]
+        tail = self.text[max(0, place - 2) : place]
+        return BLANK if tail == "\n\n" else LINE if tail.endswith("\n") else SPACE if tail.endswith((" ", "\t")) else NONE
 
 
 def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP, earliest: int = EARLIEST) -> list[tuple[int, int]]:
-    out, start, n, root = [], 0, len(text), Node(text, 0, len(text))
+    out, start, n, tree = [], 0, len(text), Tree(text)
     while n - start > limit:
-        end = cut_after(root, start, limit, earliest)
+        end = tree.meets(start + earliest, start + limit)[1]
         out.append((start, end))
         start = end - overlap
     if n:
@@ -103,10 +111,13 @@ def split(docs: DataFrame, id_: str, text: str, limit: int = LIMIT, overlap: int
     return one.unionByName(many).withColumnRenamed("id", id_)
 
 
-def best_level(window: Column) -> Column:
-    """1 to 4: the best sort of boundary in reach. window begins one character before the first place to cut."""
-    inner = F.substring(window, 2, 1 << 30)
-    return F.when(window.contains("\n\n"), 1).when(inner.contains("\n"), 2).when(inner.rlike("[ \t]"), 3).otherwise(4)
+def _sorts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Adds the best sort in the window and the sort of the stored cut, by the tree of the text around them."""
+    for pdf in batches:
+        # The windows begin one character before the first place to cut; what the tree sees first is only there to tell a blank line.
+        level = [Tree(w).meets(1, len(w))[0] if isinstance(w, str) and len(w) > 1 else NONE for w in pdf["w"]]
+        own = [Tree(t).sort_at(len(t)) if isinstance(t, str) and t else NONE for t in pdf["tail"]]
+        yield pdf.drop(columns=["w", "tail"]).assign(level=level, own=own)
 
 
 def audit(chunks: DataFrame, docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, earliest: int = EARLIEST) -> DataFrame:
@@ -123,18 +134,19 @@ def audit(chunks: DataFrame, docs: DataFrame, limit: int = LIMIT, overlap: int =
     bodies = docs.select(F.col("id").alias("doc_id"), F.coalesce("body", F.lit("")).alias("body"))
     w0 = F.col("s") + earliest  # 0-based place of the character before the first place to cut
     met = c.join(bodies, "doc_id", "left").select(
-        "doc_id", "ordinal", "s", "e", "pe", "last", F.coalesce(F.length("body"), F.lit(0)).alias("n"),
+        "doc_id", "ordinal", "s", "e", "pe", "last", F.coalesce(F.length("body"), F.lit(0)).cast("bigint").alias("n"),
         F.when(F.col("s") >= 0, F.col("body").substr(w0.cast("int"), F.lit(limit - earliest + 1))).alias("w"),
         F.when(F.col("e") >= 2, F.col("body").substr((F.col("e") - 1).cast("int"), F.lit(2))).alias("tail"),
     )
-    level = best_level(F.col("w"))
-    own = F.when(F.col("tail") == "\n\n", 1).when(F.col("tail").endswith("\n"), 2).when(F.substring("tail", -1, 1).isin(" ", "\t"), 3).otherwise(4)
+    kept = ", ".join(f"{x} bigint" for x in ("doc_id", "ordinal", "s", "e", "pe", "last", "n"))
+    met = met.mapInPandas(_sorts, kept + ", level int, own int")
+    level, own = F.col("level"), F.col("own")
     in_reach = (F.col("e") > F.col("s") + earliest) & (F.col("e") <= F.col("s") + limit)
     is_last = F.col("ordinal") == F.col("last")
     bad = (
         F.col("s").isNull() | F.col("e").isNull() | (F.col("e") <= F.col("s")) | (F.col("e") - F.col("s") > limit) | (F.col("s") < 0) | (F.col("e") > F.col("n"))
         | F.when(F.col("ordinal") == 0, F.col("s") != 0).otherwise(F.col("pe").isNull() | (F.col("s") != F.col("pe") - overlap))
-        | F.when(is_last, F.col("e") != F.col("n")).otherwise((level < 4) & (~in_reach | (own > level)))
+        | F.when(is_last, F.col("e") != F.col("n")).otherwise((level < NONE) & (~in_reach | (own > level)))
     )
     faulty = met.filter(F.coalesce(bad, F.lit(True))).select("doc_id", "ordinal")
     missing = docs.filter(F.length("body") > limit).select(F.col("id").alias("doc_id")).join(chunks.select("doc_id").distinct(), "doc_id", "left_anti")
