@@ -160,3 +160,28 @@ def test_span_edges(spark):
     assert S.expand_copies(*e).count() == 0
     with pytest.raises(ValueError):
         S.shared_pairs(docs, least=100)
+
+
+def test_chunk_that_many_records_hold(spark, monkeypatch):
+    """Boilerplate shorter than the least span pairs nobody; a longer one pairs all, whichever way they are found."""
+    import random
+
+    from tidemark.llm import spans as S
+
+    r = random.Random(2)
+    noise = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    short, long = noise(190), noise(230)
+    rows = [(i, noise(300) + (short if i % 2 else long) + noise(300)) for i in range(40)]
+    rows += [(100, rows[0][1]), (101, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {(a, b) for a in range(0, 40, 2) for b in range(a + 2, 40, 2)}
+    for few in (16, 1000):
+        monkeypatch.setattr(S, "FEW", few)
+        pairs, copies = S.shared_pairs(docs)
+        assert {(x["a"], x["b"]) for x in pairs.collect()} == want
+    got = {}
+    for x in S.spans_of_all(docs).collect():
+        got.setdefault((x["doc_id"], x["class_id"]), []).append((x["start"], x["end"]))
+    text = dict(rows)
+    assert got.pop((100, 0)) == got.pop((101, 0)) == got.pop((0, 0)) == [(0, len(text[0]))]
+    assert set(got) == {(i, i) for i in range(2, 40, 2)} and all(long in text[i][s:e] and e - s <= 240 for (i, _), [(s, e)] in got.items())

@@ -25,7 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p9_found": lambda s, d: leakage.find(read(s, d, "documents"), read(s, d, "eval_items")).select("item_id", "doc_id"),
         "p9_leaks": lambda s, d: leakage.find(read(s, d, "documents"), read(s, d, "eval_items"), similarity=0.8),
         "p10_found": p10_found,
-        "p10_spans": lambda s, d: spans.shared_spans(read(s, d, "documents"))[0],
+        "p10_spans": lambda s, d: spans.spans_of_all(read(s, d, "documents")),
         "p10_shared": lambda s, d: spans.shared_extent(read(s, d, "documents")),
     }
 

@@ -28,6 +28,8 @@ from tidemark.session import materialise
 
 DEEP = 16
 WINDOW = 48
+#: Records with a common chunk up to which all of them are candidates for each other; beyond, whole runs have to agree.
+FEW = 16
 _B = 0x9E3779B97F4A7C15 | 1
 _CHUNK = 400_000
 
@@ -170,9 +172,39 @@ def shared_chunks(texts: DataFrame, least: int) -> DataFrame:
             if ids:
                 yield pd.DataFrame({"digest": np.concatenate(ds), "doc_id": np.concatenate(ids)})
 
-    occ = texts.mapInPandas(digests, "digest bigint, doc_id bigint")
-    held = F.count("*").over(Window.partitionBy("digest"))
-    return materialise(occ.withColumn("n", held).filter("n > 1").select("digest", "doc_id"), "shared-chunks")
+    occ = materialise(texts.mapInPandas(digests, "digest bigint, doc_id bigint"), "chunks")
+    # Counted map-side first, so a chunk that very many records hold weighs on no task.
+    held = occ.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("digest", "n")
+    return materialise(occ.join(held, "digest").select("digest", "doc_id", "n"), "shared-chunks")
+
+
+def shared_runs(reps: DataFrame, shared: DataFrame, least: int) -> DataFrame:
+    """(run, run2, doc_id, at): of texts that hold the given chunks (digest, doc_id), the runs of `least` characters around them that come from two texts.
+
+    A run is known by two hashes of 64 bits with unlike bases.
+    """
+    mine = shared.groupBy("doc_id").agg(F.collect_set("digest").alias("digests"))  # bounded by the text's length
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for i, t, digests in zip(pdf["doc_id"], pdf["text"], pdf["digests"]):
+                s, e, d = chunks(t, least)
+                hit = np.isin(d.view(np.int64), digests)
+                n = len(t) - least + 1
+                # A run that is shared holds a shared chunk, so it begins in [end - least, start] of one.
+                edge = np.zeros(n + 1, np.int32)
+                np.add.at(edge, np.clip(e[hit] - least, 0, n), 1)
+                np.add.at(edge, np.clip(s[hit] + 1, 0, n), -1)
+                at = np.flatnonzero(np.cumsum(edge)[:n] > 0)
+                codes = _code(points_of(t))
+                h, g = _window_hashes(codes, least)[at], _window_hashes(_mix(codes + np.uint64(1)), least)[at]
+                out.append(pd.DataFrame({"run": h.view(np.int64), "run2": g.view(np.int64), "doc_id": i, "at": at}))
+            yield pd.concat(out) if out else pd.DataFrame({"run": [], "run2": [], "doc_id": [], "at": []}).astype("int64")
+
+    occ = materialise(reps.join(mine, "doc_id").mapInPandas(runs, "run bigint, run2 bigint, doc_id bigint, at bigint"), "runs")
+    common = occ.groupBy("run", "run2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("run", "run2")
+    return occ.join(common, ["run", "run2"], "left_semi")
 
 
 def representatives(docs: DataFrame, id_: str, text: str, least: int) -> tuple[DataFrame, DataFrame]:
@@ -184,6 +216,11 @@ def representatives(docs: DataFrame, id_: str, text: str, least: int) -> tuple[D
     return texts.join(copies.filter("doc_id <> rep").select("doc_id"), "doc_id", "left_anti"), copies
 
 
+def _pairs(held: DataFrame, key: str) -> DataFrame:
+    a, b = held.withColumnRenamed("doc_id", "a"), held.withColumnRenamed("doc_id", "b")
+    return a.join(b, key).filter("a < b").select("a", "b").distinct()
+
+
 def shared_pairs(docs: DataFrame, id_: str = "doc_id", text: str = "text", least: int = 200) -> tuple[DataFrame, DataFrame]:
     """(pairs, copies): pairs (a, b, in_a, in_b) of representatives with the shared stretches of each; copies as in copy_classes.
 
@@ -191,8 +228,13 @@ def shared_pairs(docs: DataFrame, id_: str = "doc_id", text: str = "text", least
     """
     reps, copies = representatives(docs, id_, text, least)
     shared = shared_chunks(reps, least)
-    a, b = shared.withColumnRenamed("doc_id", "a"), shared.withColumnRenamed("doc_id", "b")
-    pairs = materialise(a.join(b, "digest").filter("a < b").select("a", "b").distinct(), "candidate-pairs")
+    few, many = shared.filter(F.col("n") <= FEW).select("digest", "doc_id"), shared.filter(F.col("n") > FEW)
+    pairs = _pairs(few, "digest")
+    if many.limit(1).count():
+        # A chunk that many records hold pairs none of them by itself: the whole runs around it have to agree.
+        runs = shared_runs(reps, many, least).withColumn("key", F.struct("run", "run2")).select("key", "doc_id").distinct()
+        pairs = pairs.unionByName(_pairs(materialise(runs, "common-runs"), "key"))
+    pairs = materialise(pairs.distinct(), "candidate-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     part = materialise(reps.join(wanted, "doc_id", "left_semi"), "pair-texts")
     met = pairs.join(part.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(part.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
@@ -228,31 +270,11 @@ def shared_spans(docs: DataFrame, id_: str = "doc_id", text: str = "text", least
 
     No pairs are formed, so a passage that very many records share costs no more than its occurrences:
     of every text that holds a shared chunk, the runs of `least` characters around such chunks are
-    hashed, and a run is shared if its hash comes from two texts.
+    hashed, and a run is shared if its two hashes come from two texts.
     """
     reps, copies = representatives(docs, id_, text, least)
     shared = shared_chunks(reps, least)
-    mine = shared.groupBy("doc_id").agg(F.collect_set("digest").alias("digests"))  # bounded by the text's length
-
-    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for i, t, digests in zip(pdf["doc_id"], pdf["text"], pdf["digests"]):
-                s, e, d = chunks(t, least)
-                hit = np.isin(d.view(np.int64), digests)
-                n = len(t) - least + 1
-                # A run that is shared holds a shared chunk, so it begins in [end - least, start] of one.
-                edge = np.zeros(n + 1, np.int32)
-                np.add.at(edge, np.clip(e[hit] - least, 0, n), 1)
-                np.add.at(edge, np.clip(s[hit] + 1, 0, n), -1)
-                at = np.flatnonzero(np.cumsum(edge)[:n] > 0)
-                h = _window_hashes(_code(points_of(t)), least)[at]
-                out.append(pd.DataFrame({"run": h.view(np.int64), "doc_id": i, "at": at}))
-            yield pd.concat(out) if out else pd.DataFrame({"run": [], "doc_id": [], "at": []}).astype("int64")
-
-    occ = materialise(reps.join(mine, "doc_id").mapInPandas(runs, "run bigint, doc_id bigint, at bigint"), "runs")
-    common = occ.groupBy("run").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("run")
-    found = occ.join(common, "run", "left_semi").select("doc_id", "at")
+    found = shared_runs(reps, shared, least).select("doc_id", "at")
     order = Window.partitionBy("doc_id").orderBy("at")
     gap = F.col("at") - F.lag("at").over(order)
     marked = found.withColumn("island", F.sum(F.when(gap <= least, 0).otherwise(1)).over(order))
@@ -260,6 +282,16 @@ def shared_spans(docs: DataFrame, id_: str = "doc_id", text: str = "text", least
     return spans.select("doc_id", "start", "end"), copies
 
 
+def spans_of_all(docs: DataFrame, id_: str = "doc_id", text: str = "text", least: int = 200) -> DataFrame:
+    """(doc_id, class_id, start, end): the shared stretches of every record; copies share their whole text, class_id is the least id of the class."""
+    texts = _texts(docs, id_, text, least)
+    spans, copies = shared_spans(docs, id_, text, least)
+    whole = texts.groupBy("doc_id").agg(F.max(F.length("text")).cast("bigint").alias("end"))
+    same = copies.select("doc_id", F.col("rep").alias("class_id")).distinct()
+    alone = spans.join(same.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("class_id"), F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"))
+    return alone.unionByName(same.join(whole, "doc_id").select("doc_id", "class_id", F.lit(0).cast("bigint").alias("start"), "end"))
+
+
 def shared_extent(docs: DataFrame, id_: str = "doc_id", text: str = "text", least: int = 200) -> DataFrame:
     """(doc_id, class_id, copies, spans, shared_chars, n_chars) of every record; copies share their whole text."""
     spans, copies = shared_spans(docs, id_, text, least)
