@@ -75,3 +75,21 @@ def test_against_brute_force(spark, sf):
             if any(a == "user" and b != "assistant" for a, b in zip(roles, roles[1:])):
                 want[s] = "no_reply"
     assert {r["session_id"]: r["defect"] for r in C.defects(d, src).collect()} == want
+
+
+def test_live_stream_with_a_stated_delay(spark, tmp_path):
+    """Segments leave a live stream, with their verdicts, once the watermark is past their window; a message within the delay still joins, a later one is dropped."""
+    import datetime as dt
+
+    from tidemark.llm import conversations as C
+
+    day = lambda d: dt.datetime(2026, 1, d, tzinfo=dt.timezone.utc)
+    message = lambda i, d, role: ("s", 0, i, int(day(d).timestamp() * 1000), role, True, day(d))
+    inbox, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    for batch in ([message(1, 1, "u"), message(3, 9, "u")], [message(2, 2, "a")], [message(4, 30, "u")], [message(5, 3, "a"), message(6, 31, "a")]):
+        spark.createDataFrame(batch, C._MESSAGE).coalesce(1).write.mode("append").parquet(inbox)
+        arriving = spark.readStream.schema(C._MESSAGE).parquet(inbox)
+        q = C.closing(arriving, "10 days").writeStream.outputMode("append").format("parquet").option("checkpointLocation", state).option("path", out).trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = sorted((r["begins"], [m["id"] for m in r["said"]], r["n"], r["bad"], r["open"], r["first"], r["last"]) for r in spark.read.parquet(out).collect())
+    assert [g[1:] for g in got] == [([1, 2], 2, False, False, "u", "a"), ([3], 1, False, False, "u", "u")]
