@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 OVERLAP_STOP = "the and for that this with from owner claude was were are not its has have had should will into over approved approves rejected rejects requested asked wants wanted".split()
 # Words dropped from a recall topic.
 TOPIC_STOP = "a an the we i you our your my me did do have has had was were about of for on in to with and or it that this keep choose chose discussed something similar before".split()
-# Secrets, in the order in which they are replaced.
+# Secrets, in the order in which they are replaced. Look-arounds stand for word borders, which must be those of ASCII.
 SCRUBBED = "[scrubbed]"
 SECRETS = [
     (r"(?<![A-Za-z0-9_])sk-[A-Za-z0-9_-]{16,}", SCRUBBED),
@@ -123,7 +123,7 @@ INTENTS = [
 
 
 def intent(c: Column) -> Column:
-    low, bare = F.lower(c), F.trim(F.regexp_replace(F.trim(c), r"[?!.]+$", ""))
+    low, bare = F.lower(c), F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+\z", ""), r"[?!.]+\z|\s+[?!.]+\z", "")
     out = F.when(bare.rlike(RULES), "instruction")
     for name, pattern in INTENTS:
         out = out.when(low.rlike(pattern), name)

@@ -50,11 +50,23 @@ def validate(items: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
+def _words_pattern(quote: Column) -> Column:
+    """A quote's words one after the other, whatever white space is between them."""
+    literal = lambda w: F.concat(F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    return F.array_join(F.transform(F.split(F.trim(F.regexp_replace(quote, r"\s+", " ")), " "), literal), r"\s+")
+
+
 def ends_as_question(body: Column, quote: Column) -> Column:
-    """Whether the sentence that holds the quote ends with a question mark."""
-    at = F.instr(F.lower(body), F.lower(quote))
-    rest = F.substring(body, at + F.length(quote), F.lit(1 << 20))
-    return (at > 0) & (F.substring(F.regexp_extract(rest, r"(?s)^.*?([!?\n]|\.(?=\s|$))", 1), 1, 1) == "?")
+    """Whether the sentence that holds the quote ends with a question mark; white space and case of the quote don't matter."""
+    rest = F.regexp_extract(body, F.concat(F.lit("(?isu)"), _words_pattern(quote), F.lit("(.*)$")), F.lit(1))
+    end = F.regexp_extract(rest, r"(?s)^.*?([!?\n]|\.(?=\s|$))", 1)
+    return (F.trim(quote) != "") & (F.substring(end, 1, 1) == "?")
+
+
+def holds_phrase(body: Column, quote: Column) -> Column:
+    """Whether a text has the quote as whole words anywhere; white space and case don't matter, an empty quote is in nothing."""
+    whole = F.concat(F.lit(r"(?isu)(?<![\p{L}\p{N}])"), _words_pattern(quote), F.lit(r"(?![\p{L}\p{N}])"))
+    return F.coalesce((F.trim(quote) != "") & F.regexp_like(body, whole), F.lit(False))
 
 
 def validate_decisions(items: DataFrame, docs: DataFrame) -> DataFrame:
@@ -85,21 +97,51 @@ def check(inputs: DataFrame) -> DataFrame:
     return inputs.withColumns({"certainty": certainty, "reject_reason": reason})
 
 
-def link_pending(pending: DataFrame, turns: DataFrame) -> DataFrame:
-    """(id, turn_id, state): pending quotes (id, project, ms, quote) and the one owner turn (id, project, ms, body) that holds each.
+def link_pending(pending: DataFrame, turns: DataFrame, spoken: DataFrame | None = None, back: int = 12) -> DataFrame:
+    """(id, turn_id, context_id, state): pending quotes and the one owner turn that holds each.
+
+    pending: id, project, ms (when it was recorded), quote and, if there, client, session_id, context (words of what was
+    answered), status. turns: the owner's turns (id, project, ms, body and, if there, client, session_id, ts). spoken: all
+    spoken turns (id, session_id, ts, role, body), among which the proposal is looked for.
 
-    state: linked (exactly one turn in the window of a day before to two minutes after), ambiguous (several) or waiting.
+    A turn counts from a day before to two minutes after; it holds the quote as whole words or, failing that, its words in
+    order with small gaps. Where a context is given, one of the `back` spoken turns before must hold it. state: linked
+    (exactly one exchange is left), ambiguous (several, or several conversations where neither session nor context is
+    given), unverified (none, though the client's conversation goes on ten minutes later) or waiting.
     """
     from tidemark.operators.relations import turns_around
 
-    near = turns_around(pending.select(F.col("id").alias("anchor"), "project", "ms"), turns.select("id", "project", "ms"), 86_400_000, 120_000, 400)
-    met = near.join(pending.select(F.col("id").alias("anchor"), "quote"), "anchor").join(turns.select("id", "body"), "id")
-    b, q = text.collapse(F.col("body")), text.collapse(F.col("quote"))
-    at = F.instr(b, q)
-    whole = (q != "") & (at > 0) & ~F.substring(b, at - 1, F.when(at > 1, 1).otherwise(0)).rlike(r"[\p{L}\p{N}]") & ~F.substring(b, at + F.length(q), F.lit(1)).rlike(r"[\p{L}\p{N}]")
-    hits = met.filter(whole).groupBy("anchor").agg(F.count("*").alias("n"), F.min("id").alias("turn_id"))
-    state = F.when(F.col("n") == 1, "linked").when(F.col("n") > 1, "ambiguous").otherwise("waiting")
-    return pending.select("id").join(hits, F.col("id") == F.col("anchor"), "left").select("id", F.when(F.col("n") == 1, F.col("turn_id")).alias("turn_id"), state.alias("state"))
+    has = lambda df, c, t="string": F.col(c) if c in df.columns else F.lit(None).cast(t)
+    p = pending.select(F.col("id").alias("anchor"), "project", "ms", "quote", has(pending, "client").alias("p_client"), has(pending, "session_id").alias("p_session"), has(pending, "context").alias("context"), has(pending, "status").alias("p_status"))
+    t = turns.select("id", "project", "ms", "body", has(turns, "client").alias("client"), has(turns, "session_id").alias("session_id"))
+    near = turns_around(p.select("anchor", "project", "ms"), t.select("id", "project", "ms"), 86_400_000, 120_000, 400)
+    met = near.join(p.drop("project", "ms"), "anchor").join(t.drop("project", "ms"), "id")
+    same = (F.col("p_client").isNull() | F.col("p_client").eqNullSafe(F.col("client"))) & (F.col("p_session").isNull() | F.col("p_session").eqNullSafe(F.col("session_id")))
+    met = met.filter(same).withColumn("_exact", holds_phrase(F.col("body"), F.col("quote")))
+    # Python sees only the texts that do not hold the quote as it stands.
+    exact, loose = met.filter("_exact"), met.filter("not _exact").withColumn("_f", text.fuzzy_quote(F.col("body"), F.col("quote"))).filter("_f is not null").drop("_f")
+    hits = exact.unionByName(loose).select("anchor", "id", "session_id", "p_session", "context")
+    if spoken is not None:
+        w = Window.partitionBy("session_id").orderBy("ts", "id").rowsBetween(-back, -1)
+        before = spoken.select("id", F.collect_list("id").over(w).alias("_before")).join(hits.select("id").distinct(), "id", "left_semi")
+        said = spoken.select(F.col("id").alias("_c"), F.col("role").alias("_role"), F.col("body").alias("_said"))
+        near = hits.join(before, "id", "left").select("anchor", "id", "context", F.posexplode_outer("_before").alias("_place", "_c")).join(said, "_c", "left")
+        fits = F.when(F.col("context").isNotNull(), holds_phrase(F.col("_said"), F.col("context"))).otherwise(F.col("_role") == "assistant")
+        context = near.groupBy("anchor", "id").agg(F.max_by("_c", F.when(F.coalesce(fits, F.lit(False)), F.col("_place"))).alias("context_id"))
+        hits = hits.join(context, ["anchor", "id"])
+    else:
+        hits = hits.withColumn("context_id", F.lit(None).cast("bigint"))
+    left = F.col("context").isNull() | F.col("context_id").isNotNull()
+    per = hits.groupBy("anchor").agg(
+        F.count_if(left).alias("n"), F.min(F.when(left, F.struct(F.col("id").alias("turn_id"), "context_id"))).alias("hit"),
+        (F.max(F.coalesce("context", "p_session").isNull()) & (F.count_distinct(F.coalesce("session_id", F.lit(""))) > 1)).alias("scattered"),
+    )
+    latest = t.groupBy(F.col("project").alias("_p"), F.col("client").alias("_cl")).agg(F.max("ms").alias("_last"))
+    out = p.join(per, "anchor", "left").join(latest, (F.col("project") == F.col("_p")) & F.col("p_client").eqNullSafe(F.col("_cl")), "left")
+    gone = F.coalesce((F.col("p_status") == "unverified") | (F.col("p_client").isNotNull() & (F.col("_last") > F.col("ms") + 600_000)), F.lit(False))
+    one = (F.col("n") == 1) & ~F.coalesce("scattered", F.lit(False))
+    state = F.when(one, "linked").when((F.col("n") > 1) | F.col("scattered"), "ambiguous").when(gone, "unverified").otherwise("waiting")
+    return out.select(F.col("anchor").alias("id"), F.when(one, F.col("hit.turn_id")).alias("turn_id"), F.when(one, F.col("hit.context_id")).alias("context_id"), state.alias("state"))
 
 
 def relation(pairs: DataFrame) -> DataFrame:

@@ -20,15 +20,11 @@ _KEY = ["session_id", "first_id", "last_id", "model", "prompt_sha"]
 
 def slices(docs: DataFrame, most: int) -> DataFrame:
     """(session_id, chunk, first_id, last_id, shown): packed turns as one text, a line a turn. A slice is bounded by `most` characters."""
-    chunks = relations.packed_chunks(docs, most)
-    turns = docs.filter(filters.spoken()).select("session_id", "ts", "id", "body", filters.speaker().alias("who"))
-    first = turns.select(F.col("id").alias("first_id"), F.col("ts").alias("_from"))
-    last = turns.select(F.col("id").alias("last_id"), F.col("ts").alias("_to"))
-    c = chunks.join(first, "first_id").join(last, "last_id")
-    inside = (F.struct("ts", "id") >= F.struct(F.col("_from"), F.col("first_id"))) & (F.struct("ts", "id") <= F.struct(F.col("_to"), F.col("last_id")))
+    packed = relations.packed_turns(docs, most)
+    turns = docs.filter(filters.spoken()).select("id", "body", filters.speaker().alias("who"))
     line = F.concat(F.lit("[T"), F.col("id").cast("string"), F.lit("] "), F.coalesce("who", F.lit("?")), F.lit(": "), F.coalesce("body", F.lit("")))
-    met = c.join(turns, "session_id").filter(inside)
-    shown = met.groupBy("session_id", "chunk", "first_id", "last_id").agg(F.sort_array(F.collect_list(F.struct("ts", "id", line.alias("line")))).alias("l"))
+    met = packed.join(turns, "id")
+    shown = met.groupBy("session_id", "chunk").agg(F.min_by("id", "k").alias("first_id"), F.max_by("id", "k").alias("last_id"), F.sort_array(F.collect_list(F.struct("k", line.alias("line")))).alias("l"))
     return shown.select("session_id", "chunk", "first_id", "last_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("shown"))
 
 

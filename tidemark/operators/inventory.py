@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates
@@ -42,14 +42,28 @@ def sizing(docs: DataFrame) -> DataFrame:
     return docs.filter(filters.indexable()).agg(F.count("*").alias("records"), F.sum(F.length("body")).alias("chars"), F.sum(F.octet_length("body")).alias("bytes"))
 
 
-def brief(docs: DataFrame, recent: int = 3, lines: int = 20) -> DataFrame:
-    """(id, ts, who, outcome, title, score): recent statements and handoffs, the most telling first."""
-    last = recent_sessions(docs, recent).select("session_id")
-    stmts = docs.filter((F.col("kind") == "statement") & filters.live() & (F.coalesce("outcome", F.lit("")) != "standing")).join(last, "session_id", "left_semi").select("id", "ts", "who", "outcome", "title")
-    notes = docs.filter((F.col("kind") == "handoff") & filters.live()).select("id", "ts", F.lit("handoff").alias("who"), F.lit("note").alias("outcome"), "title")
+def mentions(files: list[str]) -> Column:
+    """Whether a row names one of the files: among its own by the end of the path, or in its text by a base name of more than five characters."""
+    own = F.transform(F.coalesce(F.from_json("files_json", "array<string>"), F.array().cast("array<string>")), lambda x: F.translate(x, "\\", "/"))
+    said, hit = F.concat_ws(" ", "title", "body"), F.lit(False)
+
+    def ends_with(name: str):
+        return lambda x: F.coalesce(x.endswith(name), F.lit(False))
+
+    for f in (f.replace("\\", "/") for f in files):
+        base = f.rsplit("/", 1)[-1]
+        hit = hit | F.exists(own, ends_with(f)) | (F.contains(said, F.lit(base)) if len(base) > 5 else F.lit(False))
+    return F.coalesce(hit, F.lit(False))
+
+
+def brief(docs: DataFrame, recent: int = 3, lines: int = 20, files: list[str] | None = None) -> DataFrame:
+    """(id, ts, who, outcome, title, score): recent statements and handoffs, the most telling first. files: those touched of late; rows that name one come forward."""
+    last, touched = recent_sessions(docs, recent).select("session_id"), mentions(files or [])
+    stmts = docs.filter((F.col("kind") == "statement") & filters.live() & (F.coalesce("outcome", F.lit("")) != "standing")).join(last, "session_id", "left_semi").select("id", "ts", "who", "outcome", "title", touched.alias("_t"))
+    notes = docs.filter((F.col("kind") == "handoff") & filters.live()).select("id", "ts", F.lit("handoff").alias("who"), F.lit("note").alias("outcome"), "title", touched.alias("_t"))
     rows = stmts.unionByName(notes).withColumn("ms", dates.event_ms(F.col("ts")))
     oldest = docs.filter((F.col("kind") == "turn") & filters.live()).join(last, "session_id", "left_semi").agg(F.min(dates.event_ms(F.col("ts"))).alias("t0"))
     age = F.greatest(F.lit(0.0), (F.coalesce("ms", "t0") - F.coalesce("t0", "ms")) / 86_400_000)
-    score = F.when(F.col("outcome") == "open", 2).when(F.col("outcome") == "rejected", 1).otherwise(0) + F.coalesce(age, F.lit(0.0))
+    score = F.when(F.col("_t"), 3).otherwise(0) + F.when(F.col("outcome") == "open", 2).when(F.col("outcome") == "rejected", 1).otherwise(0) + F.coalesce(age, F.lit(0.0))
     out = rows.crossJoin(F.broadcast(oldest)).withColumn("score", F.round(score, 6))
     return out.orderBy(F.desc("score"), (F.col("outcome") == "open").desc(), "id").limit(lines).select("id", "ts", "who", "outcome", "title", "score")

@@ -19,10 +19,11 @@ def content_sha(*parts: Column) -> Column:
     return F.sha2(F.concat_ws(SEP, *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
 
 
-def first_of_each(rows: DataFrame, key: str, order: str = "id") -> DataFrame:
+def first_of_each(rows: DataFrame, key: str, order: str | list[str] = "id") -> DataFrame:
     """The first row of each key by order; rows without a key are all kept."""
-    w = Window.partitionBy(key).orderBy(order)
-    return rows.withColumn("_r", F.row_number().over(w)).filter((F.col("_r") == 1) | F.col(key).isNull()).drop("_r")
+    w = Window.partitionBy(key).orderBy(*([order] if isinstance(order, str) else order))
+    keyed = rows.filter(F.col(key).isNotNull()).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r")
+    return keyed.unionByName(rows.filter(F.col(key).isNull()))
 
 
 def insert_once(existing: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -100,23 +101,32 @@ def last_evidence() -> Column:
 
 
 def dedupe_statements(docs: DataFrame) -> DataFrame:
-    """Of statements with the same session, last evidence, outcome and quote the newest stays; the older point to it. An empty quote is like no other."""
-    q = F.lower(text.quote_key(F.col("quote")))
+    """Of statements with the same session, last evidence, outcome and quote the newest stays; the older point to it.
+
+    Quotes are alike but for white space and composition, not for case; an empty quote is like no other. Statements of no session are left alone.
+    """
+    q = text.quote_key(F.col("quote"))
     turn = last_evidence()
-    able = (F.col("kind") == "statement") & (F.col("status") == "active") & (q != "") & turn.isNotNull()
+    able = (F.col("kind") == "statement") & (F.col("status") == "active") & F.col("session_id").isNotNull() & (q != "") & turn.isNotNull()
     rows = docs.filter(able).select("id", "session_id", turn.alias("turn"), "outcome", q.alias("q"))
-    newest = rows.groupBy("session_id", "turn", "outcome", "q").agg(F.max("id").alias("keep"), F.collect_list("id").alias("ids")).filter(F.size("ids") > 1)
-    moves = newest.select(F.explode("ids").alias("id"), "keep").filter("id <> keep")
+    key = ["session_id", "turn", "outcome", "q"]
+    newest = rows.groupBy(*key).agg(F.max("id").alias("keep"), F.count("*").alias("n")).filter("n > 1").toDF(*["k_" + k for k in key], "keep", "n")
+    same = rows["session_id"] == newest["k_session_id"]
+    for k in key[1:]:
+        same = same & rows[k].eqNullSafe(newest["k_" + k])
+    moves = rows.join(newest, same).select("id", "keep").filter("id <> keep")
     out = docs.join(moves, "id", "left")
     hit = F.col("keep").isNotNull()
     return out.withColumns({"status": F.when(hit, "superseded").otherwise(F.col("status")), "superseded_by": F.when(hit, F.col("keep")).otherwise(F.col("superseded_by"))}).select(*docs.columns)
 
 
-def supersede_by_evidence(docs: DataFrame, session: str, lo: int, hi: int, origin: str | None = None) -> DataFrame:
-    """Active statements of a session whose last evidence lies in [lo, hi] are superseded; only of one origin if given."""
+def supersede_by_evidence(docs: DataFrame, session: str, lo: int, hi: int, origin: str | None = None, tag: str | None = None) -> DataFrame:
+    """Active statements of a session whose last evidence lies in [lo, hi] are superseded; only of one origin if given. Those that the prompt of path `tag` made stay."""
     hit = (F.col("kind") == "statement") & (F.col("status") == "active") & (F.col("session_id") == session) & last_evidence().between(lo, hi)
     if origin:
         hit = hit & (F.col("origin") == origin)
+    if tag is not None:
+        hit = hit & (F.col("path").isNull() | (F.col("path") != tag))
     return docs.withColumn("status", F.when(F.coalesce(hit, F.lit(False)), "superseded").otherwise(F.col("status")))
 
 

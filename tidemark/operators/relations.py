@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +45,7 @@ def turns_around(anchors: DataFrame, turns: DataFrame, back_ms: int, ahead_ms: i
     width = back_ms + ahead_ms + 1
     a = anchors.withColumn("_b", F.explode(F.sequence(F.floor((F.col("ms") - back_ms) / width), F.floor((F.col("ms") + ahead_ms) / width))))
     t = turns.select(F.col("id"), F.col("project").alias("_p"), F.col("ms").alias("_ms"), F.floor(F.col("ms") / width).alias("_b"))
-    met = a.join(t, "_b").filter((F.col("project") == F.col("_p")) & F.col("_ms").between(F.col("ms") - back_ms, F.col("ms") + ahead_ms))
+    met = a.join(t, (a["_b"] == t["_b"]) & (F.col("project") == F.col("_p"))).filter(F.col("_ms").between(F.col("ms") - back_ms, F.col("ms") + ahead_ms))
     if most is not None:
         w = Window.partitionBy("anchor").orderBy(F.desc("_ms"), F.desc("id"))
         met = met.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most)
@@ -75,14 +77,20 @@ OVERTURNS = {"rejected": ["approved", "proposed", "completed"], "approved": ["re
 def nominate(statements: DataFrame, least: float = 0.3, per_newer: int = 3) -> DataFrame:
     """(old_id, new_id, score): older statements that a newer one may replace, by shared title words, at most `per_newer` each.
 
-    Pairs are formed through the words they share, never as a product: a pair below the least overlap
-    shares too few of them, a pair without a common word has none to share.
+    Pairs are formed through rare words, never as a product: of the smaller word set all but the most frequent words are
+    looked up, as many as leave too few to reach the least overlap by themselves, so no pair is missed and a word that very
+    many titles have pairs next to none of them.
     """
     s = statements.filter("kind = 'statement' and status = 'active'").select("id", "session_id", "ts", "who", "outcome", text.topic_tokens(F.col("title")).alias("w")).filter(F.size("w") > 0)
     old = s.select(*[F.col(c).alias("o_" + c) for c in s.columns])
-    words = s.select(F.explode("w").alias("word"), "id")
-    pairs = words.withColumnRenamed("id", "new_id").join(words.withColumnRenamed("id", "old_id"), "word").filter("new_id <> old_id").groupBy("new_id", "old_id").agg(F.count("*").alias("shared"))
-    met = pairs.join(s, F.col("new_id") == F.col("id")).join(old, F.col("old_id") == F.col("o_id"))
+    words = s.select(F.explode("w").alias("word"), "id", F.size("w").alias("size"))
+    often = words.groupBy("word").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "word"))  # a title has few words
+    rare = words.join(often, "word").withColumn("place", place).filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1)
+    small, large = rare.select("word", F.col("id").alias("a"), F.col("size").alias("na")), words.select("word", F.col("id").alias("b"), F.col("size").alias("nb"))
+    both = small.join(large, "word").filter("a <> b and na <= nb").select("a", "b").distinct()
+    pairs = both.select(F.col("a").alias("new_id"), F.col("b").alias("old_id")).unionByName(both.select(F.col("b").alias("new_id"), F.col("a").alias("old_id"))).distinct()
+    met = pairs.join(s, F.col("new_id") == F.col("id")).join(old, F.col("old_id") == F.col("o_id")).withColumn("shared", F.size(F.array_intersect("w", "o_w")))
     allowed = F.lit(False)
     for new, olds in OVERTURNS.items():
         allowed = allowed | ((F.col("outcome") == new) & F.col("o_outcome").isin(olds))
@@ -116,34 +124,59 @@ def covered_sessions(docs: DataFrame) -> DataFrame:
 
 
 def twins(items: DataFrame, docs: DataFrame) -> DataFrame:
-    """Items (session_id, outcome, turn, quote) of which no active or struck statement says the same already."""
-    known = docs.filter("kind = 'statement' and status in ('active', 'struck')").select("session_id", "outcome", last_evidence().alias("turn"), text.collapse(F.col("quote")).alias("_q")).filter("_q <> ''")
-    return items.withColumn("_q", text.collapse(F.col("quote"))).join(known, ["session_id", "outcome", "turn", "_q"], "left_anti").drop("_q")
+    """Items (session_id, outcome, turn, quote) of which no active or struck statement says the same already, white space and composition aside."""
+    known = docs.filter("kind = 'statement' and status in ('active', 'struck')").select("session_id", "outcome", last_evidence().alias("turn"), text.quote_key(F.col("quote")).alias("_q")).filter("_q <> ''")
+    return items.withColumn("_q", text.quote_key(F.col("quote"))).join(known, ["session_id", "outcome", "turn", "_q"], "left_anti").drop("_q")
 
 
-def packed_chunks(docs: DataFrame, most: int) -> DataFrame:
-    """(session_id, chunk, first_id, last_id, turns, size): spoken turns packed in order, a new chunk when the next won't fit.
+def packed_turns(docs: DataFrame, most: int) -> DataFrame:
+    """(session_id, chunk, k, id, n): spoken turns packed in order, a new chunk when the next won't fit.
 
-    The sum starts anew with each chunk, so it is a fold over a session's (id, size) pairs, in the JVM.
+    The sum starts anew with each chunk, so it is a walk over a session's (ts, id, size) rows, 8 bytes a turn at a time.
     """
     turns = docs.filter(filters.spoken() & F.col("session_id").isNotNull()).select("session_id", "ts", "id", (F.length("body") + 24).alias("n"))
-    rows = turns.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("ts", "id", "n"))).alias("t"))
-    zero = F.struct(F.lit(0).cast("bigint").alias("size"), F.lit(0).alias("chunk"), F.array().cast("array<struct<chunk:int,id:bigint,n:int>>").alias("out"))
-
-    def step(s, x):
-        new = (s["size"] > 0) & (s["size"] + x["n"] > most)
-        chunk = s["chunk"] + F.when(new, 1).otherwise(0)
-        return F.struct(
-            (F.when(new, 0).otherwise(s["size"]) + x["n"]).cast("bigint").alias("size"), chunk.alias("chunk"),
-            F.concat(s["out"], F.array(F.struct(chunk.alias("chunk"), x["id"].alias("id"), x["n"].alias("n")))).alias("out"),
-        )
-
-    cut = rows.select("session_id", F.posexplode(F.aggregate("t", zero, step, lambda s: s["out"])).alias("k", "c"))
-    return cut.groupBy("session_id", F.col("c.chunk").cast("bigint").alias("chunk")).agg(
-        F.min_by("c.id", "k").alias("first_id"), F.max_by("c.id", "k").alias("last_id"), F.count("*").alias("turns"), F.sum("c.n").alias("size")
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ts", "id"], na_position="first", kind="stable")
+        chunk, size, chunks = 0, 0, np.empty(len(pdf), np.int64)
+        for i, n in enumerate(pdf["n"].to_numpy()):
+            if size and size + n > most:
+                chunk, size = chunk + 1, 0
+            size += n
+            chunks[i] = chunk
+        return pd.DataFrame({"session_id": pdf["session_id"].to_numpy(), "chunk": chunks, "k": np.arange(len(pdf)), "id": pdf["id"].to_numpy(), "n": pdf["n"].to_numpy()})
+
+    return turns.groupBy("session_id").applyInPandas(walk, "session_id string, chunk bigint, k bigint, id bigint, n bigint")
+
+
+def packed_chunks(docs: DataFrame, most: int) -> DataFrame:
+    """(session_id, chunk, first_id, last_id, turns, size) of `packed_turns`."""
+    return packed_turns(docs, most).groupBy("session_id", "chunk").agg(
+        F.min_by("id", "k").alias("first_id"), F.max_by("id", "k").alias("last_id"), F.count("*").alias("turns"), F.sum("n").alias("size")
     )
 
 
+def presented(docs: DataFrame) -> DataFrame:
+    """Statements as they are shown: id, speaker, reported_only, evidence, replacement, quote_kind, authority.
+
+    evidence counts the rows of the own project it rests on; replacement is the own project's row it points to.
+    """
+    st = docs.filter("kind = 'statement'").select("id", "project", "kind", "role", "source_client", "who", "outcome", "origin", "path", "superseded_by")
+    ev = evidence(docs).groupBy("statement_id").agg(F.count("*").alias("_n"))
+    rep = docs.select(F.col("id").alias("replacement"), F.col("project").alias("_p"))
+    out = st.join(ev, st["id"] == F.col("statement_id"), "left").join(rep, (F.col("superseded_by") == F.col("replacement")) & (st["project"] == F.col("_p")), "left")
+    n = F.coalesce("_n", F.lit(0))
+    origin, client = F.coalesce("origin", F.lit("")), F.coalesce("source_client", F.lit(""))
+    note = (origin == "file") | ((origin == "") & (client == "") & F.coalesce(F.lower("path").endswith(".md"), F.lit(False)) & (n == 0))
+    recorded = F.when(F.coalesce(F.col("path").startswith("decide:"), F.lit(False)), "recorded in session").otherwise("extracted later")
+    rests = F.when(n > 0, "interpretation of linked conversation").otherwise("no linked conversation evidence available")
+    return out.select(
+        "id", filters.speaker().alias("speaker"), (~F.col("who").eqNullSafe(F.lit("owner")) & F.col("outcome").eqNullSafe(F.lit("completed"))).alias("reported_only"), n.alias("evidence"), "replacement",
+        F.when(note, "memory-note-excerpt").otherwise("recorded-conversation-quote").alias("quote_kind"),
+        F.when(note, "imported memory-note summary; excerpt is not a verified owner quotation; no linked conversation evidence").otherwise(F.concat(recorded, F.lit("; "), rests)).alias("authority"),
+    )
+
+
 def interleave(lanes: list[DataFrame], limit: int) -> DataFrame:
     """(id, lane, place): lanes (id, place from 0) taken in turn; a row's first appearance counts."""
     out = None

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import vectors as V
 from tidemark.operators import filters
+from tidemark.session import materialise
 
 RRF_K = 5
 CHUNK = "array<struct<ordinal:bigint,start_offset:bigint,end_offset:bigint,text:string>>"
@@ -50,6 +51,15 @@ def placed(df: DataFrame, *order) -> DataFrame:
     return df.withColumn("place", F.row_number().over(Window.orderBy(*order)) - 1)
 
 
+def placed_all(df: DataFrame, *order) -> DataFrame:
+    """As `placed`, for any number of rows: ranges of the order are numbered apart, then moved on by what the ranges before hold. order must not leave ties."""
+    ranged = materialise(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranked")
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # one row a range
+    size = ranged.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.join(F.broadcast(size), "_part").withColumn("place", within - 1 + F.col("_before")).drop("_part", "_before")
+
+
 def coverage(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """(project, eligible, indexed, complete, missing): how much of the eligible rows the index holds."""
     have = chunks.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("vec").isNotNull()).alias("good"))

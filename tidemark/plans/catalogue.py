@@ -110,18 +110,16 @@ def record_text(s, d):
 
 
 @query(
-    f"""select s.id, {SPEAKER} as speaker, coalesce(s.origin, '') in ('reference', 'summary') as reported_only, count(e.id) as evidence, max(r.id) as replacement
-from (select *, unnest(case when len(coalesce(try_cast(json(evidence_ids) as bigint[]), [])) = 0 then [null] else cast(json(evidence_ids) as bigint[]) end) as ev from docs where kind = 'statement') s
-left join docs e on e.id = s.ev and e.project = s.project left join docs r on r.id = s.superseded_by and r.project = s.project
-group by s.id, 2, 3""".replace("case when kind", "case when s.kind").replace("and role", "and s.role").replace("when kind", "when s.kind").replace("then source_client else who", "then s.source_client else s.who")
+    f"""with st as (select id, project, {SPEAKER} as speaker, who, outcome, origin, source_client, path, superseded_by, unnest(case when len(coalesce(try_cast(json(evidence_ids) as bigint[]), [])) = 0 then [null] else list_distinct(cast(json(evidence_ids) as bigint[])) end) as ev from docs where kind = 'statement'),
+j as (select st.id, st.speaker, st.who, st.outcome, st.origin, st.source_client, st.path, count(e.id) as evidence, max(r.id) as replacement
+from st left join docs e on e.id = st.ev and e.project = st.project left join docs r on r.id = st.superseded_by and r.project = st.project group by all),
+n as (select *, coalesce(origin = 'file', false) or (coalesce(origin, '') = '' and coalesce(source_client, '') = '' and coalesce(lower(path) like '%.md', false) and evidence = 0) as note from j)
+select id, speaker, who is distinct from 'owner' and outcome is not distinct from 'completed' as reported_only, evidence, replacement, case when note then 'memory-note-excerpt' else 'recorded-conversation-quote' end as quote_kind,
+case when note then 'imported memory-note summary; excerpt is not a verified owner quotation; no linked conversation evidence' else (case when coalesce(starts_with(path, 'decide:'), false) then 'recorded in session' else 'extracted later' end)
+|| '; ' || (case when evidence > 0 then 'interpretation of linked conversation' else 'no linked conversation evidence available' end) end as authority from n"""
 )
 def decorate(s, d):
-    docs = read(s, d, "docs")
-    st = docs.filter("kind = 'statement'")
-    ev = relations.evidence(docs, st).groupBy("statement_id").agg(F.count("*").alias("evidence"))
-    rep = docs.select(F.col("id").alias("replacement"), F.col("project").alias("_p"))
-    out = st.join(ev, st["id"] == F.col("statement_id"), "left").join(rep, (F.col("superseded_by") == F.col("replacement")) & (F.col("project") == F.col("_p")), "left")
-    return out.select("id", filters.speaker().alias("speaker"), F.coalesce("origin", F.lit("")).isin("reference", "summary").alias("reported_only"), F.coalesce("evidence", F.lit(0)).alias("evidence"), "replacement")
+    return relations.presented(read(s, d, "docs"))
 
 
 @query(
@@ -189,14 +187,19 @@ def corpus_revision(s, d):
 
 @query(
     f"""with last as (select session_id from docs where kind = 'turn' and {LIVE} and session_id is not null group by 1 order by max(ts) desc, 1 limit 3),
-r as (select id, ts, who, outcome, title, ({MS}) as ms from docs where kind = 'statement' and {LIVE} and coalesce(outcome, '') <> 'standing' and session_id in (from last)
- union all select id, ts, 'handoff', 'note', title, ({MS}) from docs where kind = 'handoff' and {LIVE}),
+f as (select min(json_extract_string(files_json, '$[0]')) as f from docs where json_array_length(files_json) > 0),
+m as (select docs.*, coalesce(len(list_filter(from_json(coalesce(files_json, '[]'), '["varchar"]'), lambda x: ends_with(replace(x, chr(92), '/'), replace(f.f, chr(92), '/')))) > 0, false)
+ or coalesce(length(regexp_extract(replace(f.f, chr(92), '/'), '[^/]*$')) > 5 and contains(concat_ws(' ', title, body), regexp_extract(replace(f.f, chr(92), '/'), '[^/]*$')), false) as touched from docs, f),
+r as (select id, ts, who, outcome, title, ({MS}) as ms, touched from m where kind = 'statement' and {LIVE} and coalesce(outcome, '') <> 'standing' and session_id in (from last)
+ union all select id, ts, 'handoff', 'note', title, ({MS}), touched from m where kind = 'handoff' and {LIVE}),
 o as (select min({MS}) as t0 from docs where kind = 'turn' and {LIVE} and session_id in (from last))
-select id, ts, who, outcome, title, round(case outcome when 'open' then 2 when 'rejected' then 1 else 0 end + coalesce(greatest(0.0, (coalesce(ms, t0) - coalesce(t0, ms)) / 86400000.0), 0), 6) as score
+select id, ts, who, outcome, title, round(case when touched then 3 else 0 end + case outcome when 'open' then 2 when 'rejected' then 1 else 0 end + coalesce(greatest(0.0, (coalesce(ms, t0) - coalesce(t0, ms)) / 86400000.0), 0), 6) as score
 from r, o order by score desc, coalesce(outcome = 'open', false) desc, id limit 20"""
 )
 def brief_scoring(s, d):
-    return inventory.brief(read(s, d, "docs"))
+    docs = read(s, d, "docs")
+    file = docs.agg(F.min(F.get_json_object("files_json", "$[0]"))).first()[0]
+    return inventory.brief(docs, files=[file] if file else [])
 
 
 # Full text
@@ -326,14 +329,14 @@ def anti_missing_vectors(s, d):
 
 
 def _lanes(s, d):
-    words = fulltext.bm25(read(s, d, "docs"), fulltext.parse("ledger", "any")).select("id", "rank").orderBy("rank", "id").limit(40)
-    sims = semantic.best_chunk(read(s, d, "chunks"), _query_vector(s, d)).select(F.col("doc_id").alias("id"), "sim").orderBy(F.desc("sim"), "id").limit(40)
-    return {"words": semantic.placed(words, "rank", "id").select("id", "place"), "meaning": semantic.placed(sims, F.desc("sim"), "id").select("id", "place")}
+    words = fulltext.bm25(read(s, d, "docs"), fulltext.parse("ledger", "any")).select("id", "rank")
+    sims = semantic.best_chunk(read(s, d, "chunks"), _query_vector(s, d)).select(F.col("doc_id").alias("id"), F.round("sim", 9).alias("sim"))
+    return {"words": semantic.placed_all(words, "rank", "id").select("id", "place"), "meaning": semantic.placed_all(sims, F.desc("sim"), "id").select("id", "place")}
 
 
 @query(
-    f"""with k as ({_bm25_sql(["ledger"], "t0 + b0 > 0").replace("round(0 - ", "(0 - ").replace(", 6) as rank", ") as rank")} limit 40), a as (select id, row_number() over (order by rank, id) - 1 as place from k),
-v as (select doc_id as id, max({_CSIM}) as sim from chunks group by 1 having max({_CSIM}) is not null order by 2 desc, 1 limit 40), b as (select id, row_number() over (order by sim desc, id) - 1 as place from v)
+    f"""with k as ({_bm25_sql(["ledger"], "t0 + b0 > 0").replace("round(0 - ", "(0 - ").replace(", 6) as rank", ") as rank")}), a as (select id, row_number() over (order by rank, id) - 1 as place from k),
+v as (select doc_id as id, round(max({_CSIM}), 9) as sim from chunks group by 1 having max({_CSIM}) is not null), b as (select id, row_number() over (order by sim desc, id) - 1 as place from v)
 select id, round(sum(1.0 / (5 + place)), 6) as score, string_agg(lane, ',' order by lane) as lanes from (select *, 'words' as lane from a union all select *, 'meaning' from b) group by 1"""
 )
 def rrf_fusion(s, d):
@@ -437,9 +440,9 @@ def nominate_theta_topk(s, d):
 
 
 @query(
-    f"""with i as (select id, session_id, outcome, {LAST_EVIDENCE} as turn, lower(trim(regexp_replace(quote, '\\s+', ' ', 'g'))) as q from docs where kind = 'statement' and status not in ('active', 'struck') and quote is not null)
+    f"""with i as (select id, session_id, outcome, {LAST_EVIDENCE} as turn, trim(regexp_replace(nfc_normalize(quote), '\\s+', ' ', 'g')) as q from docs where kind = 'statement' and status not in ('active', 'struck') and quote is not null)
 select id from i where not exists (select 1 from docs k where k.kind = 'statement' and k.status in ('active', 'struck') and k.session_id = i.session_id and k.outcome = i.outcome
-and list_max(cast(json(k.evidence_ids) as bigint[])) = i.turn and lower(trim(regexp_replace(k.quote, '\\s+', ' ', 'g'))) = i.q and i.q <> '')"""
+and list_max(cast(json(k.evidence_ids) as bigint[])) = i.turn and trim(regexp_replace(nfc_normalize(k.quote), '\\s+', ' ', 'g')) = i.q and i.q <> '')"""
 )
 def twin_anti_join(s, d):
     docs = read(s, d, "docs")
@@ -521,11 +524,11 @@ def upsert_latest(s, d):
     return lifecycle.latest(read(s, d, "source_files").select("path", "listed_at", "size"), ["path"], [F.col("listed_at"), F.col("size")]).select("path", F.unix_millis("listed_at").alias("listed_ms"), "size")
 
 
-_QKEY = "lower(trim(regexp_replace(nfc_normalize(coalesce(quote, '')), '\\s+', ' ', 'g')))"
+_QKEY = "trim(regexp_replace(nfc_normalize(coalesce(quote, '')), '\\s+', ' ', 'g'))"
 
 
 @query(
-    f"""with r as (select id, max(id) over (partition by session_id, {LAST_EVIDENCE}, outcome, {_QKEY}) as keep from docs where kind = 'statement' and status = 'active' and {_QKEY} <> '' and {LAST_EVIDENCE} is not null)
+    f"""with r as (select id, max(id) over (partition by session_id, {LAST_EVIDENCE}, outcome, {_QKEY}) as keep from docs where kind = 'statement' and status = 'active' and session_id is not null and {_QKEY} <> '' and {LAST_EVIDENCE} is not null)
 select d.id, case when r.keep <> d.id then 'superseded' else d.status end as status, case when r.keep <> d.id then r.keep else d.superseded_by end as superseded_by from docs d left join r on r.id = d.id where d.kind = 'statement'"""
 )
 def dedupe_statements(s, d):
@@ -547,20 +550,38 @@ def supersede_by_evidence(s, d):
     return lifecycle.supersede_by_evidence(docs, row[0] if row else "", 1, 2000).filter("kind = 'statement'").select("id", "status")
 
 
-@query("select superseded_by as new_id, min(id) as first_old, count(*) as n from docs where superseded_by is not null group by 1")
+_REPLACED = "select id as old_id, unnest([lead(id, 1) over w, lead(id, 2) over w]) as new_id from docs where kind = 'statement' window w as (partition by project order by id)"
+
+
+@query(f"with v as ({_REPLACED}), f as (select v.old_id, arg_min(n.id, (coalesce(n.ts, ''), n.id)) as t from v join docs n on n.id = v.new_id group by 1) select d.id, coalesce(f.t, d.superseded_by) as superseded_by from docs d left join f on f.old_id = d.id where d.kind = 'statement'")
 def first_replacement(s, d):
-    return read(s, d, "docs").filter("superseded_by is not null").groupBy(F.col("superseded_by").alias("new_id")).agg(F.min("id").alias("first_old"), F.count("*").alias("n"))
+    docs = read(s, d, "docs")
+    w = Window.partitionBy("project").orderBy("id")
+    verdicts = docs.filter("kind = 'statement'").select(F.col("id").alias("old_id"), F.array(F.lead("id", 1).over(w), F.lead("id", 2).over(w)).alias("later")).select("old_id", F.explode("later").alias("new_id")).filter("new_id is not null")
+    return lifecycle.point_replaced(docs, verdicts).filter("kind = 'statement'").select("id", "superseded_by")
 
 
 # Text functions
 
 
-@query(
-    r"""select id, regexp_replace(regexp_replace(body, '\bBearer\s+[A-Za-z0-9._~+/=-]{16,}', 'Bearer [scrubbed]', 'g'),
-'(?i)\b(token|key|secret|password)\b([^\n]{0,40}?)([A-Fa-f0-9]{32,}|[A-Za-z0-9+/=]{32,})', '\1\2[scrubbed]', 'g') as body from docs where regexp_matches(body, '(?i)token|key|secret|password|bearer')"""
-)
+def _scrub_sql(column: str) -> str:
+    """All seven patterns; where look-arounds stand for word borders in the expression, the SQL's own borders are those of ASCII."""
+    for pattern, to in text.SECRETS:
+        flags = "g"
+        for name in "im":
+            if pattern.startswith(f"(?{name})"):
+                pattern = pattern[4:]
+                flags += "i" if name == "i" else "m"
+        pattern = pattern.replace("(?<![A-Za-z0-9_])", r"\b").replace("(?![A-Za-z0-9_])", r"\b")
+        if "m" in flags:
+            pattern, flags = "(?m)" + pattern, "g"
+        column = f"regexp_replace({column}, '{pattern}', '{to.replace('$', chr(92))}', '{flags}')"
+    return column
+
+
+@query(f"select id, {_scrub_sql('body')} as body, {_scrub_sql('title')} as title, {_scrub_sql('quote')} as quote from docs")
 def scrub_secrets(s, d):
-    return read(s, d, "docs").filter(F.col("body").rlike("(?i)token|key|secret|password|bearer")).select("id", text.scrub(F.col("body")).alias("body"))
+    return read(s, d, "docs").select("id", *[text.scrub(F.col(c)).alias(c) for c in ("body", "title", "quote")])
 
 
 @query(f"select id, len({_TOPIC}) as words, round(case when len({_TOPIC}) > 0 then len(list_intersect({_TOPIC}, ['ledger', 'cache', 'schema'])) / least(len({_TOPIC}), 3) else 0 end, 6) as share from docs")
@@ -580,13 +601,13 @@ def phrase_match(s, d):
 
 
 @query(
-    r"""select id, case when regexp_matches(lower(body), '\b(continue|resume|pick up|where (we|i) left off)\b') then 'continue' when regexp_matches(lower(body), '\b(what do you remember about|catch me up|overview)\b') then 'overview'
+    r"""select id, case when regexp_matches(regexp_replace(regexp_replace(body, '^\s+|\s+$', '', 'g'), '[?!.]+$|\s+[?!.]+$', ''), '""" + text.RULES + r"""') then 'instruction' when regexp_matches(lower(body), '\b(continue|resume|pick up|where (we|i) left off)\b') then 'continue' when regexp_matches(lower(body), '\b(what do you remember about|catch me up|overview)\b') then 'overview'
 when regexp_matches(lower(body), '\bwhy (did|do|was|were)\b') then 'rationale' when regexp_matches(lower(body), '\b(decide|decided|decision|agreed|choose|chose)\b') then 'decision'
 when regexp_matches(lower(body), '\b(told you|my rules|standing orders|preference|always|never)\b') then 'instruction' when regexp_matches(lower(body), '\b(similar|before|remember|discussed)\b') then 'related-history' else 'recollection' end as intent
-from docs where kind = 'turn' and length(body) between 1 and 400"""
+from docs where body is not null"""
 )
 def intent_classify(s, d):
-    return read(s, d, "docs").filter("kind = 'turn' and length(body) between 1 and 400").select("id", text.intent(F.col("body")).alias("intent"))
+    return read(s, d, "docs").filter("body is not null").select("id", text.intent(F.col("body")).alias("intent"))
 
 
 @query(f"select id, strftime(timezone('America/New_York', make_timestamp(({MS}) * 1000)::timestamptz), '%Y-%m-%d') as day from docs where ({MS}) is not null")
@@ -621,10 +642,10 @@ def transcript_left_out(s, d):
     return transcripts.left_out(read(s, d, "codex_rollout"))
 
 
-@query(r"select doc_id, len(list_filter(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), lambda l: regexp_matches(l, '^#{2,3} +[^ ]'))) as headings from documents where contains(text, '## ')")
+@query(r"select doc_id, len(list_filter(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), lambda l: regexp_matches(l, '^#{2,3} +[^ ]'))) as headings from documents where text is not null")
 def section_headings(s, d):
     lines = F.split(F.regexp_replace("text", "\r\n", "\n"), "\n")
-    return read(s, d, "documents").filter(F.col("text").contains("## ")).select("doc_id", F.size(F.filter(lines, lambda x: x.rlike(r"^#{2,3} +[^ ]"))).cast("bigint").alias("headings"))
+    return read(s, d, "documents").filter("text is not null").select("doc_id", F.size(F.filter(lines, lambda x: x.rlike(r"^#{2,3} +[^ ]"))).cast("bigint").alias("headings"))
 
 
 @query()
@@ -709,9 +730,9 @@ def link_pending(s, d):
     from tidemark.operators import decisions
 
     docs = read(s, d, "docs").withColumn("ms", dates.event_ms(F.col("ts")))
-    pending = docs.filter("kind = 'statement' and status in ('pending', 'unverified') and ms is not null").select("id", "project", "ms", "quote")
-    turns = docs.filter(filters.spoken() & (F.col("role") == "user") & F.col("ms").isNotNull()).select("id", "project", "ms", "body")
-    return decisions.link_pending(pending, turns)
+    pending = docs.filter("kind = 'statement' and status in ('pending', 'unverified') and ms is not null").select("id", "project", "ms", "quote", "status", F.col("source_client").alias("client"))
+    turns = docs.filter(filters.spoken() & (F.col("role") == "user") & F.col("ms").isNotNull()).select("id", "project", "ms", "body", "session_id", F.col("source_client").alias("client"))
+    return decisions.link_pending(pending, turns, docs.filter(filters.spoken()).select("id", "session_id", "ts", "role", "body"))
 
 
 # Orchestration

@@ -66,7 +66,7 @@ def matches(store: Store, query: str, mode: str, scope: Scope) -> DataFrame:
     near = near.join(docs.filter(filters.indexable()).select("id"), "id", "left_semi")
     if mode in ("all", "phrase", "advanced"):  # exact modes: meaning only orders what the words found
         near = near.join(words.select("id"), "id", "left_semi")
-    lanes = {"words": semantic.placed(words, "rank", "id").select("id", "place"), "meaning": semantic.placed(near, F.desc("sim"), "id").select("id", "place")}
+    lanes = {"words": semantic.placed_all(words, "rank", "id").select("id", "place"), "meaning": semantic.placed_all(near, F.desc("sim"), "id").select("id", "place")}
     return semantic.fuse(lanes).join(words.select("id", "rank"), "id", "left").join(keep, "id").select("id", "ms", "score", F.coalesce("rank", F.lit(0.0)).alias("rank"), "lanes")
 
 
@@ -159,7 +159,7 @@ def request_intent(request: str) -> str:
 
 
 # The lead-ins of a request that are no part of its topic.
-_LEAD = r"(?i)^(?:please\s+)?(?:do you remember(?: when we discussed)?|what do you remember about|what did we (?:decide|agree)(?: about| on)?|why did we|what have i told you about|continue what we were doing|resume(?: work on)?)\s*"
+_LEAD = r"(?i)^(?:please\s+)?(?:do you remember(?: when we discussed)?|what do you remember about|what did we (?:decide|agree)(?: about| on)?|why did we|what have i told you about|we discussed something similar before(?: about)?|continue what we were doing|resume(?: work on)?|catch me up(?: on)?)\b\s*"
 
 
 def request_topic(request: str) -> str:

@@ -33,15 +33,30 @@ def build(app: str = "tidemark", cpus: str | int = "*", **conf: str) -> SparkSes
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A fresh folder name under spark.checkpoint.dir, which every executor can reach.
 
-    Only where that setting is absent (tests, a single machine) a temporary folder is set for it.
+    Only where that setting is absent on a single machine (tests) a temporary folder is set for it; a cluster without it is refused.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") and not os.environ.get("TIDEMARK_SHARED"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = os.environ.get("TIDEMARK_SHARED") or tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
 
 
+#: Tables that `materialise` wrote in this process.
+_MADE: list[str] = []
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this process; to be called when no result that reads them is needed any more. Returns their number."""
+    n = len(_MADE)
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def ship(spark: SparkSession) -> None:
     """Make the package importable in every Python worker, wherever the driver was started; once per session."""
     done = "tidemark.shipped"
@@ -64,6 +79,7 @@ def materialise(df: DataFrame, what: str, partition_by: list[str] | None = None)
     spark = df.sparkSession
     ship(spark)
     path = shared_dir(spark, what)
+    _MADE.append(path)
     w = df.write
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

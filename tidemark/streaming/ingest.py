@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.lifecycle import first_of_each
 from tidemark.session import shared_dir
 
 
@@ -49,7 +50,9 @@ def ingest(lines: DataFrame, adapter: Callable[[DataFrame], DataFrame], table: s
     spark = lines.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = adapter(batch).dropDuplicates(["sha"])
+        rows = adapter(batch)
+        # Of equal shas always the same row stays, so a batch that is run again writes what it wrote before.
+        rows = first_of_each(rows, "sha", [c for c in ("path", "src_offset", "line_no", *sorted(rows.columns)) if c in rows.columns])
         done = earlier(spark, table, number)
         if done is not None:
             rows = rows.join(done.select("sha"), "sha", "left_anti")
