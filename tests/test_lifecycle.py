@@ -45,7 +45,7 @@ def test_merge_note(make):
 
 def test_dedupe_statements(make):
     s = {"kind": "statement", "session_id": "s", "outcome": "approved", "evidence_ids": "[3, 9]"}
-    d = make(s | {"id": 1, "quote": "Do  it"}, s | {"id": 2, "quote": "do it"}, s | {"id": 3, "quote": "do it", "outcome": "rejected"}, s | {"id": 4, "quote": ""}, s | {"id": 5, "quote": " "}, s | {"id": 6, "quote": "do it", "evidence_ids": None})
+    d = make(s | {"id": 1, "quote": "do  it"}, s | {"id": 2, "quote": "do it"}, s | {"id": 3, "quote": "do it", "outcome": "rejected"}, s | {"id": 4, "quote": ""}, s | {"id": 5, "quote": " "}, s | {"id": 6, "quote": "do it", "evidence_ids": None})
     out = lifecycle.dedupe_statements(d)
     assert {k: v["superseded_by"] for k, v in by_id(out).items()} == {1: 2, 2: None, 3: None, 4: None, 5: None, 6: None}
     assert by_id(lifecycle.dedupe_statements(out)) == by_id(out)
@@ -135,3 +135,53 @@ def test_small_relations(spark, make):
     assert shown.startswith("x\nUNVERIFIED")
     s = make({"id": 1, "body": "a " * 100 + "needle " + "b " * 200}).select(filters.snippet(F.col("body"), ["NEEDLE"]).alias("s")).first()["s"]
     assert s.startswith("…") and "needle" in s and s.endswith("…") and len(s) == 202
+
+
+def test_pending_decisions_are_linked_by_words_context_and_session(spark):
+    from tidemark.operators import decisions
+
+    at, minute = 1_780_000_000_000, 60_000
+    p = [
+        (1, "p", at, "go", "codex", None, None, None), (2, "p", at, "make the   Header blue", "codex", None, None, None), (3, "p", at, "keep seven rows of the old ledger", "codex", None, None, None),
+        (4, "p", at, "yes do it", "codex", None, None, None), (5, "p", at, "yes do it", "codex", None, "blue door", None), (6, "p", at, "yes do it", "codex", "s2", None, None),
+        (7, "p", at, "never said", "codex", None, None, None), (8, "p", at, "never said", "claude", None, None, None), (9, "p", at, "", "codex", None, None, None),
+    ]
+    pending = spark.createDataFrame(p, "id int, project string, ms bigint, quote string, client string, session_id string, context string, status string")
+    t = [
+        (10, "s1", 1, "assistant", "shall I paint the blue door?"), (11, "s1", 2, "user", "Google said so. Go!"), (12, "s1", 3, "user", "Please make the header\nBLUE today"), (13, "s1", 4, "user", "keep at least seven of the rows of the old big ledger"),
+        (14, "s1", 5, "user", "Yes, do it: yes do it"), (20, "s2", 1, "assistant", "and the red one?"), (21, "s2", 2, "user", "yes do it"), (22, "s2", 900, "user", "later"),
+    ]
+    spoken = spark.createDataFrame([(i, s, f"{k:06d}", r, b, "p", at + (k - 60) * minute, "codex") for i, s, k, r, b in t], "id int, session_id string, ts string, role string, body string, project string, ms bigint, client string")
+    got = {r["id"]: (r["turn_id"], r["context_id"], r["state"]) for r in decisions.link_pending(pending, spoken.filter("role = 'user'"), spoken).collect()}
+    assert got[1] == (11, 10, "linked") and got[2] == (12, 10, "linked")
+    assert got[4] == (None, None, "ambiguous") and got[5] == (14, 10, "linked") and got[6] == (21, 20, "linked")
+    assert got[7] == (None, None, "unverified") and got[8] == (None, None, "waiting") and got[9][0] is None
+    assert decisions.link_pending(pending.limit(0), spoken, spoken).count() == 0
+
+
+def test_questions_rules_and_topics(spark):
+    from tidemark.operators import decisions
+    from tidemark.plans import search
+
+    rows = [("Should we  drop\nthe cache?", "drop the CACHE", True), ("Drop the cache. Ok?", "drop the cache", False), ("use config.toml here?", "use config", True), ("a (b) c?", "(b)", True), ("x", "", False), ("x?", "y", False)]
+    df = spark.createDataFrame(rows, "body string, quote string, want boolean")
+    assert all(r["got"] == r["want"] for r in df.withColumn("got", decisions.ends_as_question(F.col("body"), F.col("quote"))).collect())
+    topics = {"We discussed something similar before about the ledger?": "the ledger", "catch me up on parsers": "parsers", "resumed work": "resumed work", "Why did we keep it?": "keep it"}
+    assert {k: search.request_topic(k) for k in topics} == topics
+
+
+def test_dedupe_keeps_case_and_leaves_rows_without_a_session(spark):
+    rows = [(1, "s", "Keep it", "[5]"), (2, "s", "keep it", "[5]"), (3, "s", "Keep  it", "[5]"), (4, None, "Keep it", "[5]"), (5, None, "Keep it", "[5]"), (6, "s", "", "[5]"), (7, "s", "", "[5]")]
+    docs = spark.createDataFrame([(i, "statement", "active", s, "open", q, e, None) for i, s, q, e in rows], "id int, kind string, status string, session_id string, outcome string, quote string, evidence_ids string, superseded_by int")
+    got = {r["id"]: (r["status"], r["superseded_by"]) for r in lifecycle.dedupe_statements(docs).collect()}
+    assert got[1] == ("superseded", 3) and all(got[i] == ("active", None) for i in (2, 3, 4, 5, 6, 7))
+
+
+def test_rows_without_a_key_are_kept_and_places_of_many_ranges(spark):
+    from tidemark.operators import semantic
+
+    df = spark.createDataFrame([(3, "a"), (1, "a"), (2, None), (4, None)], "id int, sha string")
+    assert sorted(r["id"] for r in lifecycle.first_of_each(df, "sha").collect()) == [1, 2, 4]
+    many = spark.range(1000).withColumn("v", F.col("id") % 7)
+    got = semantic.placed_all(many, "v", "id").orderBy("place").collect()
+    assert [r["place"] for r in got] == list(range(1000)) and [(r["v"], r["id"]) for r in got] == sorted((r["v"], r["id"]) for r in got)

@@ -58,7 +58,7 @@ def _words_pattern(quote: Column) -> Column:
 
 def ends_as_question(body: Column, quote: Column) -> Column:
     """Whether the sentence that holds the quote ends with a question mark; white space and case of the quote don't matter."""
-    rest = F.regexp_extract(body, F.concat(F.lit("(?isu)"), _words_pattern(quote), F.lit("(.*)$")), F.lit(1))
+    rest = F.call_function("regexp_extract", body, F.concat(F.lit("(?isu)"), _words_pattern(quote), F.lit("(.*)$")), F.lit(1))
     end = F.regexp_extract(rest, r"(?s)^.*?([!?\n]|\.(?=\s|$))", 1)
     return (F.trim(quote) != "") & (F.substring(end, 1, 1) == "?")
 
