@@ -66,3 +66,20 @@ def test_substring_scan_goes_on(spark):
         seen += [r["id"] for r in fulltext.substring(d, "nee*le", after, 2).collect()]
         after += 2
     assert seen == [9]
+
+
+def test_an_index_gives_what_the_texts_give(spark, docs, tmp_path):
+    import io
+    from contextlib import redirect_stdout
+
+    index = fulltext.write_index(docs, str(tmp_path / "index"))
+    for q, mode, _ in QUERIES:
+        query = fulltext.parse(q, mode)
+        want = {r["id"]: round(r["rank"], 9) for r in fulltext.bm25(docs, query).collect()}
+        assert {r["id"]: round(r["rank"], 9) for r in fulltext.bm25_indexed(index, query).collect()} == want, q
+    out = io.StringIO()
+    with redirect_stdout(out):
+        fulltext.bm25_indexed(index, fulltext.parse("ledger parser", "all")).explain("formatted")
+    assert "PartitionFilters: [isnotnull(bucket" in out.getvalue() or "PartitionFilters: [bucket" in out.getvalue()
+    empty = fulltext.write_index(docs.limit(0), str(tmp_path / "empty"))
+    assert fulltext.bm25_indexed(empty, fulltext.parse("ledger", "any")).count() == 0

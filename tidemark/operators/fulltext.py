@@ -12,13 +12,15 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
 
 K1, B = 1.2, 0.75
 FLOOR = 1e-6
+#: Folders of the postings, by a hash of the term.
+BUCKETS = 64
 
 
 def with_tokens(docs: DataFrame) -> DataFrame:
@@ -240,15 +242,23 @@ class _Parser:
 
 def bm25(docs: DataFrame, query: Query, title_weight: float = 1.0) -> DataFrame:
     """docs that match, with rank: the lower, the better. Statistics cover all of docs, so filter the result, not the input."""
-    n_leaves = len(query.leaves)
-    hits = with_tokens(docs).withColumn("_len", F.size("_title") + F.size("_body"))
+    hits = _counted(with_tokens(docs).withColumn("_len", F.size("_title") + F.size("_body")), query).drop("_title", "_body")
+    stats = hits.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *_frequencies(query))  # one row
+    return _ranked(hits, query, stats, title_weight).select(*docs.columns, "rank")
+
+
+def _counted(rows: DataFrame, query: Query) -> DataFrame:
     for k, leaf in enumerate(query.leaves):
-        hits = hits.withColumns({f"_t{k}": leaf.hits("_title"), f"_b{k}": leaf.hits("_body")})
-    hits = hits.drop("_title", "_body")
-    stats = hits.agg(
-        F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_t{k}") + F.col(f"_b{k}") > 0).alias(f"_df{k}") for k in range(n_leaves)]
-    )  # one row
-    met = hits.filter(query.test([F.col(f"_t{k}") + F.col(f"_b{k}") > 0 for k in range(n_leaves)])).crossJoin(F.broadcast(stats))
+        rows = rows.withColumns({f"_t{k}": leaf.hits("_title"), f"_b{k}": leaf.hits("_body")})
+    return rows
+
+
+def _frequencies(query: Query) -> list[Column]:
+    return [F.count_if(F.col(f"_t{k}") + F.col(f"_b{k}") > 0).alias(f"_df{k}") for k in range(len(query.leaves))]
+
+
+def _ranked(hits: DataFrame, query: Query, stats: DataFrame, title_weight: float) -> DataFrame:
+    met = hits.filter(query.test([F.col(f"_t{k}") + F.col(f"_b{k}") > 0 for k in range(len(query.leaves))])).crossJoin(F.broadcast(stats))
     rank = F.lit(0.0)
     for k in query.scored:
         f = F.col(f"_t{k}") * title_weight + F.col(f"_b{k}")
@@ -256,7 +266,7 @@ def bm25(docs: DataFrame, query: Query, title_weight: float = 1.0) -> DataFrame:
         idf = F.log((F.col("_n") - df + 0.5) / (df + 0.5))
         idf = F.when(idf <= 0, FLOOR).otherwise(idf)
         rank = rank - F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))).otherwise(0.0)
-    return met.withColumn("rank", rank).select(*docs.columns, "rank")
+    return met.withColumn("rank", rank)
 
 
 def substring(docs: DataFrame, pattern: str, after_id: int | None = None, scan: int | None = None) -> DataFrame:
@@ -273,7 +283,7 @@ def postings(docs: DataFrame) -> DataFrame:
     t = with_tokens(docs).select("id", F.explode(F.array(F.struct(F.lit("title").alias("col"), F.col("_title").alias("w")), F.struct(F.lit("body").alias("col"), F.col("_body").alias("w")))).alias("c"))
     rows = t.select("id", F.col("c.col").alias("col"), F.posexplode("c.w").alias("place", "term"))
     out = rows.groupBy("term", "id", "col").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("place")).alias("places"))
-    return out.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(256)).cast("int"))
+    return out.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
 
 
 def update_postings(index: DataFrame, changed: DataFrame, gone: DataFrame) -> DataFrame:
@@ -286,3 +296,64 @@ def term_statistics(docs: DataFrame) -> DataFrame:
     """(term, df, cf) over titles and bodies; counted within each row first."""
     w = with_tokens(docs).select("id", F.explode(F.concat("_title", "_body")).alias("term"))
     return w.groupBy("term", "id").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("cf"))
+
+
+@dataclass
+class Index:
+    """A written index: postings by bucket of the term, the length of every row, and one row of statistics (n, avg)."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    statistics: DataFrame
+
+
+def write_index(docs: DataFrame, path: str) -> Index:
+    """Postings and statistics of all rows, once; searches read the buckets of their words from then on."""
+    docs = docs.withColumn("id", F.col("id").cast("bigint"))
+    rows = postings(docs)
+    rows.repartition("bucket").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    with_tokens(docs).select("id", (F.size("_title") + F.size("_body")).alias("len")).write.mode("overwrite").parquet(f"{path}/lengths")
+    spark = docs.sparkSession
+    spark.read.parquet(f"{path}/lengths").agg(F.count("*").alias("n"), F.avg("len").alias("avg")).coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
+    return read_index(spark, path)
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    held = {"postings": "term string, id bigint, col string, tf bigint, places array<int>, bucket int", "lengths": "id bigint, len int", "statistics": "n bigint, avg double"}
+    return Index(*(spark.read.schema(of).parquet(f"{path}/{x}") for x, of in held.items()))
+
+
+def bm25_indexed(index: Index, query: Query, title_weight: float = 1.0) -> DataFrame:
+    """(id, rank) as `bm25` gives them, from the postings of the query's own words alone.
+
+    Buckets of other terms are not read (a prefix has to look into all, at its own range of terms). A row's words are laid out
+    again at their places, with nothing between them, so that phrases and nearness are told as from the whole text.
+    """
+    whole, prefixes = set(), set()
+    for leaf in query.leaves:
+        for p in leaf.near or [leaf.words]:
+            whole |= set(p[:-1] if leaf.prefix else p)
+            prefixes |= set(p[-1:]) if leaf.prefix else set()
+    rows, spark = index.postings, index.postings.sparkSession
+    wanted = F.col("term").isin(sorted(whole)) if whole else F.lit(False)
+    for p in sorted(prefixes):
+        wanted = wanted | F.col("term").startswith(p)
+    if not prefixes and whole:
+        words = spark.createDataFrame([(w,) for w in sorted(whole)], "term string")
+        buckets = sorted({r[0] for r in words.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).collect()})  # as many as the query has words
+        rows = rows.filter(F.col("bucket").isin(buckets))
+    plain = all(len(x.words) == 1 and not x.first and not x.near for x in query.leaves)
+    held = rows.filter(wanted).groupBy("id").agg(F.collect_list(F.struct("col", "term", "tf", "places")).alias("h"))  # one entry per word of the query
+
+    def laid_out(name: str) -> Column:
+        mine = F.filter("h", lambda x: x["col"] == name)
+        if plain:  # only how often counts
+            return F.flatten(F.transform(mine, lambda x: F.array_repeat(x["term"], x["tf"].cast("int"))))
+        at = F.map_from_entries(F.flatten(F.transform(mine, lambda x: F.transform(x["places"], lambda p: F.struct(p, x["term"])))))
+        last = F.array_max(F.map_keys(at))
+        return F.when(last.isNotNull(), F.transform(F.sequence(F.lit(0), last), lambda i: F.coalesce(F.element_at(at, i), F.lit("")))).otherwise(F.array().cast("array<string>"))
+
+    hits = _counted(held.withColumns({"_title": laid_out("title"), "_body": laid_out("body")}), query).drop("h", "_title", "_body")
+    frequencies = hits.agg(*_frequencies(query))
+    stats = index.statistics.select(F.col("n").alias("_n"), F.col("avg").alias("_avg")).crossJoin(frequencies)  # one row and one row
+    return _ranked(hits.join(index.lengths.withColumnRenamed("len", "_len"), "id"), query, stats, title_weight).select("id", "rank")

@@ -11,7 +11,7 @@ from tidemark import schema
 from tidemark.functions import dates, text
 from tidemark.functions import vectors as V
 from tidemark.operators import filters, fulltext, inventory, lifecycle, relations, semantic
-from tidemark.session import read
+from tidemark.session import read, shared_dir
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -276,6 +276,13 @@ def substring_glob(s, d):
     return fulltext.substring(read(s, d, "docs"), "ledger*cold").select("id")
 
 
+@query(_bm25_sql(["ledger", "schema"], "t0 + b0 > 0 and t1 + b1 > 0"))
+def fts_indexed_bm25(s, d):
+    """From a written index: the buckets of two terms, lengths and statistics."""
+    index = fulltext.write_index(read(s, d, "docs"), shared_dir(s, "index"))
+    return _ranked(fulltext.bm25_indexed(index, fulltext.parse("ledger schema", "all"))).orderBy("rank", "id")
+
+
 @query(f"with t as (select id, unnest(list_concat({_T}, {_B})) as term from docs) select term, count(distinct id) as df, count(*)::bigint as cf from t group by 1")
 def token_df_stats(s, d):
     return fulltext.term_statistics(read(s, d, "docs"))

@@ -28,9 +28,13 @@ class Store:
     least: float = 0.62
     timezone: str = "UTC"
     now_ms: int | None = None
+    #: Postings of exactly these docs, where they are kept; without them each search reads the texts.
+    index: fulltext.Index | None = None
+    #: The revision stored with the snapshot; without it each page hashes all rows.
+    stored_revision: str | None = None
 
     def revision(self) -> str:
-        return inventory.revision(self.docs).first()[0]
+        return self.stored_revision or inventory.revision(self.docs).first()[0]
 
 
 def _pack(**x) -> str:
@@ -58,7 +62,8 @@ def matches(store: Store, query: str, mode: str, scope: Scope) -> DataFrame:
         return fulltext.substring(docs, query).select("id").join(keep, "id").select("id", "ms", F.lit(0.0).alias("score"), F.lit(0.0).alias("rank"), F.lit("words").alias("lanes"))
     if parsed is None:
         return keep.select("id", "ms", F.lit(0.0).alias("score"), F.lit(0.0).alias("rank"), F.lit("filter").alias("lanes"))
-    words = fulltext.bm25(docs, parsed).select("id", "rank").join(keep, "id")
+    ranked = fulltext.bm25_indexed(store.index, parsed) if store.index else fulltext.bm25(docs, parsed).select("id", "rank")
+    words = ranked.join(keep, "id")
     if store.encoder is None or store.chunks is None:
         return words.select("id", "ms", (-F.col("rank")).alias("score"), "rank", F.lit("words").alias("lanes"))
     vector = store.encoder([query])[0]
