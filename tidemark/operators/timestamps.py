@@ -234,6 +234,8 @@ def choose_zones(rows: DataFrame, zones: DataFrame, candidates: Sequence[str] |
     )
     # Rows of one file that say the same are one: a wall time with its bounds, and how often it comes.
     bounds = materialise(bounds.groupBy(*bounds.columns).agg(F.count("*").alias("_t_n")), "zoneless")
+    # Each becomes as many rows as there are histories, which no size of the table tells beforehand.
+    bounds = bounds.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_t_path", "_t_local")
     z = F.col("_t_try")
     names = F.array(*[F.lit(c) for c in candidates or histories()])
     tried = F.when(F.col("_t_zone").isNotNull(), F.array("_t_zone")).otherwise(names)
