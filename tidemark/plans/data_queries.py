@@ -18,10 +18,13 @@ def _stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Instants of records not yet in canonical form; those that rest on an estimated zone are left out."""
-    rows = _stamped(spark, sf_dir).filter(~F.col("ts").rlike(timestamps.CANONICAL))
-    out = timestamps.normalise(rows, "ts", "path", "place", read(spark, sf_dir, "sources"))
-    return out.filter("utc_ms is not null and zone_from <> 'estimate'").select("tab", "rec_id", "utc_ms").distinct()
+    """Instants of records not yet in canonical form; those that rest on an estimated zone are left out.
+
+    Canonical records leave after the zones are chosen: they are most of the known instants that a file's order rests on.
+    """
+    out = timestamps.normalise(_stamped(spark, sf_dir), "ts", "path", "place", read(spark, sf_dir, "sources"))
+    wanted = out.filter(~F.col("ts").rlike(timestamps.CANONICAL) & F.expr("utc_ms is not null and zone_from <> 'estimate'"))
+    return wanted.select("tab", "rec_id", "utc_ms").distinct()
 
 
 def p7_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
