@@ -61,6 +61,43 @@ def test_nominate(make):
     assert {(r["old_id"], r["new_id"]) for r in relations.nominate(d).collect()} == {(1, 2), (5, 6)}
 
 
+def test_nominate_in_blocks(spark, make, monkeypatch):
+    """Titles of one template: the result is that of all pairs, over several blocks, and what is shuffled grows with the statements, not with the pairs."""
+    import random
+
+    r = random.Random(5)
+    outcomes, whos, sessions = ["approved", "proposed", "completed", "rejected", "standing", "superseded", "open", None], ["owner", "owner", "codex", None], ["a", "b", "c", None]
+    rows = [
+        {"id": i, "kind": "statement", "who": r.choice(whos), "outcome": r.choice(outcomes), "session_id": r.choice(sessions), "ts": r.choice([None, *(f"{x:03}" for x in range(200))]),
+         "title": r.choice(["nothing explains why {} rows were {} twice", "please keep {} or {}"]).format(*(f"w{r.randrange(40)}x" for _ in range(2)))}
+        for i in range(1500)
+    ]
+    from tidemark.functions.text import OVERLAP_STOP
+
+    words = [{w for w in d["title"].split() if len(w) >= 3 and w not in OVERLAP_STOP} for d in rows]
+    want = set()
+    for n, nw in zip(rows, words):
+        met = []
+        for o, ow in zip(rows, words):
+            same = o["session_id"] == n["session_id"]
+            labelled = o["outcome"] == "superseded" and same
+            overturn = n["who"] == "owner" and o["outcome"] in relations.OVERTURNS.get(n["outcome"], ())
+            score = len(nw & ow) / min(len(nw), len(ow))
+            if n["outcome"] not in ("superseded", None) and None not in (o["ts"], n["ts"]) and o["ts"] < n["ts"] and (labelled or overturn) and score >= 0.3 and (labelled or n["outcome"] != "approved" or not same):
+                met.append((-score, o["id"]))
+        want |= {(o, n["id"], -s) for s, o in sorted(met)[:3]}
+    docs = make(*rows)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    written = lambda: sum(x.shuffleWriteRecords() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, none, spark._jvm.java.util.ArrayList())))
+    before = written()
+    assert {tuple(x) for x in relations.nominate(docs).collect()} == want
+    assert written() - before < 20 * len(rows)
+    for name in ("NEWER", "OLDER"):
+        monkeypatch.setattr(relations, name, 60, raising=False)
+    assert {tuple(x) for x in relations.nominate(docs).collect()} == want
+
+
 def test_snapshots_publish_whole_versions(spark, make, tmp_path):
     s = Snapshots(spark, str(tmp_path / "t"))
     assert s.read() is None and s.publish(make({"id": 1})) == 1

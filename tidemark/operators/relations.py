@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,35 +76,86 @@ def context_window(docs: DataFrame, anchor: int, before: int, after: int) -> Dat
 OVERTURNS = {"rejected": ["approved", "proposed", "completed"], "approved": ["rejected"], "standing": ["standing"]}
 
 
+#: Newer and older statements that meet in one task, at most.
+NEWER, OLDER = 8192, 16384
+
+
 def nominate(statements: DataFrame, least: float = 0.3, per_newer: int = 3) -> DataFrame:
     """(old_id, new_id, score): older statements that a newer one may replace, by shared title words, at most `per_newer` each.
 
-    Pairs are formed through rare words, never as a product: of the smaller word set all but the most frequent words are
-    looked up, as many as leave too few to reach the least overlap by themselves, so no pair is missed and a word that very
-    many titles have pairs next to none of them.
+    Pairs are never rows. Statements are grouped by what may replace what: an overturning outcome with those that it overturns,
+    and the sessions of superseded ones. Both sides of a group are dealt to blocks, and every newer block meets every older
+    one in a task that counts shared words through its own lists of words (`_block`) and gives its best `per_newer`.
     """
-    s = statements.filter("kind = 'statement' and status = 'active'").select("id", "session_id", "ts", "who", "outcome", text.topic_tokens(F.col("title")).alias("w")).filter(F.size("w") > 0)
-    old = s.select(*[F.col(c).alias("o_" + c) for c in s.columns])
-    words = s.select(F.explode("w").alias("word"), "id", F.size("w").alias("size"))
-    often = words.groupBy("word").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "word"))  # a title has few words
-    rare = words.join(often, "word").withColumn("place", place).filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1)
-    small, large = rare.select("word", F.col("id").alias("a"), F.col("size").alias("na")), words.select("word", F.col("id").alias("b"), F.col("size").alias("nb"))
-    both = small.join(large, "word").filter("a <> b and na <= nb").select("a", "b").distinct()
-    pairs = both.select(F.col("a").alias("new_id"), F.col("b").alias("old_id")).unionByName(both.select(F.col("b").alias("new_id"), F.col("a").alias("old_id"))).distinct()
-    met = pairs.join(s, F.col("new_id") == F.col("id")).join(old, F.col("old_id") == F.col("o_id")).withColumn("shared", F.size(F.array_intersect("w", "o_w")))
-    allowed = F.lit(False)
+    s = statements.filter("kind = 'statement' and status = 'active' and ts is not null and outcome is not null")
+    s = s.select(F.col("id").cast("bigint").alias("id"), "session_id", "ts", "who", "outcome", text.topic_tokens(F.col("title")).alias("w")).filter(F.size("w") > 0)
+    parts = int(s.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    session = F.concat(F.lit("session "), F.pmod(F.xxhash64("session_id"), F.lit(parts)))  # sessions that share a group don't meet in it
+    superseded = F.col("outcome") == "superseded"
+    part = lambda group, newer: F.struct(group.alias("g"), F.lit(newer).alias("newer"))
+    roles = [F.when(superseded, part(session, False)).otherwise(part(session, True))]
     for new, olds in OVERTURNS.items():
-        allowed = allowed | ((F.col("outcome") == new) & F.col("o_outcome").isin(olds))
-    labelled = (F.col("o_outcome") == "superseded") & F.col("o_session_id").eqNullSafe(F.col("session_id"))
-    overturn = F.coalesce((F.col("who") == "owner") & allowed, F.lit(False))
-    score = F.col("shared") / F.least(F.size("w"), F.size("o_w"))
-    ok = (
-        (F.col("outcome") != "superseded") & (F.col("o_ts") < F.col("ts")) & (labelled | overturn) & (score >= least)
-        & (labelled | (F.col("outcome") != "approved") | ~F.col("o_session_id").eqNullSafe(F.col("session_id")))
-    )
+        roles += [F.when((F.col("who") == "owner") & (F.col("outcome") == new), part(F.lit(new), True)), F.when(F.col("outcome").isin(olds), part(F.lit(new), False))]
+    s = s.withColumn("_role", F.explode(F.filter(F.array(*roles), lambda r: r.isNotNull()))).select("id", "session_id", "ts", "w", "_role.g", "_role.newer")
+    n = s.groupBy("g").agg(F.ceil(F.count_if("newer") / NEWER).alias("_new"), F.ceil(F.count_if(~F.col("newer")) / OLDER).alias("_old")).filter("_new > 0 and _old > 0")  # a few rows
+    mine = lambda blocks: F.pmod(F.xxhash64("id"), F.col(blocks))
+    every = lambda blocks: F.sequence(F.lit(0).cast("bigint"), F.col(blocks) - 1)
+    s = s.join(F.broadcast(n), "g").withColumn("_nb", F.explode(F.when(F.col("newer"), F.array(mine("_new"))).otherwise(every("_new")))).withColumn("_ob", F.explode(F.when(F.col("newer"), every("_old")).otherwise(F.array(mine("_old")))))
+    met = s.select("g", "_nb", "_ob", "newer", "id", "session_id", "ts", "w").groupBy("g", "_nb", "_ob").applyInArrow(_block(least, per_newer), "old_id bigint, new_id bigint, score double")
     w = Window.partitionBy("new_id").orderBy(F.desc("score"), "old_id")
-    return met.withColumn("score", score).filter(ok).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_newer).select("old_id", "new_id", "score")
+    return met.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_newer).select("old_id", "new_id", "score")
+
+
+def _block(least: float, per_newer: int):
+    """The best older statements of each newer one in a block (newer, id, session_id, ts, w), equal scores by old_id."""
+    outcomes = set(OVERTURNS)
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        within, apart = key[0].as_py() not in outcomes, key[0].as_py() == "approved"
+        lists = t["w"].combine_chunks()
+        size, newer, ids = pc.list_value_length(lists).to_numpy(), t["newer"].to_numpy(), t["id"].to_numpy()
+        code = lambda x: x.dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
+        word, session = code(lists.flatten()), code(t["session_id"].combine_chunks())
+        when = np.unique(np.array(t["ts"].to_pylist(), dtype=object), return_inverse=True)[1]  # str goes by code points, as UTF-8 does
+        row, ends = np.repeat(np.arange(len(ids)), size), np.cumsum(size)
+        if within:  # a word counts in its own session only
+            word = np.unique(session[row] * (word.max() + 1) + word, return_inverse=True)[1]
+        old = np.flatnonzero(~newer)
+        old = old[np.argsort(ids[old], kind="stable")]
+        at = np.full(len(ids), -1)
+        at[old] = np.arange(len(old))
+        held = np.flatnonzero(at[row] >= 0)
+        held = held[np.argsort(word[held], kind="stable")]
+        first, place = np.searchsorted(word[held], np.arange(word.max() + 2)), at[row[held]]
+        o_id, o_size, o_when, o_session = ids[old], size[old], when[old], session[old]
+        # The fewest shared words that reach the score, by the size of the smaller set.
+        need = np.array([next(c for c in range(max(0, int(least * m) - 1), m + 2) if c > m or c / m >= least) for m in range(1, size.max() + 1)], dtype=np.int64)
+        new = np.flatnonzero(newer)
+        out, n = [], 0
+        for i in new[np.argsort(size[new], kind="stable")]:
+            if n != size[i]:
+                n = size[i]
+                enough = need[np.minimum(n, o_size) - 1]
+            places = np.concatenate([place[first[x] : first[x + 1]] for x in word[ends[i] - n : ends[i]]])
+            if not len(places) and least > 0:
+                continue
+            shared = np.bincount(places, minlength=len(old))
+            ok = (shared >= enough) & (o_when < when[i])
+            if within:
+                ok &= o_session == session[i]
+            elif apart:
+                ok &= o_session != session[i]
+            k = np.flatnonzero(ok)
+            k = k[o_id[k] != ids[i]]
+            score = shared[k] / np.minimum(n, o_size[k])
+            for _ in range(min(per_newer, len(k))):
+                b = np.argmax(score)  # the first of equal ones
+                out.append((o_id[k[b]], ids[i], score[b]))
+                score[b] = -1
+        cols = list(zip(*out)) or [(), (), ()]
+        return pa.table({"old_id": pa.array(cols[0], pa.int64()), "new_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
+
+    return run
 
 
 def lineage_base(files: DataFrame) -> DataFrame:
