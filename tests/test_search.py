@@ -81,3 +81,45 @@ def test_recall(store):
     for bad in ("", "x" * 4001):
         with pytest.raises(ValueError):
             search.recall(store, bad)
+
+
+def test_recall_reads_the_texts_once(spark, sf):
+    """Three lanes share one count of the words and one look at the scope; each lane used to read all rows several times."""
+    docs = read(spark, sf, "docs")
+    scala, tracker = spark._jvm.scala.jdk.javaapi.CollectionConverters, spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    rows_read = lambda: sum(x.inputRecords() for x in scala.asJava(tracker.stageList(None, False, False, none, spark._jvm.java.util.ArrayList())))
+    n, before = docs.count(), rows_read()
+    got = search.recall(search.Store(docs), "What did we decide about the ledger schema?")
+    assert got["records"] and rows_read() - before < 9 * n
+    order = [r["id"] for r in got["records"]]
+    assert order == [r["id"] for r in search.recall(search.Store(docs.repartition(3, "title")), "What did we decide about the ledger schema?")["records"]]
+
+
+def test_lanes_are_those_of_find(store):
+    """What a lane of recall counts is what a search of its scope finds, whatever else the scope asks for."""
+    for base in (Scope(), Scope(outcomes=["approved", "standing"]), Scope(include_superseded=True, who="owner", client="codex")):
+        for request, words in (("What did we decide about the ledger schema?", "ledger schema"), ("continue what we were doing", "")):
+            got = search.recall(store, request, base)["counts"]
+            for lane, kinds in (("decisions", ["statement"]), ("summaries", ["handoff", "compact_summary", "memory"]), ("history", ["turn"])):
+                order = "relevance" if words else "newest"
+                scope = Scope(client=base.client, who=base.who, outcomes=base.outcomes, include_superseded=base.include_superseded, tools=base.tools, kinds=kinds, order=order)
+                assert got[lane] == search.matches(store, words, "any", scope).count(), (base, request, lane)
+
+
+def test_neighbours_of_a_long_session(spark):
+    """A session's turns are walked once a side: no frame reaches to the session's end, which costs the square of its turns."""
+    from tidemark import schema
+    from tidemark.operators import relations
+
+    names = [x.strip().split(" ")[0] for x in schema.DOCS.split(",")]
+    made = [{"id": i, "kind": "turn", "status": "active", "session_id": None if i % 2 else "s", "ts": None if i % 7 == 0 else f"{i * 37 % 1000:04}", "body": "(tool-only turn: x" if i % 5 == 0 else "b"} for i in range(1500)]
+    docs = spark.createDataFrame([tuple(d.get(n) for n in names) for d in made], schema.DOCS)
+    got = relations.neighbours_of(docs.filter("id % 10 in (0, 5)"), docs)
+    assert "unboundedfollowing" not in got._jdf.queryExecution().toString().lower()
+    key = lambda d: (d["ts"] is not None, d["ts"] or "", d["id"])
+    for r in got.collect():
+        me = made[r["id"]]
+        others = sorted(key(d) for d in made if d["session_id"] == me["session_id"] and not d["body"].startswith("("))
+        before, after = [k[2] for k in others if k < key(me)], [k[2] for k in others if k > key(me)]
+        assert (r["previous"], r["next"]) == (before[-1] if before else None, after[0] if after else None)

@@ -242,9 +242,18 @@ class _Parser:
 
 def bm25(docs: DataFrame, query: Query, title_weight: float = 1.0) -> DataFrame:
     """docs that match, with rank: the lower, the better. Statistics cover all of docs, so filter the result, not the input."""
-    hits = _counted(with_tokens(docs).withColumn("_len", F.size("_title") + F.size("_body")), query).drop("_title", "_body")
+    return bm25_counted(counted(docs, query), query, title_weight).select(*docs.columns, "rank")
+
+
+def counted(docs: DataFrame, query: Query) -> DataFrame:
+    """docs with the hits of every leaf and the length: all that a search needs of the texts."""
+    return _counted(with_tokens(docs).withColumn("_len", F.size("_title") + F.size("_body")), query).drop("_title", "_body")
+
+
+def bm25_counted(hits: DataFrame, query: Query, title_weight: float = 1.0) -> DataFrame:
+    """`bm25` of rows that are `counted`. It reads them twice; whoever wants the texts read once keeps their counts."""
     stats = hits.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *_frequencies(query))  # one row
-    return _ranked(hits, query, stats, title_weight).select(*docs.columns, "rank")
+    return _ranked(hits, query, stats, title_weight)
 
 
 def _counted(rows: DataFrame, query: Query) -> DataFrame:

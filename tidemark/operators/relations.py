@@ -21,14 +21,17 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
 
 def neighbours_of(anchors: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, previous, next) for rows of any kind: an as-of join on both sides by (ts, id), one pre-ordered union, no pairs."""
+    """(id, previous, next) for rows of any kind: an as-of join on both sides by (ts, id), one pre-ordered union, no pairs.
+
+    Both sides look back, the one for `next` in the reversed order: a frame that ends at the session's end is worked out anew
+    for each row, with the square of the session.
+    """
     turns = docs.filter(filters.spoken()).select("session_id", "ts", "id", F.lit(0).alias("_a"), F.col("id").alias("_turn"))
     ask = anchors.select("session_id", "ts", "id", F.lit(1).alias("_a"), F.lit(None).cast("bigint").alias("_turn"))
-    w = Window.partitionBy("session_id").orderBy("ts", "id", "_a")
-    both = turns.unionByName(ask).select(
-        "*", F.last(F.when(F.col("_a") == 0, F.col("_turn")), True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("previous"),
-        F.first(F.when(F.col("_a") == 0, F.col("_turn")), True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("next"),
-    )
+    w = Window.partitionBy("session_id").rowsBetween(Window.unboundedPreceding, -1)
+    both = turns.unionByName(ask)
+    for name, order in (("previous", F.asc), ("next", F.desc)):
+        both = both.withColumn(name, F.last("_turn", True).over(w.orderBy(order("ts"), order("id"), order("_a"))))
     return both.filter("_a = 1").select("id", F.when(F.col("previous") != F.col("id"), F.col("previous")).alias("previous"), F.when(F.col("next") != F.col("id"), F.col("next")).alias("next"))
 
 

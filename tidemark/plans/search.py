@@ -6,7 +6,7 @@ import base64
 import json
 import re
 from collections.abc import Callable
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,7 +63,12 @@ def matches(store: Store, query: str, mode: str, scope: Scope) -> DataFrame:
     if parsed is None:
         return keep.select("id", "ms", F.lit(0.0).alias("score"), F.lit(0.0).alias("rank"), F.lit("filter").alias("lanes"))
     ranked = fulltext.bm25_indexed(store.index, parsed) if store.index else fulltext.bm25(docs, parsed).select("id", "rank")
-    words = ranked.join(keep, "id")
+    return _fused(store, query, mode, keep, ranked.join(keep, "id"))
+
+
+def _fused(store: Store, query: str, mode: str, keep: DataFrame, words: DataFrame) -> DataFrame:
+    """`matches` from the rows in scope (id, ms) and those of them that the words found (id, ms, rank)."""
+    docs = store.docs
     if store.encoder is None or store.chunks is None:
         return words.select("id", "ms", (-F.col("rank")).alias("score"), "rank", F.lit("words").alias("lanes"))
     vector = store.encoder([query])[0]
@@ -197,23 +202,52 @@ def recall(store: Store, request: str, scope: Scope | None = None, limit: int =
             plans.reverse()
     order = "newest" if intent == "continue" or not words else "relevance"
     lanes, counts = [], {}
-    for name, extra in plans:
-        s = Scope(**(asdict(base) | {"order": order} | extra))
-        got = matches(store, " ".join(words), "any", s)
-        keys = [F.desc("ms"), F.desc("id")] if order == "newest" else [F.desc("score"), F.asc("rank"), F.asc("id")]
-        lanes.append(semantic.placed(got.orderBy(*keys).limit(limit + 1), *keys).select("id", "place"))
-        counts[name] = got.count()
-    seeds = [r["id"] for r in relations.interleave(lanes, limit).orderBy("place", "lane").collect()]
+    # Texts are counted once and the scope is asked once; the lanes take their share of what is left.
+    query, docs = " ".join(words), store.docs
+    parsed, kept = fulltext.parse(query, "any"), []
+    rows = replace(base, kinds=[], outcomes=[], order="relevance").where(docs).select("id", "kind", "outcome", "origin", "ts", dates.event_ms(F.col("ts")).alias("ms"))
+    try:
+        if parsed is not None:
+            if store.index:
+                ranked = fulltext.bm25_indexed(store.index, parsed)
+            else:
+                hits = fulltext.counted(docs.select("id", "title", "body"), parsed).drop("title", "body").cache()
+                kept.append(hits)
+                ranked = fulltext.bm25_counted(hits, parsed)
+            meant = store.encoder is not None and store.chunks is not None
+            rows = rows.join(ranked.select("id", "rank"), "id", "left" if meant else "inner")
+        kept.append(rows.cache())
+        for name, extra in plans:
+            s = Scope(**({"outcomes": base.outcomes, "include_unclear": base.include_unclear, "include_superseded": True, "tools": True, "order": order} | extra))
+            keep = s.where(rows)
+            if parsed is None:
+                got = keep.select("id", "ms", F.lit(0.0).alias("score"), F.lit(0.0).alias("rank"))
+            else:
+                got = _fused(store, query, "any", keep.select("id", "ms"), keep.filter("rank is not null").select("id", "ms", "rank"))
+            keys = [F.desc("ms"), F.desc("id")] if order == "newest" else [F.desc("score"), F.asc("rank"), F.asc("id")]
+            lanes.append(semantic.placed(got.orderBy(*keys).limit(limit + 1), *keys).select("id", "place"))
+            counts[name] = got.count()
+        seeds = [r["id"] for r in relations.interleave(lanes, limit).orderBy("place", "lane").collect()]
+    finally:
+        for df in reversed(kept):
+            df.unpersist()
     budget = max(500, min(6000, chars // max(2, 2 * max(1, len(seeds)))))
     opened, left = {}, chars
     # Seeds first, then what they rest on and what replaced them, then the turns beside them.
-    seed_rows = store.docs.filter(F.col("id").isin(seeds)) if seeds else store.docs.limit(0)
-    linked = [r["id"] for r in relations.evidence(store.docs, seed_rows).select("id").distinct().orderBy("id").limit(40).collect()] if seeds else []
-    linked += [r[0] for r in seed_rows.filter("superseded_by is not null").select("superseded_by").distinct().collect()]
-    beside = []
+    linked, beside = [], []
     if seeds:
-        near = relations.neighbours_of(seed_rows, store.docs).collect()
-        beside = [x for r in near for x in (r["previous"], r["next"]) if x is not None]
+        about = "id bigint, project string, kind string, session_id string, ts string, evidence_ids string, superseded_by bigint"
+        held = docs.filter(F.col("id").isin(seeds)).select(*[x.split()[0] for x in about.split(", ")], F.from_json("evidence_ids", "array<bigint>").alias("_ids")).collect()
+        seed_rows = docs.sparkSession.createDataFrame([tuple(r)[:-1] for r in held], about)  # at most `limit`
+        rests = [x for r in held if r["kind"] == "statement" for x in r["_ids"] or [] if x is not None]
+        if rests:
+            linked = [r["id"] for r in relations.evidence(docs.filter(F.col("id").isin(rests)), seed_rows).select("id").distinct().orderBy("id").limit(40).collect()]
+        linked += sorted({r["superseded_by"] for r in held} - {None})
+        sessions = {r["session_id"] for r in held}
+        inside = F.col("session_id").isin(sorted(sessions - {None}))
+        near = relations.neighbours_of(seed_rows, docs.filter(inside | F.col("session_id").isNull() if None in sessions else inside)).collect()
+        nearest = {r["id"]: (r["previous"], r["next"]) for r in near}
+        beside = [x for i in seeds for x in nearest.get(i, ()) if x is not None]
     queue = list(dict.fromkeys([*seeds, *linked, *beside]))[:40]
     bodies = {r["id"]: r for r in store.docs.filter(F.col("id").isin(queue)).select("id", "kind", "ts", "title", "body", filters.speaker().alias("speaker")).collect()} if queue else {}
     for i in queue:
